@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 # A side is broadcast only when it has at most this many rows (counted, not estimated).
@@ -12,6 +13,12 @@ DEFAULT_BROADCAST_ROWS = 2_000_000
 def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
     """``F.broadcast(df)`` when ``df`` has at most ``max_rows`` rows, else ``df`` unchanged (the
     join then shuffles both sides on the key; AQE may still pick a broadcast from runtime sizes).
-    The count runs one small job on the (already reduced) side."""
-    n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+
+    The side is persisted while it is counted, so the broadcast reuses the counted rows instead of
+    computing the side a second time (a lost cached block is recomputed from lineage)."""
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    n = cached.limit(max_rows + 1).count()
+    if n <= max_rows:
+        return F.broadcast(cached)
+    cached.unpersist()
+    return df

@@ -350,14 +350,15 @@ def q_g_similarity_join(spark, sf):
 
 
 @query("similarity_join", W(
-    f"SELECT * FROM (WITH q AS (SELECT DISTINCT registry_channel AS query FROM registries "
-    f"WHERE registry_channel IS NOT NULL), "
+    f"SELECT * FROM (WITH q AS (SELECT DISTINCT contract_name AS query FROM registered "
+    f"WHERE contract_name IS NOT NULL), "
     f"n AS (SELECT DISTINCT wasm_name AS name FROM published WHERE wasm_name IS NOT NULL) "
     f"SELECT q.query, n.name, round(CAST({_PART_SIM} AS DOUBLE), 6) AS similarity FROM q, n "
-    f"WHERE CAST({_PART_SIM} AS DOUBLE) > 0.2) s", "registries", "published"))
+    f"WHERE CAST({_PART_SIM} AS DOUBLE) > 0.2) s", "registered", "published"))
 def q_similarity_join(spark, sf):
+    """Which published wasm names resemble each registered contract name."""
     t = _t(spark, sf)
-    return S.similarity_join(t.registries, "registry_channel", t.published, "wasm_name")
+    return S.similarity_join(t.registered, "contract_name", t.published, "wasm_name")
 
 
 @query("list_contracts", W("SELECT id, contract_id, channel, contract_name, sac, deployer, wasm_version, wasm_name, "

@@ -17,6 +17,8 @@ from ..operators import views as V
 from ..operators.gate import membership_gate, membership_set
 from ..operators.latest import latest_per_key
 from ..sources import bridge
+from ..sources.fixture import fixture_paths
+from ..sources.readers import read_events, read_ledger_entries
 
 
 class RegistryTables:
@@ -29,9 +31,12 @@ class RegistryTables:
 
     @classmethod
     def from_fixture(cls, spark: SparkSession, sf_dir: str) -> "RegistryTables":
-        events = spark.read.parquet(f"{sf_dir}/events.parquet")
-        orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
-        return cls(bridge.chain_events(events), bridge.ledger_entries(orders), bridge.root_registry())
+        """Tables over the fixture streams derived from the driver's ``events`` and ``orders``.
+
+        The derived streams are written once per data folder (see ``sources.fixture``) and then
+        scanned like the provider's stored tables."""
+        ev_path, le_path = fixture_paths(spark, sf_dir)
+        return cls(read_events(spark, ev_path), read_ledger_entries(spark, le_path), bridge.root_registry())
 
     # ---- event pipeline -----------------------------------------------------------------
     @cached_property
