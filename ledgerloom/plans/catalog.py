@@ -497,3 +497,125 @@ def queries() -> dict[str, QueryFn]:
 
 def oracle_sql() -> dict[str, str]:
     return {k: v[1] for k, v in REGISTRY.items() if v[1] is not None}
+
+
+# ---- sinks ----------------------------------------------------------------------------------------------
+
+from ..operators import sinks as SK  # noqa: E402
+from ..session import state_dir  # noqa: E402
+
+SPLIT_AT = 2000      # micro-batch boundary used by the multi-run sink jobs
+REREAD_FROM = 1990   # inclusive re-read of the batch ingest (at-least-once boundary)
+
+
+def _schema(df: DataFrame):
+    return df.schema
+
+
+@query("upsert_latest", W("SELECT * FROM registries", "registries"))
+def q_upsert_latest(spark, sf):
+    """Registries maintained by two upsert micro-batches (plus a retried batch and a replay)."""
+    t = _t(spark, sf)
+    rows = t.sub_reg.where(F.col("contract_id").isNotNull())
+    kt = SK.KeyedTable(spark, state_dir(spark, "registries"), ["contract_id"], _schema(rows),
+                       order=["ledger_sequence", "id"], buckets=8)
+    kt.upsert(rows.where(F.col("ledger_sequence") < SPLIT_AT), 0)
+    kt.upsert(rows.where(F.col("ledger_sequence") >= SPLIT_AT), 1)
+    kt.upsert(rows.where(F.col("ledger_sequence") >= SPLIT_AT), 1)   # retried batch: no-op
+    kt.upsert(rows, 2)                                                # full replay: idempotent
+    return kt.read()
+
+
+@query("g_upsert", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' "
+                   "THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem")
+def q_g_upsert(spark, sf):
+    """lineitem loaded, then its returned lines re-sent with a corrected quantity: last write wins.
+    The key is (order, line, part, supplier), unique in the driver's lineitem."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey",
+                                                              "l_suppkey", "l_quantity", "l_returnflag")
+    kt = SK.KeyedTable(spark, state_dir(spark, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
+                       li.schema, buckets=16)
+    kt.upsert(li, 0)
+    kt.upsert(li.where(F.col("l_returnflag") == "R").withColumn("l_quantity", F.col("l_quantity") + 1), 1)
+    return kt.read()
+
+
+@query("insert_ignore", W("SELECT * FROM batch_deploys", "batch_deploys"))
+def q_insert_ignore(spark, sf):
+    """Batch-path deploys loaded by two overlapping runs (the second re-reads from an inclusive
+    boundary); first write wins, so the overlap is not inserted twice."""
+    deploys = D.decode_batch(_batch_events(_t(spark, sf)), "deploy")
+    kt = SK.KeyedTable(spark, state_dir(spark, "deploys"), ["id"], deploys.schema, buckets=8)
+    kt.insert_ignore(deploys.where(F.col("ledger_sequence") < SPLIT_AT), 0, ("ledger_sequence", "id"))
+    kt.insert_ignore(deploys.where(F.col("ledger_sequence") >= REREAD_FROM), 1, ("ledger_sequence", "id"))
+    return kt.read()
+
+
+@query("versioned_write", W("SELECT * FROM contracts_enriched", "contracts_enriched"))
+def q_versioned_write(spark, sf):
+    """Target table written as version N while N-1 stays readable; a rollback restores N-1, old
+    versions are pruned."""
+    e = _t(spark, sf).contracts_enriched
+    kt = SK.KeyedTable(spark, state_dir(spark, "contracts_enriched"), ["id"], e.schema, buckets=8)
+    kt.overwrite(e)                                   # version 1
+    kt.overwrite(e.where(F.col("sac")))               # version 2 (a bad load)
+    kt.rollback(1)                                    # readers back on version 1
+    kt.vacuum(keep=1)
+    return kt.read()
+
+
+_SPLIT_SQL = (
+    "SELECT id, transaction_hash, ledger_sequence, contract_id, CASE WHEN id IS NULL THEN 'null_id' "
+    "WHEN transaction_hash IS NULL THEN 'null_transaction_hash' WHEN ledger_sequence IS NULL THEN "
+    "'null_ledger_sequence' WHEN count(*) OVER (PARTITION BY id) > 1 THEN 'duplicate_key' ELSE 'ok' END "
+    f"AS constraint_status FROM (SELECT * FROM batch_deploys WHERE ledger_sequence < {SPLIT_AT} UNION ALL "
+    f"SELECT * FROM batch_deploys WHERE ledger_sequence >= {REREAD_FROM}) u")
+
+
+@query("constraint_split", W(_SPLIT_SQL, "batch_deploys"))
+def q_constraint_split(spark, sf):
+    deploys = D.decode_batch(_batch_events(_t(spark, sf)), "deploy")
+    cand = deploys.where(F.col("ledger_sequence") < SPLIT_AT).unionByName(
+        deploys.where(F.col("ledger_sequence") >= REREAD_FROM))
+    cand = cand.select("id", "transaction_hash", "ledger_sequence", "contract_id")
+    return SK.constraint_split(cand, ["id"], ["id", "transaction_hash", "ledger_sequence"])
+
+
+@query("load_stamp", None)
+def q_load_stamp(spark, sf):
+    deploys = D.decode_batch(_batch_events(_t(spark, sf)), "deploy")
+    return SK.load_stamp(deploys)
+
+
+_MANIFEST_SQL = ("SELECT wasm_name, wasm_version, wasm_hash, channel, concat(coalesce(wasm_name, 'None'), '@', "
+                 "coalesce(wasm_version, 'None'), '.wasm') AS file_name FROM latest_published "
+                 "WHERE channel IS DISTINCT FROM 'unverified'")
+
+
+@query("artifact_manifest", W(_MANIFEST_SQL, "latest_published"))
+def q_artifact_manifest(spark, sf):
+    return SK.artifact_manifest(_t(spark, sf).latest_published)
+
+
+@query("artifact_catalog", W(
+    "SELECT path, file_name, wasm_name, wasm_version FROM (SELECT path, regexp_extract(path, '([^/]+)$', 1) AS "
+    "file_name, regexp_extract(regexp_extract(path, '([^/]+)$', 1), '^(.*)@([^@]*)\\.wasm$', 1) AS wasm_name, "
+    "regexp_extract(regexp_extract(path, '([^/]+)$', 1), '^(.*)@([^@]*)\\.wasm$', 2) AS wasm_version FROM ("
+    f"SELECT concat('artifacts/', file_name) AS path FROM ({_MANIFEST_SQL}) m) p) q "
+    "WHERE wasm_name <> '' AND wasm_version <> ''", "latest_published"))
+def q_artifact_catalog(spark, sf):
+    """Reload side of the export: parse the exported file names back into (name, version)."""
+    m = SK.artifact_manifest(_t(spark, sf).latest_published)
+    return readers.artifact_catalog(m.select(F.concat(F.lit("artifacts/"), F.col("file_name")).alias("path")))
+
+
+_JSON_FIELDS = [("channel", "channel"), ("contract_id", "contract_id"), ("contract_name", "contract_name"),
+                ("deployer", "deployer"), ("wasm_version", "wasm_version"), ("wasm_name", "wasm_name"),
+                ("wasm_channel", "wasm_channel"), ("sac", "is_stellar_asset_contract")]
+
+
+@query("json_rows", W(
+    "SELECT to_json(struct_pack(" + ", ".join(f"{k} := {c}" for c, k in _JSON_FIELDS) + "))::VARCHAR AS json "
+    "FROM (SELECT * FROM contracts_enriched ORDER BY ledger_sequence, id LIMIT 200) p", "contracts_enriched"))
+def q_json_rows(spark, sf):
+    return SK.json_rows(P.list_contracts(_t(spark, sf).contracts_enriched, 200, None), _JSON_FIELDS)
