@@ -619,3 +619,84 @@ _JSON_FIELDS = [("channel", "channel"), ("contract_id", "contract_id"), ("contra
     "FROM (SELECT * FROM contracts_enriched ORDER BY ledger_sequence, id LIMIT 200) p", "contracts_enriched"))
 def q_json_rows(spark, sf):
     return SK.json_rows(P.list_contracts(_t(spark, sf).contracts_enriched, 200, None), _JSON_FIELDS)
+
+
+# ---- streaming ------------------------------------------------------------------------------------------
+
+from ..streaming import jobs as SJ  # noqa: E402
+from ..streaming.ingest import RegistryIngest, write_stream_files  # noqa: E402
+
+STREAM_FILES = 4
+_RUNS: dict = {}
+
+
+def _stream_source(spark, sf) -> tuple[RegistryTables, str]:
+    """The fixture event stream laid out as ledger-ordered files (the arrival units of the stream)."""
+    key = ("source", id(spark), sf)
+    if key not in _RUNS:
+        t = _t(spark, sf)
+        folder = state_dir(spark, "stream-source")
+        write_stream_files(t.chain_events, folder, STREAM_FILES)
+        _RUNS[key] = (t, folder)
+    return _RUNS[key]
+
+
+def _stream_run(spark, sf) -> RegistryIngest:
+    """One availableNow run of the streaming ingest over the fixture stream, one file per batch."""
+    key = ("ingest", id(spark), sf)
+    if key not in _RUNS:
+        t, folder = _stream_source(spark, sf)
+        root = state_dir(spark, "stream-tables")
+        ing = RegistryIngest(spark, root, t.root_registry)
+        ing.run(folder, f"{root}/_checkpoint", max_files_per_trigger=1)
+        _RUNS[key] = ing
+    return _RUNS[key]
+
+
+@query("stream_pipeline", W("SELECT * FROM published", "published"))
+def q_stream_pipeline(spark, sf):
+    return _stream_run(spark, sf).table("published_wasms")
+
+
+@query("stream_gate", W("SELECT * FROM registered", "registered"))
+def q_stream_gate(spark, sf):
+    """Events gated by the membership set the same stream builds: exact for any arrival order."""
+    return _stream_run(spark, sf).table("registered_contracts")
+
+
+@query("stream_registries", W("SELECT * FROM registries", "registries"))
+def q_stream_registries(spark, sf):
+    return _stream_run(spark, sf).table("registries")
+
+
+@query("replay", W("SELECT * FROM deployed", "deployed"))
+def q_replay(spark, sf):
+    """Replay with a fresh checkpoint and the retained membership set: tables unchanged."""
+    ing = _stream_run(spark, sf)
+    _, folder = _stream_source(spark, sf)
+    SJ.replay(ing, folder, state_dir(spark, "replay-ckpt"), max_files_per_trigger=2)
+    return ing.table("deployed_contracts")
+
+
+@query("rebuild_and_audit", W(_AUDIT_SQL, "raw", "registries", "sink_ids"))
+def q_rebuild_and_audit(spark, sf):
+    """Full rebuild into fresh tables, member-count check, audit (replay and re-audit on drops)."""
+    t, folder = _stream_source(spark, sf)
+    expected = t.members.count()
+    return SJ.rebuild_and_audit(spark, folder, state_dir(spark, "rebuild"), t.root_registry,
+                                expected_members=expected, max_files_per_trigger=2)
+
+
+@query("incremental_progress", W("SELECT * FROM batch_deploys", "batch_deploys"))
+def q_incremental_progress(spark, sf):
+    """Scheduled batch ingest: two runs over files arriving in between; first write wins."""
+    t = _t(spark, sf)
+    ev = FL.filter_successful(FL.filter_emitter(t.chain_events, t.root_registry))
+    src = state_dir(spark, "minimal-events")
+    ckpt = f"{src}-checkpoint"
+    state = f"{src}-tables"
+    ev.where(F.col("ledger_sequence") < SPLIT_AT).repartition(2).write.parquet(src)
+    SJ.incremental_ingest(spark, src, state, ckpt, max_files_per_trigger=1)
+    ev.where(F.col("ledger_sequence") >= SPLIT_AT).repartition(2).write.mode("append").parquet(src)
+    res = SJ.incremental_ingest(spark, src, state, ckpt, max_files_per_trigger=1)
+    return res["tables"]["deploys"].read().drop("created_at")
