@@ -147,7 +147,11 @@ def meta_fold(entries: DataFrame, entries_col: str = "entries") -> DataFrame:
     """Fold a list of (key, val) entries into the named metadata fields; a later duplicate key
     wins and unknown keys are dropped."""
     e = F.col(entries_col)
-    fields = [F.try_element_at(F.filter(e, lambda x, k=k: x["key"] == F.lit(k)), F.lit(-1))["val"].alias(k)
-              for k in META_KEYS]
+
+    def last_value(key: str):
+        # F.filter treats a two-argument lambda as (element, index): bind the key by closure
+        return F.try_element_at(F.filter(e, lambda x: x["key"] == F.lit(key)), F.lit(-1))["val"].alias(key)
+
+    fields = [last_value(k) for k in META_KEYS]
     others = [c for c in entries.columns if c != entries_col]
     return entries.select(*others, *fields)
