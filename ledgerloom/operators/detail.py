@@ -1,7 +1,8 @@
 """Detail lookups for a DataFrame of requested keys (one key or millions, one join either way).
 
-Results are flat: one row per (requested key x history entry) with the entry's position, instead of
-an array per key, so no key's history is ever gathered into a single row or task.
+Results are flat records: a ``detail`` row per found key and one ``version`` row per history entry
+(with its position), emitted once per history, instead of an array per key or a key x history
+product; no key's history is gathered into a single row or task.
 """
 
 from __future__ import annotations
@@ -11,8 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.jsonpath import json_scalar  # noqa: F401  (re-exported for callers)
 from .decode import sub_document
-from .latest import latest_per_key, order_cols
-from pyspark.sql import Window
+from .latest import latest_per_key, sequence_index
 
 # Outcome labels of a deploy-detail lookup.
 FOUND, NOT_FOUND, NO_DEPLOY_BODY = "found", "not_found", "no_deploy_body"
@@ -45,9 +45,10 @@ def wasm_detail(source: DataFrame, published_with_channel: DataFrame, keys: Data
     found = detail.select(F.col("wasm_name").alias("__f_name"), F.col("channel").alias("__f_channel")).distinct()
     v = published_with_channel.join(found, (published_with_channel["wasm_name"] == found["__f_name"])
                                     & (published_with_channel["channel"] == found["__f_channel"]), "left_semi")
-    w = Window.partitionBy("wasm_name", "channel").orderBy(*order_cols(("-ledger_sequence", "-wasm_version", "-id")))
+    v = sequence_index(v, ["wasm_name", "channel"], "ledger_sequence", ("-wasm_version", "-id"), out="pos",
+                       major_desc=True)
     null_s = F.lit(None).cast("string")
-    vrec = v.select(F.lit("version").alias("record"), (F.row_number().over(w) - 1).cast("bigint").alias("pos"),
+    vrec = v.select(F.lit("version").alias("record"), "pos",
                     null_s.alias("id"), null_s.alias("transaction_hash"),
                     F.lit(None).cast("bigint").alias("ledger_sequence"),
                     F.lit(None).cast("timestamp_ntz").alias("created_at"),

@@ -40,25 +40,32 @@ def latest_per_key(df: DataFrame, keys: Sequence[str], order: OrderSpec = ("-led
     return df.withColumn(rn, F.row_number().over(w)).where(F.col(rn) <= n).drop(rn)
 
 
-def sequence_index(df: DataFrame, key: str, major: str, minor: str, out: str = "version_index",
-                   base: int = 0) -> DataFrame:
-    """``ROW_NUMBER() OVER (PARTITION BY key ORDER BY major, minor) - 1 + base`` without sorting a
-    whole key in one task.
+def sequence_index(df: DataFrame, key, major: str, minor, out: str = "version_index",
+                   base: int = 0, major_desc: bool = False) -> DataFrame:
+    """``ROW_NUMBER() OVER (PARTITION BY key ORDER BY major[, minor...]) - 1 + base`` without sorting
+    a whole key in one task.
 
     The index is split in two: per (key, major) the number of rows (a partial aggregate), a running
     sum of those counts over ``major`` within the key (one small row per key and major value), and
     the row number inside (key, major). A hot key is thus spread over its ``major`` values (ledgers),
-    and only the small count table is ordered per key.
+    and only the small count table is ordered per key. ``key`` may be a list of columns and ``minor``
+    an order spec (see ``order_cols``); ``major_desc`` orders the major column descending (NULLs
+    first), otherwise ascending (NULLs last).
     """
-    counts = df.groupBy(key, major).agg(F.count(F.lit(1)).alias("__n"))
-    w_prefix = Window.partitionBy(key).orderBy(F.col(major).asc_nulls_last()) \
-        .rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col(key).alias("__k"), F.col(major).alias("__m"),
+    keys = [key] if isinstance(key, str) else list(key)
+    minor_order = [minor] if isinstance(minor, str) else list(minor)
+    major_sort = F.col(major).desc_nulls_first() if major_desc else F.col(major).asc_nulls_last()
+    counts = df.groupBy(*keys, major).agg(F.count(F.lit(1)).alias("__n"))
+    w_prefix = Window.partitionBy(*keys).orderBy(major_sort).rowsBetween(Window.unboundedPreceding, -1)
+    renamed = [F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)]
+    offsets = counts.select(*renamed, F.col(major).alias("__m"),
                             F.coalesce(F.sum("__n").over(w_prefix), F.lit(0)).alias("__off"))
-    w_in = Window.partitionBy(key, major).orderBy(F.col(minor).asc_nulls_last())
+    w_in = Window.partitionBy(*keys, major).orderBy(*_order_cols(minor_order))
     local = df.withColumn("__rn", F.row_number().over(w_in))
     # null-safe equality: a NULL key is one group, as in the window form
-    cond = F.col(key).eqNullSafe(F.col("__k")) & F.col(major).eqNullSafe(F.col("__m"))
+    cond = F.col(major).eqNullSafe(F.col("__m"))
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k{i}"))
     joined = local.join(offsets, on=cond, how="left")
     return joined.withColumn(out, (F.col("__off") + F.col("__rn") - 1 + base).cast("bigint")) \
-        .drop("__k", "__m", "__off", "__rn")
+        .drop(*[f"__k{i}" for i in range(len(keys))], "__m", "__off", "__rn")

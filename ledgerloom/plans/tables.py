@@ -53,13 +53,16 @@ class RegistryTables:
 
     @cached_property
     def registries(self) -> DataFrame:
-        """Keyed by contract_id; the newest announcement of a member wins."""
+        """Keyed by contract_id; the newest announcement of a member wins. One row per registry
+        (a small table read by the gate and every channel join), so it is persisted once per plan
+        set instead of being re-derived from the stream by each size check."""
         s = self.sub_reg.where(F.col("contract_id").isNotNull())
-        return latest_per_key(s, ["contract_id"], ("-ledger_sequence", "-id"))
+        return latest_per_key(s, ["contract_id"], ("-ledger_sequence", "-id")).persist()
 
     @cached_property
     def members(self) -> DataFrame:
-        return membership_set(self.sub_reg)
+        """The membership set: every announced contract id (= the registries' keys)."""
+        return membership_set(self.registries)
 
     @cached_property
     def gated(self) -> DataFrame:
