@@ -54,11 +54,18 @@ def _read_text(spark: SparkSession, path: str) -> str:
 
 class KeyedTable:
     def __init__(self, spark: SparkSession, root: str, keys: Sequence[str], schema: T.StructType,
-                 order: Sequence[str] = (), buckets: int = 16):
-        """``order`` decides which row of a key wins (greatest wins; '-col' is not used here);
-        ties, and keys without an order, go to the later batch (last write wins)."""
+                 order: Sequence[str] = (), buckets: int = 16, range_col: str | None = None,
+                 range_width: int = 10_000):
+        """``order`` decides which row of a key wins (greatest wins); ties, and keys without an
+        order, go to the later batch (last write wins).
+
+        Buckets are ``hash(key) mod buckets`` by default. With ``range_col`` a bucket is a range of
+        that column (``floor(col / range_width)``); use it when the column is a function of the key
+        and grows with arrival, e.g. the ledger of an event id: a micro-batch of new events then
+        touches only the newest buckets instead of rewriting every hash bucket."""
         self.spark, self.root = spark, root.rstrip("/")
         self.keys, self.schema, self.order, self.buckets = list(keys), schema, list(order), buckets
+        self.range_col, self.range_width = range_col, int(range_width)
 
     # ---- manifest -------------------------------------------------------------------------------
     def _manifests(self) -> list[int]:
@@ -89,7 +96,9 @@ class KeyedTable:
         return self.spark.read.schema(self.schema).parquet(*paths)
 
     def bucket_of(self) -> Column:
-        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("int")
+        if self.range_col:
+            return F.floor(F.col(self.range_col) / F.lit(self.range_width)).cast("bigint")
+        return F.pmod(F.xxhash64(*[F.col(k) for k in self.keys]), F.lit(self.buckets)).cast("bigint")
 
     # ---- writes -----------------------------------------------------------------------------------
     def _write_version(self, df: DataFrame, m: dict, batch_id) -> dict:

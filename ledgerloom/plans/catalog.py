@@ -647,7 +647,7 @@ def _stream_run(spark, sf) -> RegistryIngest:
     if key not in _RUNS:
         t, folder = _stream_source(spark, sf)
         root = state_dir(spark, "stream-tables")
-        ing = RegistryIngest(spark, root, t.root_registry)
+        ing = RegistryIngest(spark, root, t.root_registry, ledger_range=500)
         ing.run(folder, f"{root}/_checkpoint", max_files_per_trigger=1)
         _RUNS[key] = ing
     return _RUNS[key]

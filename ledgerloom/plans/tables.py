@@ -16,6 +16,8 @@ from ..operators import decode as D
 from ..operators import views as V
 from ..operators.gate import membership_gate, membership_set
 from ..operators.latest import latest_per_key
+
+TYPED_EVENTS = ("deploy", "publish", "register", "rename", "update_address", "update_owner")
 from ..sources import bridge
 from ..sources.fixture import fixture_paths
 from ..sources.readers import read_events, read_ledger_entries
@@ -144,12 +146,8 @@ class RegistryTables:
         return V.contracts_enriched(self.contracts, self.versions)
 
     def sink_ids(self) -> DataFrame:
-        """(id, event_name) of every row that reached a downstream sink."""
-        parts = [(self.deployed, "deploy"), (self.published, "publish"), (self.registered, "register"),
-                 (self.renamed, "rename"), (self.address_updates, "update_address"),
-                 (self.owner_updates, "update_owner"), (self.registries, "sub_reg")]
-        out = None
-        for df, name in parts:
-            p = df.select("id", F.lit(name).alias("event_name"))
-            out = p if out is None else out.unionByName(p)
-        return out
+        """(id, event_name) of every row that reached a downstream sink. Each typed sink holds
+        exactly the gated rows of its event kind (decoding keeps every row), so the six typed sinks
+        are read as one scan of the gated rows; sub_reg rows are the stored registries."""
+        typed = self.gated.where(F.col("event_name").isin(*TYPED_EVENTS)).select("id", "event_name")
+        return typed.unionByName(self.registries.select("id", F.lit("sub_reg").alias("event_name")))

@@ -43,20 +43,24 @@ class RegistryIngest:
     root_registry: str
     buckets: int = 8
     registries_root: str | None = None      # kept across replays (the membership set)
+    ledger_range: int = 10_000              # ledgers per bucket of the id-keyed event tables
     metrics: list = field(default_factory=list)
 
     def __post_init__(self):
         s = self.spark
         empty = s.createDataFrame([], CHAIN_EVENTS)
         raw = D.normalize_events(empty)
+        # event tables are keyed by id, and an id belongs to one ledger: bucket them by ledger range
+        # so a batch of new events rewrites only the newest buckets
+        by_ledger = {"range_col": "ledger_sequence", "range_width": self.ledger_range}
         self.raw_table = KeyedTable(s, f"{self.state_root}/raw_events_backup", ["id"], raw.schema,
-                                    ["ledger_sequence", "id"], self.buckets)
+                                    ["ledger_sequence", "id"], **by_ledger)
         sub = D.decode_sub_reg(raw, self.root_registry)
         self.registries = KeyedTable(s, self.registries_root or f"{self.state_root}/registries", ["contract_id"],
                                      sub.schema, ["ledger_sequence", "id"], self.buckets)
-        self.pending = KeyedTable(s, f"{self.state_root}/pending", ["id"], raw.schema, (), self.buckets)
+        self.pending = KeyedTable(s, f"{self.state_root}/pending", ["id"], raw.schema, (), **by_ledger)
         self.sinks = {e: KeyedTable(s, f"{self.state_root}/{SINK_NAMES[e]}", ["id"], D.decode_event(raw, e).schema,
-                                    ["ledger_sequence", "id"], self.buckets) for e in TYPED}
+                                    ["ledger_sequence", "id"], **by_ledger) for e in TYPED}
 
     # ---- one micro-batch ----------------------------------------------------------------------------
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
