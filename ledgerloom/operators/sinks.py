@@ -238,3 +238,17 @@ def json_rows(df: DataFrame, fields: Sequence[tuple[str, str]]) -> DataFrame:
     """One JSON object per row with the given (column, json key) pairs; NULLs are written as null."""
     st = F.struct(*[F.col(c).alias(k) for c, k in fields])
     return df.select(F.to_json(st, {"ignoreNullFields": "false"}).alias("json"))
+
+
+def write_raw_backup(raw: DataFrame, path: str, mode: str = "append") -> None:
+    """Raw backup ahead of the gate, partitioned by event name so each typed reader (and the audit
+    of one kind) prunes to its partition."""
+    raw.repartition("event_name").write.mode(mode).partitionBy("event_name").parquet(path)
+
+
+def bulk_payloads(df: DataFrame, page_col: str, columns: Sequence[str]) -> DataFrame:
+    """Parallel arrays per page (the bulk-insert payload). ``page_col`` must come from
+    ``page_export`` with a page size <= 200, which bounds every array."""
+    ordered = F.sort_array(F.collect_list(F.struct(F.col("row_index"), *[F.col(c) for c in columns])))
+    grouped = df.groupBy(page_col).agg(ordered.alias("__rows"))
+    return grouped.select(page_col, *[F.col("__rows")[c].alias(c) for c in columns])

@@ -700,3 +700,25 @@ def q_incremental_progress(spark, sf):
     ev.where(F.col("ledger_sequence") >= SPLIT_AT).repartition(2).write.mode("append").parquet(src)
     res = SJ.incremental_ingest(spark, src, state, ckpt, max_files_per_trigger=1)
     return res["tables"]["deploys"].read().drop("created_at")
+
+
+@query("raw_backup", W("SELECT id, transaction_hash, ledger_sequence, created_at, emitter_contract_id, event_name "
+                       "FROM raw WHERE event_name IN ('publish', 'sub_reg')", "raw"))
+def q_raw_backup(spark, sf):
+    """Raw backup written partitioned by event name, then read back for two kinds only: the other
+    partitions are pruned at planning time."""
+    path = state_dir(spark, "raw-backup")
+    SK.write_raw_backup(_t(spark, sf).raw, path, mode="errorifexists")
+    back = spark.read.parquet(path).where(F.col("event_name").isin("publish", "sub_reg"))
+    return back.select("id", "transaction_hash", "ledger_sequence", "created_at", "emitter_contract_id", "event_name")
+
+
+@query("unnest_arrays", W("SELECT id, transaction_hash, ledger_sequence, contract_id, deployer FROM batch_deploys",
+                          "batch_deploys"))
+def q_unnest_arrays(spark, sf):
+    """Bulk-load path: deploy rows packed into parallel arrays per 200-row page, then unnested."""
+    cols = ["id", "transaction_hash", "ledger_sequence", "contract_id", "deployer"]
+    deploys = D.decode_batch(_batch_events(_t(spark, sf)), "deploy").select(*cols)
+    pages = P.page_export(deploys, 200)
+    payload = SK.bulk_payloads(pages, "page", cols)
+    return SK.unnest_arrays(payload, cols)
