@@ -526,15 +526,17 @@ def q_upsert_latest(spark, sf):
     return kt.read()
 
 
-@query("g_upsert", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_returnflag = 'R' "
+_LI_KEY = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+
+
+@query("g_upsert", "SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate, CASE WHEN l_returnflag = 'R' "
                    "THEN l_quantity + 1 ELSE l_quantity END AS l_quantity, l_returnflag FROM lineitem")
 def q_g_upsert(spark, sf):
     """lineitem loaded, then its returned lines re-sent with a corrected quantity: last write wins.
-    The key is (order, line, part, supplier), unique in the driver's lineitem."""
-    li = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_partkey",
-                                                              "l_suppkey", "l_quantity", "l_returnflag")
-    kt = SK.KeyedTable(spark, state_dir(spark, "lineitem"), ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"],
-                       li.schema, buckets=16)
+    The driver's lineitem declares no key; (order, line, part, supplier, ship date) identifies a row
+    (unique at every scale of the test data)."""
+    li = spark.read.parquet(f"{sf}/lineitem.parquet").select(*_LI_KEY, "l_quantity", "l_returnflag")
+    kt = SK.KeyedTable(spark, state_dir(spark, "lineitem"), _LI_KEY, li.schema, buckets=16)
     kt.upsert(li, 0)
     kt.upsert(li.where(F.col("l_returnflag") == "R").withColumn("l_quantity", F.col("l_quantity") + 1), 1)
     return kt.read()
