@@ -724,3 +724,16 @@ def q_unnest_arrays(spark, sf):
     pages = P.page_export(deploys, 200)
     payload = SK.bulk_payloads(pages, "page", cols)
     return SK.unnest_arrays(payload, cols)
+
+
+@query("sql_similarity", W(
+    f"SELECT id, wasm_name, round(CAST({_SIM_NAME} AS DOUBLE), 6) AS name_term FROM published_with_channel "
+    f"WHERE CAST({_SIM_NAME} AS DOUBLE) > 0.2", "published_with_channel"))
+def q_sql_similarity(spark, sf):
+    """The similarity function called from Spark SQL (temporary SQL function, no Python UDF)."""
+    from ..functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    p = _t(spark, sf).published_with_channel
+    return spark.sql(
+        "SELECT id, wasm_name, round(CAST(similarity(wasm_name, :term) AS DOUBLE), 6) AS name_term FROM {p} "
+        "WHERE CAST(similarity(wasm_name, :term) AS DOUBLE) > 0.2", args={"term": SEARCH_TERM}, p=p)

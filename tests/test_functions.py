@@ -66,3 +66,11 @@ def test_cursors():
             C.validate_limit(bad)
     with pytest.raises(ValueError):
         C.validate_limit(1, legacy=True)
+
+
+def test_sql_similarity_function(spark):
+    from ledgerloom.functions.sql import register_sql_functions
+    register_sql_functions(spark)
+    r = spark.sql("SELECT similarity('word', 'two words') AS s, similarity(NULL, 'x') AS n, "
+                  "similarity('', 'x') AS z").first()
+    assert round(r["s"], 6) == 0.363636 and r["n"] is None and r["z"] == 0.0
