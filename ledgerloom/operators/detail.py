@@ -10,7 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_scalar  # noqa: F401  (re-exported for callers)
 from .decode import sub_document
 from .latest import latest_per_key, sequence_index
 

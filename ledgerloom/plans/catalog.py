@@ -378,8 +378,8 @@ def q_keyset_page(spark, sf):
 @query("g_keyset_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 3000 "
                         "ORDER BY o_orderkey LIMIT 200")
 def q_g_keyset_page(spark, sf):
+    """A 200-row page of orders after key 3000, as a top-k over a pushed range predicate."""
     o = spark.read.parquet(f"{sf}/orders.parquet").select("o_orderkey", "o_totalprice")
-    from ..functions.cursor import keyset_predicate  # noqa: F401
     return o.where(F.col("o_orderkey") >= 3000).orderBy("o_orderkey").limit(200)
 
 
@@ -508,16 +508,12 @@ SPLIT_AT = 2000      # micro-batch boundary used by the multi-run sink jobs
 REREAD_FROM = 1990   # inclusive re-read of the batch ingest (at-least-once boundary)
 
 
-def _schema(df: DataFrame):
-    return df.schema
-
-
 @query("upsert_latest", W("SELECT * FROM registries", "registries"))
 def q_upsert_latest(spark, sf):
     """Registries maintained by two upsert micro-batches (plus a retried batch and a replay)."""
     t = _t(spark, sf)
     rows = t.sub_reg.where(F.col("contract_id").isNotNull())
-    kt = SK.KeyedTable(spark, state_dir(spark, "registries"), ["contract_id"], _schema(rows),
+    kt = SK.KeyedTable(spark, state_dir(spark, "registries"), ["contract_id"], rows.schema,
                        order=["ledger_sequence", "id"], buckets=8)
     kt.upsert(rows.where(F.col("ledger_sequence") < SPLIT_AT), 0)
     kt.upsert(rows.where(F.col("ledger_sequence") >= SPLIT_AT), 1)

@@ -32,10 +32,6 @@ SINK_NAMES = {"deploy": "deployed_contracts", "publish": "published_wasms", "reg
               "rename": "rename", "update_address": "update_address", "update_owner": "update_owner"}
 
 
-def _schema_of(spark: SparkSession, df_fn):
-    return df_fn(spark.createDataFrame([], CHAIN_EVENTS)).schema
-
-
 @dataclass
 class RegistryIngest:
     spark: SparkSession

@@ -42,3 +42,23 @@ def test_versions_rollback_and_vacuum(spark):
     assert _rows(kt) == [("a", 1, "1", "v1")]
     assert kt.vacuum(keep=1) == [2]
     assert _rows(kt) == [("a", 1, "1", "v1")]
+
+
+def test_upsert_over_random_splits_equals_latest_per_key(spark):
+    """Property: any split of the rows into ordered micro-batches gives the latest row per key."""
+    import random
+
+    from ledgerloom.operators.latest import latest_per_key
+    rnd = random.Random(11)
+    rows = [(f"k{rnd.randint(0, 9)}", rnd.randint(0, 20), f"{i:03d}", f"v{i}") for i in range(120)]
+    want = sorted(tuple(r) for r in latest_per_key(spark.createDataFrame(rows, SCH), ["k"],
+                                                   ("-ledger_sequence", "-id")).collect())
+    for trial in range(2):
+        shuffled = rows[:]
+        rnd.shuffle(shuffled)
+        cuts = sorted(rnd.sample(range(1, len(rows)), 3))
+        parts = [shuffled[a:b] for a, b in zip([0] + cuts, cuts + [len(rows)])]
+        kt = KeyedTable(spark, state_dir(spark, "t-prop"), ["k"], SCH, ["ledger_sequence", "id"], buckets=3)
+        for i, part in enumerate(parts):
+            kt.upsert(spark.createDataFrame(part, SCH), i)
+        assert _rows(kt) == want
