@@ -607,6 +607,7 @@ def q_artifact_catalog(spark, sf):
     return readers.artifact_catalog(m.select(F.concat(F.lit("artifacts/"), F.col("file_name")).alias("path")))
 
 
+# Fixed values: (column, JSON key) of a contract list row in the output envelope.
 _JSON_FIELDS = [("channel", "channel"), ("contract_id", "contract_id"), ("contract_name", "contract_name"),
                 ("deployer", "deployer"), ("wasm_version", "wasm_version"), ("wasm_name", "wasm_name"),
                 ("wasm_channel", "wasm_channel"), ("sac", "is_stellar_asset_contract")]

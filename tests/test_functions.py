@@ -74,3 +74,10 @@ def test_sql_similarity_function(spark):
     r = spark.sql("SELECT similarity('word', 'two words') AS s, similarity(NULL, 'x') AS n, "
                   "similarity('', 'x') AS z").first()
     assert round(r["s"], 6) == 0.363636 and r["n"] is None and r["z"] == 0.0
+
+
+def test_cursor_column_form(spark):
+    df = spark.createDataFrame([("12-abc-op-1-event-2",), ("12",), ("x-y",), (None,)], "c string")
+    got = [tuple(r[0]) if r[0] is not None else None for r in df.select(C.cursor_bound_col(F.col("c"))).collect()]
+    assert got[0] == (12, "12-abc-op-1-event-2-z")
+    assert got[1] == (None, None) and got[2] == (None, None)
