@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from collections import deque
+
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
@@ -16,9 +18,31 @@ def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) ->
 
     The side is persisted while it is counted, so the broadcast reuses the counted rows instead of
     computing the side a second time (a lost cached block is recomputed from lineage)."""
-    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    cached = keep_cached(df)
     n = cached.limit(max_rows + 1).count()
     if n <= max_rows:
         return F.broadcast(cached)
-    cached.unpersist()
+    release(cached)
     return df
+
+
+# Small sides stay cached while plans that use them are likely to run; at most MAX_LIVE of them are
+# kept (oldest released first). A released side is simply recomputed from its lineage if needed.
+MAX_LIVE = 32
+_LIVE: deque = deque()
+
+
+def keep_cached(df: DataFrame) -> DataFrame:
+    cached = df.persist(StorageLevel.MEMORY_AND_DISK)
+    _LIVE.append(cached)
+    while len(_LIVE) > MAX_LIVE:
+        _LIVE.popleft().unpersist()
+    return cached
+
+
+def release(df: DataFrame) -> None:
+    try:
+        _LIVE.remove(df)
+    except ValueError:
+        pass
+    df.unpersist()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from ..operators import decode as D
 from ..operators import views as V
 from ..operators.gate import membership_gate, membership_set
+from ..operators.joins import keep_cached
 from ..operators.latest import latest_per_key
 
 TYPED_EVENTS = ("deploy", "publish", "register", "rename", "update_address", "update_owner")
@@ -59,7 +60,7 @@ class RegistryTables:
         (a small table read by the gate and every channel join), so it is persisted once per plan
         set instead of being re-derived from the stream by each size check."""
         s = self.sub_reg.where(F.col("contract_id").isNotNull())
-        return latest_per_key(s, ["contract_id"], ("-ledger_sequence", "-id")).persist()
+        return keep_cached(latest_per_key(s, ["contract_id"], ("-ledger_sequence", "-id")))
 
     @cached_property
     def members(self) -> DataFrame:

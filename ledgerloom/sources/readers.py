@@ -96,3 +96,28 @@ def artifact_catalog(paths: DataFrame, path_col: str = "path", top_dir: str | No
         parent = F.regexp_extract(F.col("path"), r"^(.*)/[^/]+$", 1)
         cond = cond & (parent.endswith(top_dir.rstrip("/")))
     return out.where(cond)
+
+
+def incremental_step(events: DataFrame, targets: dict, limit: int, name_col_expr: Column,
+                     seq_col: str = "ledger_sequence", id_col: str = "id") -> DataFrame:
+    """One run of the batch ingest: high water per target (0 when empty), one shared read from the
+    smallest of them (``seq >= min ORDER BY seq, id LIMIT n``), and routing with each target's own
+    inclusive bound. ``targets`` maps target name -> (event name, target table). Returns the routed
+    rows with ``target``, the target's bound ``read_bound``, and the target's next high water
+    ``next_high_water`` (max of the old one and the batch's highest sequence; +1 when the batch was
+    shorter than ``limit``, i.e. the end of the stream was reached).
+
+    The high waters and the batch statistics are one-row aggregates read as scalars, so the bounds
+    are literal predicates (pushed to the scan) rather than joins."""
+    hw = high_waters({name: tbl for name, (_, tbl) in targets.items()}, seq_col).first().asDict()
+    batch = read_increment(events, int(hw["read_from"]), limit, seq_col, id_col).persist()
+    stats = batch.agg(F.coalesce(F.max(seq_col), F.lit(0)).alias("mx"), F.count(F.lit(1)).alias("n")).first()
+    at_end = 1 if stats["n"] < int(limit) else 0
+    routed = None
+    for name, (event, _) in targets.items():
+        bound = int(hw[name])
+        part = batch.where((name_col_expr == F.lit(event)) & (F.col(seq_col) >= F.lit(bound))).select(
+            F.col(id_col), F.col(seq_col), F.lit(name).alias("target"), F.lit(bound).cast("bigint").alias("read_bound"),
+            F.lit(max(bound, int(stats["mx"])) + at_end).cast("bigint").alias("next_high_water"))
+        routed = part if routed is None else routed.unionByName(part)
+    return routed

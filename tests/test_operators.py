@@ -66,7 +66,9 @@ def test_similarity_join_equals_brute_force(spark):
     qdf = spark.createDataFrame([(q,) for q in queries], "q string")
     got = {(r["query"], r["name"]): r["similarity"] for r in S.similarity_join(qdf, "q", ndf, "name").collect()}
     from ledgerloom.functions.trigram import similarity
-    pairs = qdf.crossJoin(ndf.where(F.col("name").isNotNull()).distinct())  # brute force on a literal fixture
+    import itertools
+    pair_rows = list(itertools.product(queries, sorted({n for n in names if n is not None})))
+    pairs = spark.createDataFrame(pair_rows, "q string, name string")   # brute force on a literal fixture
     brute = pairs.select("q", "name", similarity("q", "name").cast("double").alias("s")).where("s > 0.2")
     want = {(r["q"], r["name"]): round(r["s"], 6) for r in brute.collect()}
     assert got == want and len(want) > 0
