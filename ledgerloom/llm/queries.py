@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import language_id, mixing, quality
 from .common import read_table, ship
+from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .suffix_dedup import remove_repeats
 
@@ -46,3 +48,16 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op4_mixing"] = mixing.SQL
 SQL["op6_quality"] = quality.SQL
+
+
+@query
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(read_table(spark, sf_dir, "documents"))
+
+
+@query
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    out_of_sample = language_id.held_out(F.col("doc_id"))
+    model = language_id.fit(docs.where(~out_of_sample))
+    return language_id.identify(docs, model).select("doc_id", out_of_sample.alias("held_out"), "lang_pred", "score", "rejected")
