@@ -1 +1,72 @@
-"""A training corpus from ``documents``: each stage takes the rows that the one before it kept."""
+"""A training corpus from ``documents``: each stage takes the rows that the one before it kept.
+
+Quality rules, near-duplicates, benchmark passages, mixing to target weights, then token ids in shard files. All
+stages but the last return the columns of their input; a document that the mix repeats is a row each time.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ledgerloom.llm import decontaminate, mixing, near_dedup, quality, token_output
+from ledgerloom.llm.common import read_table, ship
+from ledgerloom.session import state_dir
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that neither fail the rules nor come from a rejected host."""
+    return quality.judge(docs, keep_rows=True)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group, that of the least id; documents without words all stay."""
+    ship(spark)
+    found = near_dedup.near_duplicates(docs)
+    stays = (found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
+             .select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__th"), F.lit(1).alias("__copies")))
+    empty = found.where("group is null").groupBy("doc_id", "text_hash").agg(F.count("*").cast("int").alias("__copies"))
+    stays = stays.union(empty.select("doc_id", "text_hash", "__copies"))
+    hashed = docs.withColumn("__h", F.xxhash64("text"))
+    number = F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
+    rows = hashed.withColumn("__number", number).join(stays, hashed["doc_id"].eqNullSafe(stays["__id"]) & (hashed["__h"] == stays["__th"]))
+    return rows.where("__number <= __copies").select(*docs.columns)
+
+
+def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without a benchmark item."""
+    ship(spark)
+    return decontaminate.without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
+
+
+def source_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    return mixing.emit(docs, mixing.mix_sources(docs))
+
+
+def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of the files written: doc_id, start, n_tokens, ids_crc32."""
+    ship(spark)
+    return token_output.encode_to_files(docs).select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("near-duplicates", near_duplicates),
+    ("benchmark decontamination", benchmark_passages),
+    ("mixing to target weights", source_weights),
+    ("token ids", token_files),
+]
+
+#: Near-duplicate groups, edit distances and the tokenizer have no SQL; tests compare with brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    base = state_dir(spark, "llm-pipeline")
+    for k, (_, stage) in enumerate(STAGES):
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{base}/{k}")
+        docs = spark.read.schema(out.schema).parquet(f"{base}/{k}")
+    return docs

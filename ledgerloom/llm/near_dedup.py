@@ -132,7 +132,7 @@ def _confirm(percent: int):
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 32, rows: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (least id reachable, itself included), kept (id = component_id),
-    text_hash (xxhash64 of the text) of each document."""
+    text_hash (xxhash64 of the text) and group (a name of its component, null for an empty set) of each document."""
     base = columns_of(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
     base = base.select("id", F.xxhash64("text").alias("th"), F.col("text").cast("binary").alias("text"))
     features = stored(base.mapInArrow(_features(words, bands, rows), "id long, th long, n long, node binary, bands array<long>"), "op7-sketch")
@@ -183,4 +183,4 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     out = joined.join(least, "part", "left")
     component = F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least"))
     return out.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"),
-                      F.col("id").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"))
+                      F.col("id").eqNullSafe(component).alias("kept"), F.col("th").alias("text_hash"), F.col("part").alias("group"))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, mixing, quality
+from . import chat, decontaminate, language_id, mixing, quality, token_counts, token_output
 from .common import read_table, ship
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
@@ -33,7 +33,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, words=5).drop("text_hash")
+    return near_duplicates(read_table(spark, sf_dir, "documents"), percent=85, words=5).drop("text_hash", "group")
 
 
 @query
@@ -61,3 +61,27 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     out_of_sample = language_id.held_out(F.col("doc_id"))
     model = language_id.fit(docs.where(~out_of_sample))
     return language_id.identify(docs, model).select("doc_id", out_of_sample.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts_by_document(read_table(spark, sf_dir, "documents")).select("doc_id", "n_tokens")
+
+
+@query
+def op5_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_output.encode_to_files(read_table(spark, sf_dir, "documents"))
+    return files.select("doc_id", "start", "n_tokens", "ids_crc32")
+
+
+@query
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(read_table(spark, sf_dir, "conversations")).select("conv_id", "place", "rendered", "n_turns")
+
+
+SQL["op8_chat_format"] = chat.SQL
