@@ -9,10 +9,12 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere is
   belong to it. Phrases are grouped by trigger string and whole phrase; the occurrences of one phrase in a
   batch go as a single row, so a hot phrase costs a row a batch. A phrase found twice settles all suffixes
   in it at once, and if it is its trigger's only phrase, nothing more is asked of it.
-* Corpus order. Where a trigger has several phrases, the suffixes that belong to it are put in order,
-  once for each different phrase: by the fingerprint (96 bits) of their first ``length`` bytes. A run of
-  equal fingerprints is a run of the corpus' suffix array whose common prefixes have ``length`` bytes or more.
-  The order between runs plays no part in the result and isn't made.
+* Corpus order. Where a trigger has several phrases, the suffixes that belong to it are put in order: by
+  the fingerprint (96 bits) of their first ``length`` bytes. A run of equal fingerprints is a run of the corpus' suffix
+  array whose common prefixes have ``length`` bytes or more. The order between runs plays no part in the
+  result and isn't made. A phrase found twice is spoken for by its first occurrence (least id, then place): a suffix
+  in any other occurrence is left out, a suffix in a first one counts twice. What is left out has an equal in an
+  earlier place, so it's never lost.
 
 Null and empty texts, and texts shorter than ``length``, keep all bytes. Repeated rows are separate
 documents, so each of them is a repeat of the other. A null id is an id like others.
@@ -32,7 +34,9 @@ from .common import columns_of
 from .rolling import SEGMENT, Prefix, slide
 
 _OCC = np.dtype([("doc", "<i8"), ("kh", "<i4"), ("p", "<i8")])
-_KEYED = "k1 long, k2 int, n long, doc long, kh int, p long, more binary"
+#: Trigger hash; half a phrase or suffix hash, and 16 bits that tell rows of one id apart; the first occurrence; the sum
+#: of weights, if not 1; the other occurrences, if any.
+_KEYED = "k1 long, q long, doc long, p long, n long, more binary"
 
 
 def segments(n: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -96,11 +100,11 @@ def _keyed(k1: list, k2: list, weight: list, doc: list, kh: list, p: list) -> pa
     first = np.nonzero(new)[0]
     n = np.diff(np.append(first, len(k1)))
     more = [None if c == 1 else occ[f + 1:f + c].tobytes() for f, c in zip(first.tolist(), n.tolist(), strict=True)]
+    n_all, one = np.add.reduceat(weight, first), occ[first]
     return pa.RecordBatch.from_arrays(
-        [pa.array(k1[first]), pa.array(k2[first]), pa.array(np.add.reduceat(weight, first)), pa.array(np.ascontiguousarray(occ["doc"][first])),
-         pa.array(np.ascontiguousarray(occ["kh"][first])), pa.array(np.ascontiguousarray(occ["p"][first])),
-         pa.array(more, pa.binary())],
-        names=["k1", "k2", "n", "doc", "kh", "p", "more"])
+        [pa.array(k1[first]), pa.array((k2[first].astype(np.int64) << 16) | one["kh"]), pa.array(np.ascontiguousarray(one["doc"])),
+         pa.array(np.ascontiguousarray(one["p"])), pa.array(n_all, mask=n_all == 1), pa.array(more, pa.binary())],
+        names=["k1", "q", "doc", "p", "n", "more"])
 
 
 def _collect(batch: pa.RecordBatch, rows) -> Iterator[pa.RecordBatch]:
@@ -108,13 +112,14 @@ def _collect(batch: pa.RecordBatch, rows) -> Iterator[pa.RecordBatch]:
     got: list[list] = [[], [], [], [], [], []]
     held = 0
     doc, kh = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("kh").to_numpy(zero_copy_only=False)
-    for i in range(batch.num_rows):
+    order = np.lexsort((kh, doc))  # so that the first occurrence of a key is the least
+    for turn, i in enumerate(order.tolist()):
         for k1, k2, weight, p in rows(i):
             if len(k1):
                 for to, x in zip(got, (k1, k2, weight, np.full(len(k1), doc[i]), np.full(len(k1), kh[i]), p), strict=True):
                     to.append(x)
                 held += len(k1)
-        if held > 1_000_000 or i + 1 == batch.num_rows:
+        if held > 1_000_000 or turn + 1 == batch.num_rows:
             if (out := _keyed(*got)) is not None:
                 yield out
             got, held = [[], [], [], [], [], []], 0
@@ -139,30 +144,34 @@ def _parse(length: int, trigger: int):
     return run
 
 
-#: Bits below a position: the phrase is found twice; its suffixes are to be put in order.
-_SETTLED, _OPEN, _FLAGS = 1, 2, 2
+#: Bits below a position: the phrase is found twice; its trigger has several phrases; this is its first occurrence.
+_SETTLED, _SEVERAL, _FIRST, _FLAGS = 1, 2, 4, 3
 
 
 def _order(length: int, trigger: int):
-    """Fingerprints of the suffixes that belong to open phrases; those of settled phrases count twice."""
+    """Fingerprints of the suffixes whose triggers have several phrases."""
     def run(batches):
         for batch in batches:
             found = batch.column("found")
 
             def rows(i, batch=batch, found=found):
                 data, p = _bytes(batch, i), found[i].values.to_numpy(zero_copy_only=False)
-                p = p[(p & _OPEN) > 0]
-                s, times = p >> _FLAGS, 1 + (p & _SETTLED)
+                s = p >> _FLAGS
+                first, last = reach(s, len(data), length, trigger)
+                settled, foremost, several = ((p & flag) > 0 for flag in (_SETTLED, _FIRST, _SEVERAL))
                 for at, end, lo, hi in segments(len(data), length):
                     own = data[lo:hi]
-                    prefix = Prefix(own)
-                    owner = first_least(prefix.windows(trigger), length - trigger + 1)
-                    weight = np.zeros(len(own), dtype=np.int64)
-                    near = (s >= lo) & (s < hi)
-                    weight[s[near] - lo] = times[near]
-                    x = np.flatnonzero(weight[owner])
+                    prefix, n = Prefix(own), hi - lo - length + 1
+                    asked = np.zeros(len(own), dtype=bool)
+                    near = several & (s >= lo) & (s < hi)
+                    asked[s[near] - lo] = True
+                    x = asked[first_least(prefix.windows(trigger), length - trigger + 1)]
+                    later = settled & ~foremost & ~np.isin(s, s[foremost])  # rows that are alike share a list
+                    x &= ~covered(first[later] - lo, last[later] - lo, n)
+                    x = np.flatnonzero(x)
                     x = x[(x + lo >= at) & (x + lo < end)]
-                    yield prefix.of(x, x + length), _half(Prefix(own, 1).of(x, x + length)), weight[owner[x]], x + lo
+                    weight = 1 + covered(first[settled] - lo, last[settled] - lo, n)[x].astype(np.int64)
+                    yield prefix.of(x, x + length), _half(Prefix(own, 1).of(x, x + length)), weight, x + lo
             yield from _collect(batch, rows)
     return run
 
@@ -210,12 +219,12 @@ def _finish(length: int, trigger: int):
 
 def _expand(batches):
     for batch in batches:
-        doc, kh, p, flag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "kh", "p", "flag"))
-        parts = [(doc, kh, (p << _FLAGS) | flag)]
+        doc, q, p, flag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "q", "p", "flag"))
+        parts = [(doc, (q & 0xFFFF).astype(np.int32), (p << _FLAGS) | flag)]
         more = batch.column("more")
         for i in np.flatnonzero(~np.asarray(more.is_null())):
             occ = np.frombuffer(more[int(i)].as_py(), dtype=_OCC)
-            parts.append((occ["doc"], occ["kh"], (occ["p"] << _FLAGS) | (flag[i] & _SETTLED)))
+            parts.append((occ["doc"], occ["kh"], (occ["p"] << _FLAGS) | (flag[i] & ~_FIRST)))
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in parts])) for k in range(3)], names=["doc", "kh", "p"])
 
 
@@ -229,29 +238,32 @@ def remove_repeats(docs: DataFrame, length: int = 200, trigger: int | None = Non
         raise ValueError("1 <= trigger <= length, and at most 1,500 bytes between them")
     d = columns_of(docs, id_col, text_col).toDF("id", "text")
     base = d.select(F.coalesce("id", F.lit(0)).cast("long").alias("doc"), F.col("id").isNull().alias("isnull"),
-                    F.pmod(F.hash("id", "text"), F.lit(65536)).cast("int").alias("kh"),
+                    F.hash("id", "text").bitwiseAND(F.lit(65535)).alias("kh"),
                     F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     long_enough = base.where(F.octet_length("text") >= length)
     parsed = long_enough.select("doc", "kh", "text").mapInArrow(_parse(length, trigger), _KEYED)
+    def keyed(rows: DataFrame) -> DataFrame:
+        return rows.withColumns({"k2": F.shiftright("q", 16), "n": F.coalesce("n", F.lit(1))})
+
     of_trigger, of_phrase = Window.partitionBy("k1"), Window.partitionBy("k1", "k2")
     several = F.min("k2").over(of_trigger) != F.max("k2").over(of_trigger)
-    one = F.row_number().over(of_phrase.orderBy("doc", "kh", "p")) == 1
+    foremost = F.row_number().over(of_phrase.orderBy("doc", "q", "p")) == 1
     settled = F.sum("n").over(of_phrase) > 1
-    found = (parsed.withColumns({"several": several, "one": one, "settled": settled})
-             .where("several or settled")
-             .withColumn("flag", F.when(F.col("settled"), _SETTLED).otherwise(0)
-                         + F.when(F.col("several") & F.col("one"), _OPEN).otherwise(0))
-             .select("doc", "kh", "p", F.col("flag").cast("long"), "more")
+    found = (keyed(parsed).withColumns({"several": several, "foremost": foremost, "settled": settled}).where("several or settled")
+             .withColumn("flag", F.when(F.col("settled"), _SETTLED).otherwise(0) + F.when(F.col("several"), _SEVERAL).otherwise(0)
+                         + F.when(F.col("foremost"), _FIRST).otherwise(0))
+             .select("doc", "q", "p", F.col("flag").cast("long"), "more")
              .mapInArrow(_expand, "doc long, kh int, p long")
-             .groupBy("doc", "kh").agg(F.collect_list("p").alias("found"))
-             .select("doc", "kh", "found", F.exists("found", lambda p: p.bitwiseAND(F.lit(_OPEN)) > 0).alias("open")))
-    ordered = (base.join(found.where("open"), ["doc", "kh"]).select("doc", "kh", "text", "found")
+             .groupBy("doc", "kh").agg(F.collect_list("p").alias("found")))
+    both = _SEVERAL | _FIRST
+    found = found.withColumn("open", F.exists("found", lambda p: p.bitwiseAND(F.lit(both)) == both))
+    ordered = (base.join(found.where("open"), ["doc", "kh"]).select("doc", "kh", "isnull", "text", "found")
                .mapInArrow(_order(length, trigger), _KEYED))
-    starts = (ordered.withColumn("total", F.sum("n").over(of_phrase)).where("total > 1")
-              .withColumn("flag", F.lit(0).cast("long")).select("doc", "kh", "p", "flag", "more")
+    starts = (keyed(ordered).withColumn("total", F.sum("n").over(of_phrase)).where("total > 1")
+              .withColumn("flag", F.lit(0).cast("long")).select("doc", "q", "p", "flag", "more")
               .mapInArrow(_expand, "doc long, kh int, p long")
               .groupBy("doc", "kh").agg(F.collect_list(F.shiftright("p", _FLAGS)).alias("starts")))
-    whole = base.join(found.drop("open"), ["doc", "kh"], "left").join(starts, ["doc", "kh"], "left")
+    whole = base.join(found, ["doc", "kh"], "left").join(starts, ["doc", "kh"], "left")
     done = whole.select("doc", "isnull", "text", "found", "starts").mapInArrow(
         _finish(length, trigger), "doc long, isnull boolean, n_bytes long, n_removed long, n_spans long, kept_sha256 string,"
                          " kept binary, spans array<long>")
