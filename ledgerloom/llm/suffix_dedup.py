@@ -27,16 +27,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import columns_of
 from .rolling import SEGMENT, Prefix, slide
 
 _OCC = np.dtype([("doc", "<i8"), ("kh", "<i4"), ("p", "<i8")])
-#: Trigger hash; half a phrase or suffix hash, and 16 bits that tell rows of one id apart; the first occurrence; the sum
-#: of weights, if not 1; the other occurrences, if any.
-_KEYED = "k1 long, q long, doc long, p long, n long, more binary"
+#: Keys go to the tasks that compare them in blocks: those of one bucket in a batch.
+_BLOCKS = "bucket int, block binary"
 
 
 def segments(n: int, length: int) -> Iterator[tuple[int, int, int, int]]:
@@ -86,29 +85,100 @@ def reach(s: np.ndarray, n: int, length: int, trigger: int) -> tuple[np.ndarray,
     return np.maximum(s - (length - trigger), 0), np.minimum(s, n - length)
 
 
-def _keyed(k1: list, k2: list, weight: list, doc: list, kh: list, p: list) -> pa.RecordBatch | None:
-    """One row for each key of a batch, with its first occurrence, the sum of weights and the other occurrences."""
-    if not k1:
+def _planes(x: np.ndarray) -> bytes:
+    """First bytes, then second bytes, ...: what they have in common compresses well in the shuffle."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _from_planes(data: memoryview, dtype: str, n: int) -> np.ndarray:
+    wide = np.dtype(dtype)
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * wide.itemsize).reshape(wide.itemsize, n).T).view(wide).ravel()
+
+
+#: Of each key: hash of the trigger (or the suffix), half a hash of the phrase (or a second one of the suffix), the first
+#: occurrence, the sum of weights, how many occurrences more there are.
+_PARTS = (("k1", "<u8"), ("k2", "<u4"), ("kh", "<u2"), ("doc", "<i8"), ("p", "<i8"), ("n", "<i4"), ("more", "<i4"))
+
+
+def _blocks(got: list[list], buckets: int) -> pa.RecordBatch | None:
+    """One key for each different one, with its occurrences; a block for each bucket."""
+    if not got[0]:
         return None
-    k1, k2 = np.concatenate(k1).view(np.int64), np.concatenate(k2)
+    k1, k2, weight, doc, kh, p = map(np.concatenate, got)
     occ = np.empty(len(k1), dtype=_OCC)
-    occ["doc"], occ["kh"], occ["p"] = np.concatenate(doc), np.concatenate(kh), np.concatenate(p)
+    occ["doc"], occ["kh"], occ["p"] = doc, kh, p
     order = np.lexsort((k2, k1))
-    k1, k2, occ, weight = k1[order], k2[order], occ[order], np.concatenate(weight)[order]
+    k1, k2, occ, weight = k1[order], k2[order], occ[order], weight[order]
     new = np.ones(len(k1), dtype=bool)
     new[1:] = (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])
-    first = np.nonzero(new)[0]
-    n = np.diff(np.append(first, len(k1)))
-    more = [None if c == 1 else occ[f + 1:f + c].tobytes() for f, c in zip(first.tolist(), n.tolist(), strict=True)]
-    n_all, one = np.add.reduceat(weight, first), occ[first]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(k1[first]), pa.array((k2[first].astype(np.int64) << 16) | one["kh"]), pa.array(np.ascontiguousarray(one["doc"])),
-         pa.array(np.ascontiguousarray(one["p"])), pa.array(n_all, mask=n_all == 1), pa.array(more, pa.binary())],
-        names=["k1", "q", "doc", "p", "n", "more"])
-
-
-def _collect(batch: pa.RecordBatch, rows) -> Iterator[pa.RecordBatch]:
-    """Keyed rows of a batch of documents, a flush at about a million occurrences. rows: k1, k2, weight, p of a document."""
+    first = np.flatnonzero(new)
+    size = np.diff(np.append(first, len(k1)))
+    one = occ[first]
+    parts = {"k1": k1[first], "k2": k2[first], "kh": one["kh"], "doc": one["doc"], "p": one["p"],
+             "n": np.minimum(np.add.reduceat(weight, first), 2), "more": size - 1}
+    bucket = ((k1[first] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    edge = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
+    others = occ[~new]
+    rest = np.concatenate([[0], np.cumsum(size - 1)])
+    blocks = []
+    for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        blocks.append(np.int64(b - a).tobytes() + b"".join(_planes(parts[c][a:b].astype(t)) for c, t in _PARTS) + others[rest[a]:rest[b]].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(bucket[edge[:-1]].astype(np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "block"])
+
+
+def _read_blocks(batches) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """The keys of a partition, and their further occurrences in the keys' order."""
+    got: dict[str, list] = {c: [] for c, _ in _PARTS}
+    others = []
+    for batch in batches:
+        for block in batch.column("block"):
+            data = memoryview(block.as_buffer())
+            n, at = int(np.frombuffer(data, "<i8", 1)[0]), 8
+            for c, t in _PARTS:
+                got[c].append(_from_planes(data[at:], t, n))
+                at += n * np.dtype(t).itemsize
+            others.append(np.frombuffer(data[at:], dtype=_OCC))
+    if not others:
+        return {c: np.empty(0, dtype=t) for c, t in _PARTS}, np.empty(0, dtype=_OCC)
+    return {c: np.concatenate(x) for c, x in got.items()}, np.concatenate(others)
+
+
+def _compare(phrases_too: bool):
+    """Occurrences whose key is found again, with flags; for phrases, also those whose trigger has several."""
+    def run(batches):
+        key, others = _read_blocks(batches)
+        k1 = np.sort(key["k1"])
+        again = np.unique(k1[1:][k1[1:] == k1[:-1]])
+        keep = key["n"] > 1
+        if len(again):
+            keep |= again[np.minimum(np.searchsorted(again, key["k1"]), len(again) - 1)] == key["k1"]
+        behind = np.cumsum(key["more"])
+        x = np.flatnonzero(keep)
+        if not len(x):
+            return
+        x = x[np.lexsort((key["p"][x], key["kh"][x], key["doc"][x], key["k2"][x], key["k1"][x]))]
+        k1, k2 = key["k1"][x], key["k2"][x]
+        new1 = np.concatenate([[True], k1[1:] != k1[:-1]])
+        new2 = new1 | np.concatenate([[True], k2[1:] != k2[:-1]])
+        of1, of2 = np.cumsum(new1) - 1, np.cumsum(new2) - 1
+        settled = np.add.reduceat(key["n"][x], np.flatnonzero(new2))[of2] > 1
+        several = np.bincount(of1[new2])[of1] > 1
+        wanted = settled | several if phrases_too else settled
+        flag = settled * _SETTLED + several * _SEVERAL + new2 * _FIRST
+        x, flag = x[wanted], flag[wanted].astype(np.int64)
+        more = key["more"][x]
+        at = np.repeat(behind[x] - np.cumsum(more), more) + np.arange(more.sum())
+        rest = others[at]
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.concatenate([key["doc"][x], rest["doc"]])),
+            pa.array(np.concatenate([key["kh"][x].astype(np.int32), rest["kh"]])),
+            pa.array(np.concatenate([(key["p"][x] << _FLAGS) | flag, (rest["p"] << _FLAGS) | np.repeat(flag & ~_FIRST, more)]))],
+            names=["doc", "kh", "p"])
+    return run
+
+
+def _collect(batch: pa.RecordBatch, rows, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Blocks of keys of a batch of documents, a flush at about a million occurrences. rows: k1, k2, weight, p of a document."""
     got: list[list] = [[], [], [], [], [], []]
     held = 0
     doc, kh = batch.column("doc").to_numpy(zero_copy_only=False), batch.column("kh").to_numpy(zero_copy_only=False)
@@ -120,7 +190,7 @@ def _collect(batch: pa.RecordBatch, rows) -> Iterator[pa.RecordBatch]:
                     to.append(x)
                 held += len(k1)
         if held > 1_000_000 or turn + 1 == batch.num_rows:
-            if (out := _keyed(*got)) is not None:
+            if (out := _blocks(got, buckets)) is not None:
                 yield out
             got, held = [[], [], [], [], [], []], 0
 
@@ -131,16 +201,16 @@ def _bytes(batch: pa.RecordBatch, i: int) -> np.ndarray:
 
 
 def _half(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32).view(np.int32)
+    return (h >> np.uint64(32)).astype(np.uint32)
 
 
-def _parse(length: int, trigger: int):
+def _parse(length: int, trigger: int, buckets: int):
     def run(batches):
         for batch in batches:
             def rows(i, batch=batch):
                 for t, e, s in phrases(_bytes(batch, i), length, trigger):
                     yield t, _half(e), np.ones(len(s), dtype=np.int64), s
-            yield from _collect(batch, rows)
+            yield from _collect(batch, rows, buckets)
     return run
 
 
@@ -148,7 +218,7 @@ def _parse(length: int, trigger: int):
 _SETTLED, _SEVERAL, _FIRST, _FLAGS = 1, 2, 4, 3
 
 
-def _order(length: int, trigger: int):
+def _order(length: int, trigger: int, buckets: int):
     """Fingerprints of the suffixes whose triggers have several phrases."""
     def run(batches):
         for batch in batches:
@@ -172,7 +242,7 @@ def _order(length: int, trigger: int):
                     x = x[(x + lo >= at) & (x + lo < end)]
                     weight = 1 + covered(first[settled] - lo, last[settled] - lo, n)[x].astype(np.int64)
                     yield prefix.of(x, x + length), _half(Prefix(own, 1).of(x, x + length)), weight, x + lo
-            yield from _collect(batch, rows)
+            yield from _collect(batch, rows, buckets)
     return run
 
 
@@ -217,17 +287,6 @@ def _finish(length: int, trigger: int):
     return run
 
 
-def _expand(batches):
-    for batch in batches:
-        doc, q, p, flag = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc", "q", "p", "flag"))
-        parts = [(doc, (q & 0xFFFF).astype(np.int32), (p << _FLAGS) | flag)]
-        more = batch.column("more")
-        for i in np.flatnonzero(~np.asarray(more.is_null())):
-            occ = np.frombuffer(more[int(i)].as_py(), dtype=_OCC)
-            parts.append((occ["doc"], occ["kh"], (occ["p"] << _FLAGS) | (flag[i] & ~_FIRST)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[k] for x in parts])) for k in range(3)], names=["doc", "kh", "p"])
-
-
 def remove_repeats(docs: DataFrame, length: int = 200, trigger: int | None = None, id_col: str = "doc_id",
                    text_col: str = "text") -> DataFrame:
     """``id_col``, n_bytes, n_removed, n_spans, kept_sha256, kept (binary: the bytes left) and spans (start and end
@@ -241,27 +300,16 @@ def remove_repeats(docs: DataFrame, length: int = 200, trigger: int | None = Non
                     F.hash("id", "text").bitwiseAND(F.lit(65535)).alias("kh"),
                     F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     long_enough = base.where(F.octet_length("text") >= length)
-    parsed = long_enough.select("doc", "kh", "text").mapInArrow(_parse(length, trigger), _KEYED)
-    def keyed(rows: DataFrame) -> DataFrame:
-        return rows.withColumns({"k2": F.shiftright("q", 16), "n": F.coalesce("n", F.lit(1))})
-
-    of_trigger, of_phrase = Window.partitionBy("k1"), Window.partitionBy("k1", "k2")
-    several = F.min("k2").over(of_trigger) != F.max("k2").over(of_trigger)
-    foremost = F.row_number().over(of_phrase.orderBy("doc", "q", "p")) == 1
-    settled = F.sum("n").over(of_phrase) > 1
-    found = (keyed(parsed).withColumns({"several": several, "foremost": foremost, "settled": settled}).where("several or settled")
-             .withColumn("flag", F.when(F.col("settled"), _SETTLED).otherwise(0) + F.when(F.col("several"), _SEVERAL).otherwise(0)
-                         + F.when(F.col("foremost"), _FIRST).otherwise(0))
-             .select("doc", "q", "p", F.col("flag").cast("long"), "more")
-             .mapInArrow(_expand, "doc long, kh int, p long")
+    buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    places = "doc long, kh int, p long"
+    found = (long_enough.select("doc", "kh", "text").mapInArrow(_parse(length, trigger, buckets), _BLOCKS)
+             .repartition("bucket").mapInArrow(_compare(True), places)
              .groupBy("doc", "kh").agg(F.collect_list("p").alias("found")))
     both = _SEVERAL | _FIRST
     found = found.withColumn("open", F.exists("found", lambda p: p.bitwiseAND(F.lit(both)) == both))
-    ordered = (base.join(found.where("open"), ["doc", "kh"]).select("doc", "kh", "isnull", "text", "found")
-               .mapInArrow(_order(length, trigger), _KEYED))
-    starts = (keyed(ordered).withColumn("total", F.sum("n").over(of_phrase)).where("total > 1")
-              .withColumn("flag", F.lit(0).cast("long")).select("doc", "q", "p", "flag", "more")
-              .mapInArrow(_expand, "doc long, kh int, p long")
+    starts = (base.join(found.where("open"), ["doc", "kh"]).select("doc", "kh", "isnull", "text", "found")
+              .mapInArrow(_order(length, trigger, buckets), _BLOCKS)
+              .repartition("bucket").mapInArrow(_compare(False), places)
               .groupBy("doc", "kh").agg(F.collect_list(F.shiftright("p", _FLAGS)).alias("starts")))
     whole = base.join(found, ["doc", "kh"], "left").join(starts, ["doc", "kh"], "left")
     done = whole.select("doc", "isnull", "text", "found", "starts").mapInArrow(
