@@ -6,9 +6,12 @@
   bin takes over the value of another, drawn by a hash of the bin and the attempt until a filled one comes
   (optimal densification). ``rows`` bins make a band; classes that agree in a whole band share a bucket.
 * Candidates are stars: the members of a bucket are compared with its centre, the class whose buckets hold
-  most members in all. The first round has one centre in each bucket; where members are still in several
-  components, further rounds take four times as many next centres, until each bucket is joined up or all of its
-  members have been centres. So pairs stay few where groups join up, and no pair of a bucket is lost.
+  most members in all, so pairs grow with the members, not with their square. What a star leaves open goes into
+  finer buckets, exactly. With t = percent / (100 + percent), x isn't linked with centre c if d = t(|x| + |c|) - |x & c| > 0;
+  then x and m are linked only if they share a run that c lacks, or if t(|c| - |m|) >= d (as |x & m| is at most |x & c| plus
+  the shared runs that c lacks). So members of stars that aren't one component yet are put in buckets by (centre, run that
+  the centre lacks), and those that meet the second bound by centre, and the next round takes stars of these, until
+  no bucket has members of several components. No linked pair of a bucket is lost.
 * A link is confirmed on the full sets: 100 x intersection >= ``percent`` x union.
 
 With the default 32 bands of 4 bins, a pair at a similarity of 0.85 shares no bucket with a probability of 6e-11.
@@ -129,6 +132,33 @@ def _confirm(percent: int):
     return run
 
 
+def _finer(percent: int):
+    """(bucket, node, small, d, g): a row for each run that a star's centre lacks, and one for the bound on sizes."""
+    def run(batches):
+        for batch in batches:
+            bucket, node, small, d, g = [], [], [], [], []
+            for a, b, x, y in zip(*(batch.column(c) for c in ("a", "b", "x", "y")), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+                own = np.frombuffer(a.as_py()[:8], dtype=np.uint64)
+                lacks = np.setdiff1d(y, x, assume_unique=True)
+                bucket.append(np.append(mix(lacks ^ own), own).view(np.int64))
+                n = len(lacks) + 1
+                node += [b.as_py()] * n
+                small.append(np.arange(n) == n - 1)
+                d.append(np.full(n, percent * (len(x) + len(y)) - (100 + percent) * (len(y) - len(lacks))))
+                g.append(np.full(n, percent * (len(x) - len(y))))
+            if node:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(bucket)), pa.array(node, pa.binary()),
+                                                  *[pa.array(np.concatenate(c)) for c in (small, d, g)]], names=["bucket", "node", "small", "d", "g"])
+    return run
+
+
+def _with_part(rows: DataFrame, label: DataFrame, col: str, part: str = "part") -> DataFrame:
+    """``rows`` with the component of the node in ``col``, itself if it has no links."""
+    label = label.withColumnRenamed("node", "__node")
+    return rows.join(label, rows[col] == label["__node"], "left").withColumn(part, F.coalesce(part, col)).drop("__node")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 32, rows: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (least id reachable, itself included), kept (id = component_id),
@@ -146,34 +176,40 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     sets = stored(base.join(chosen, base["id"].eqNullSafe(chosen["id"]) & (base["th"] == chosen["th"]))
                   .select("node", "text").mapInArrow(_sets(words), "node binary, shingles binary")
                   .groupBy("node").agg(F.first("shingles").alias("shingles")), "op7-sets")
-    # members of a bucket in the order in which they become centres
-    order = Window.partitionBy("band", "key").orderBy(F.desc("rank"), "node")
-    ranked = stored(shared.select("node", "band", "key", "n").join(rank.select("node", "rank"), "node")
-                    .withColumn("turn", F.row_number().over(order)).drop("rank"), "op7-turns")
+    sizes = rank.select("node", "n")
+    ranked = shared.select(F.xxhash64("band", "key").alias("bucket"), "node").join(rank.select("node", "rank"), "node")
+    x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
+    y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     links = label = None
-    done, width = 0, 1
     while True:
-        now = ranked if label is None else ranked.join(label, "node", "left")
-        now = now.withColumn("part", F.col("node") if label is None else F.coalesce("part", "node"))
-        # buckets that are in several parts and still have centres to come
-        parts = (now.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("turn").alias("last"))
-                 .where(f"lo <> hi and last > {done}").select("band", "key"))
-        now = now.join(parts, ["band", "key"])
-        centre = now.where(f"turn > {done} and turn <= {done + width}").select(
-            "band", "key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"))
-        pairs = (now.join(centre, ["band", "key"]).where("part <> part_a and turn > turn_a")
-                 .where(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
-        x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-        y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        new = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-                     .mapInArrow(_confirm(percent), "a binary, b binary"), "op7-links")
+        # (bucket, node, rank): a star for each bucket with members of several parts
+        now = ranked.withColumn("part", F.col("node")) if label is None else _with_part(ranked, label, "node")
+        centre = (now.groupBy("bucket").agg(F.max(F.struct("rank", "node")).getField("node").alias("a"), F.min("part").alias("lo"), F.max("part").alias("hi"))
+                  .where("lo <> hi").select("bucket", "a"))
+        stars = stored(now.join(centre, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "op7-stars")
+        if stars.isEmpty():
+            break
+        near = (stars.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
+                .where(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)").select("a", "b"))
+        new = stored(near.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(_confirm(percent), "a binary, b binary"), "op7-links")
         if not new.isEmpty():
             links = new if links is None else links.union(new)
             label = components(links, "op7-parts").select(F.col("a").alias("node"), F.col("b").alias("part"))
-        done, width = done + width, 4 * width
-        if ranked.where(f"turn > {done}").isEmpty():
-            break
+        # stars that aren't one part yet go into finer buckets
+        parts = stars.withColumns({"part": F.col("b"), "part_a": F.col("a")}) if label is None else _with_part(
+            _with_part(stars, label, "b"), label.toDF("node", "part_a"), "a", "part_a")
+        open_stars = parts.groupBy("a").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.first("part_a").alias("part_a")).where("lo <> hi or lo <> part_a").select("a")
+        rest = (stars.join(open_stars, "a").join(y, "b").join(x, "a").select("a", "b", "x", "y")
+                .mapInArrow(_finer(percent), "bucket long, node binary, small boolean, d long, g long"))
+        rest = rest.withColumn("part", F.col("node")) if label is None else _with_part(rest, label, "node")
+        rest = stored(rest, "op7-finer")
+        several = (rest.groupBy("bucket", "small").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("g").alias("most"),
+                                                       F.min(F.when(F.col("d") > 0, F.col("d"))).alias("least"))
+                   .where("lo <> hi and least is not null and (not small or most >= least)").select("bucket", "small", "most", "least"))
+        rest = (rest.join(several, ["bucket", "small"]).where("not small or (d > 0 and d <= most) or g >= least")
+                .select("bucket", "node"))
+        often = rest.groupBy("node").agg(F.count("*").alias("rank"))
+        ranked = stored(rest.join(often, "node"), "op7-rest")
     plain = features.select("id", "th", "n", "node")
     if label is None:
         joined = plain.withColumn("part", F.col("node"))
