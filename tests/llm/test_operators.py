@@ -1,0 +1,297 @@
+"""The training-data operators against brute force on small rows: nulls, empty and long texts, ties, repeated
+rows, empty tables and extra columns with clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from ledgerloom.llm import chat, decontaminate, language_id, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, token_output
+from ledgerloom.llm.tokens import encoder, public_path
+
+SF_SMALL = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(autouse=True)
+def _shipped(spark):
+    from ledgerloom.llm.common import ship
+    ship(spark)
+
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SCHEMA = "doc_id long, text string, lang string, source string, n bigint, part string, `rank` string, size string"
+
+
+def table(spark, rows):
+    """rows: (doc_id, text[, lang, source]); the further columns have names that operators use inside."""
+    full = [(r[0], r[1], r[2] if len(r) > 2 else None, r[3] if len(r) > 3 else None, 7, "p", "r", "s") for r in rows]
+    return spark.createDataFrame(full, SCHEMA)
+
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=str)
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def texts(seed=5):
+    r = random.Random(seed)
+    v = [f"w{i}" for i in range(60)]
+    base = " ".join(r.choice(v) for _ in range(80))
+    out = [(1, base), (1, base), (2, base[9:200] + " Tail"), (None, "aa" * 300), (None, None), (5, None), (6, ""), (6, " \t\n"),
+           (7, "é " + base[100:260] + " zz"), (8, "abc" * 100), (9, "x"), (9, "x"), (10, "long " * 5000)]
+    return out + [(20 + i, " ".join(r.choice(v) for _ in range(r.randint(1, 40)))) for i in range(15)]
+
+
+def repeats(rows, length):
+    got, data = Counter(), [(i, (t or "").encode()) for i, t in rows]
+    for _, b in data:
+        got.update(b[k:k + length] for k in range(len(b) - length + 1))
+    out = []
+    for i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if got[b[k:k + length]] > 1:
+                gone[k:k + length] = b"\1" * length
+        kept = bytes(c for c, g in zip(b, gone, strict=True) if not g)
+        spans = sum(bool(g) and (k == 0 or not gone[k - 1]) for k, g in enumerate(gone))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize(("length", "trigger"), [(20, None), (12, 3)])
+def test_repeats_removed(spark, length, trigger):
+    rows = [*texts(), (3, texts()[0][1][5:90] + "!!" + texts()[0][1][120:200])]
+    got = suffix_dedup.remove_repeats(table(spark, rows), length, trigger)
+    assert rows_of(got.drop("kept", "spans")) == repeats(rows, length)
+
+
+def test_repeats_in_segments(spark, monkeypatch):
+    data = np.frombuffer(("abcd" * 30 + "".join(random.Random(1).choice("ab") for _ in range(900))).encode(), np.uint8)
+    whole = [np.concatenate(x) for x in zip(*suffix_dedup.phrases(data, 20, 12), strict=True)]
+    monkeypatch.setattr(suffix_dedup, "SEGMENT", 64)
+    parts = [np.concatenate(x) for x in zip(*suffix_dedup.phrases(data, 20, 12), strict=True)]
+    assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
+
+
+def groups(rows):
+    sets = []
+    for i, t in rows:
+        w = words((t or "").translate(LOW))
+        sets.append((i, {tuple(w[k:k + 5]) for k in range(max(1, len(w) - 4))} if w else set()))
+    part = list(range(len(sets)))
+
+    def top(x):
+        while part[x] != x:
+            x = part[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 85 * len(x | y):
+                part[top(a)] = top(b)
+    least = {}
+    for k, (i, _) in enumerate(sets):
+        if i is not None:
+            least[top(k)] = min(least.get(top(k), i), i)
+    return sorted(((i, len(s), c := least.get(top(k)) if s else i, i == c) for k, (i, s) in enumerate(sets)), key=str)
+
+
+def test_near_duplicates(spark):
+    r, v, rows = random.Random(3), [f"v{i}" for i in range(200)], texts()
+    for g in range(6):
+        base = [r.choice(v) for _ in range(r.choice([6, 40, 120]))]
+        for c in range(8):
+            x = list(base)
+            for _ in range(r.randint(0, 3)):
+                x[r.randrange(len(x))] = r.choice(v)
+            rows.append((100 * (g + 1) + c, " ".join(x)))
+    r.shuffle(rows)
+    assert rows_of(near_dedup.near_duplicates(table(spark, rows)).drop("text_hash", "group")) == groups(rows)
+
+
+def test_sketch_fills_every_bin():
+    for n in (1, 2, 7, 1000):
+        s = near_dedup.sketch(np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)), 128)
+        assert len(s) == 128 and len(set(s.tolist())) <= max(n, 1)
+
+
+def test_mix(spark):
+    rows = [(i, t, None, s) for (i, t), s in zip(texts(), ["b", "a", None, "c", "b", "b", "a", None, "a", "b", "c", "d", "b"] * 3, strict=False)]
+    got = mixing.mix_sources(table(spark, rows)).collect()
+    again = mixing.mix_sources(table(spark, rows[::-1])).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    size = Counter()
+    for _, t, _, s in rows:
+        size[s] += len(words(t))
+    weight = {s: 1 + k % 3 for k, s in enumerate(sorted((s for s in size if s is not None)) + [None])}
+    total, target, capped = sum(size.values()), {}, set()
+    while True:
+        share = (total - sum(3 * size[s] for s in capped)) / (sum(weight[s] for s in size if s not in capped) or 1)
+        target = {s: 3 * size[s] if s in capped else share * weight[s] for s in size}
+        more = {s for s in size if target[s] > 3 * size[s]}
+        if not more:
+            break
+        capped |= more
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["source_size"] == size[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
+        assert 0 <= r["copies"] <= 3 and r["taken"] == r["copies"] * r["size"]
+    out = mixing.emit(table(spark, rows), mixing.mix_sources(table(spark, rows)))
+    assert out.count() == sum(r["copies"] for r in got) and out.columns == table(spark, rows).columns
+
+
+def test_quality(spark):
+    rows = [*texts(), (50, "a b c a b c x\n#$ y\n#$ y\n \n \n"), (51, "k " * 80), (52, "one two"), (53, "a a a"), (54, "a a a a")]
+    got = {(r["doc_id"], r["n_words"]): r for r in quality.judge(table(spark, rows)).collect()}
+    for i, t in rows:
+        t, w = t or "", words(t)
+        grams = Counter(tuple(w[k:k + 3]) for k in range(len(w) - 2))
+        again = {k + j for k in range(len(w) - 2) if grams[tuple(w[k:k + 3])] > 1 for j in range(3)}
+        lines = [x for x in t.split("\n") if words(x)]
+        r = got[(i, len(w))]
+        assert (r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == (
+            sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(lines) - len(set(lines)), len(again))
+        assert r["base_failed"] == (len(w) < 50 or 100 * len(again) > 50 * len(w))
+        assert not (r["kept"] and r["base_failed"])
+
+
+def test_bad_host_takes_its_documents_with_it(spark):
+    good = " ".join(f"g{i}" for i in range(60))
+    rows = [(i, good if i % 10 == 0 else "bad", None, "junk") for i in range(100)] + [(200 + i, good, None, f"s{i % 4}") for i in range(40)]
+    kept = {r["doc_id"] for r in quality.judge(table(spark, rows)).where("kept").collect()}
+    assert kept == set(range(200, 240))
+    assert {r["doc_id"] for r in quality.judge(table(spark, rows), keep_rows=True).collect()} == kept
+
+
+def distance(p, t):
+    before = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        now = [i]
+        for j, d in enumerate(t, 1):
+            now.append(min(before[j] + 1, now[-1] + 1, before[j - 1] + (c != d)))
+        before = now
+    return min(before)
+
+
+def test_myers():
+    r = random.Random(2)
+    for _ in range(150):
+        p, t = ("".join(r.choice("abc") for _ in range(r.randint(1, n))) for n in (12, 40))
+        assert decontaminate.myers(p, t)[0] == distance(p, t)
+
+
+def test_leaks(spark):
+    r = random.Random(4)
+    item = "".join(r.choice("abcdefgh ") for _ in range(100)).strip()
+    near, far = item[:20] + "X" + item[22:60] + item[63:], "".join(c if r.random() < 0.7 else "-" for c in item)
+    rows = [*texts(), (70, "so " + item.upper() + " end"), (71, "pre" + near), (72, far), (73, item[:40]), (None, item)]
+    bench = spark.createDataFrame([(1, item), (2, ""), (3, None), (4, "nowhere to be found at all")], "item_id long, text string")
+    got = rows_of(decontaminate.find_leaks(table(spark, rows), bench).select("doc_id", "item_id", "distance"))
+    want = [(i, 1, distance(item, (t or "").translate(LOW))) for i, t in rows if t and distance(item, t.translate(LOW)) <= 8]
+    assert got == sorted(want, key=str) and {g[0] for g in got} == {70, 71, None}
+    blocks = rows_of(decontaminate.find_leaks(table(spark, rows), bench, block_chars=30).select("doc_id", "item_id", "distance"))
+    assert blocks == got
+    clean = decontaminate.without_leaks(table(spark, rows), bench)
+    assert sorted(str(x["doc_id"]) for x in clean.collect()) == sorted(str(i) for i, t in rows if i not in (70, 71) and t != item)
+    assert decontaminate.find_leaks(table(spark, rows), bench.limit(0)).count() == 0
+
+
+def whole_ids(rows):
+    from tokenizers import Tokenizer
+    t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
+    return [(i, t.encode(x or "", add_special_tokens=False).ids) for i, x in rows]
+
+
+TRICKY = ["a  b", " lead", "trail ", "tab\t x", "it's we'll\n\n end", "x<|endoftext|>y <|endoftext|> z", "#a ## #", "ä ö  ü", "\n", "a\x1c b", "日本 語"]
+
+
+def test_word_cache_gives_the_ids_of_whole_texts():
+    got = encoder("byte_bpe_50k.json").encode(TRICKY)
+    assert [np.frombuffer(g, "<u2").tolist() for g in got] == [ids for _, ids in whole_ids([(0, t) for t in TRICKY])]
+
+
+def test_token_files(spark):
+    rows = texts() + [(300 + k, t) for k, t in enumerate(TRICKY)]
+    got = token_output.encode_to_files(table(spark, rows), shard_tokens=500).select("doc_id", "start", "n_tokens", "ids_crc32").collect()
+    want = Counter((i, len(x) + 1, zlib.crc32(np.array([*x, 2], "<u4"))) for i, x in whole_ids(rows))
+    assert Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
+    at = 0
+    for r in sorted(got, key=lambda r: r["start"]):
+        assert r["start"] == at
+        at += r["n_tokens"]
+    ids = [r["doc_id"] for r in sorted(got, key=lambda r: r["start"])]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i))
+    assert token_output.encode_to_files(table(spark, []).limit(0)).count() == 0
+
+
+def test_repair_round_trip_and_random_access():
+    r = np.random.default_rng(1)
+    texts_ = [np.tile(r.integers(3, 40, 9), 30)[:n].astype("<u2") for n in (0, 1, 50, 270)] + [np.array([2, 5, 2, 2, 7], "<u2")]
+    shard = token_output.Shard(token_output.pack([4, None, 5, 6, 7], [t.tobytes() for t in texts_], np.dtype("<u2"), 2, 100))
+    assert len(shard.rules) and shard.ids == [4, None, 5, 6, 7]
+    for i, t in enumerate(texts_):
+        assert shard.document(i).tolist() == [*t.tolist(), 2]
+    assert shard.document(3, 100, 130).tolist() == texts_[3][100:130].tolist()
+
+
+def test_token_counts(spark, tmp_path):
+    rows = [(i, t) for i, t in texts() if t != TRICKY[5]]
+    got = token_counts.counts_by_document(table(spark, rows)).select("doc_id", "n_tokens")
+    assert rows_of(got) == sorted(((i, len(x) + 1) for i, x in whole_ids(rows)), key=str)
+    flat = np.array([5, 6, 9, 9, 7, 7, 7, 7, 7, 9, 8], "<u2")  # ends across blocks, and none behind the last
+    (tmp_path / "tokens-a.bin").write_bytes(flat.tobytes())
+    for block in (1, 2, 3, 4, 100):
+        found = token_counts.count_tokens(spark, f"file://{tmp_path}", 9, block_tokens=block).orderBy("number").collect()
+        assert [(r["start"], r["n_tokens"]) for r in found] == [(0, 3), (3, 1), (4, 6), (10, 1)]
+
+
+def test_chats(spark):
+    convs = {1: "ab", 2: "abc", 3: "abc", 4: "b", 5: "abd", 6: "a", None: "ba"}
+    rows = [(c, k, "user" if k % 2 == 0 else None, x) for c, t in convs.items() for k, x in enumerate(t)]
+    df = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    got = chat.format_chats(df).orderBy("conv_id", "place").collect()
+    assert {r["conv_id"] for r in got} == {None, 2, 5}  # 4 is the start of the null conversation
+    assert "".join(r["rendered"] for r in got if r["conv_id"] == 2) == "<|user|>\na\n<|end|>\n<||>\nb\n<|end|>\n<|user|>\nc\n<|end|>\n"
+    assert chat.format_chats(df.limit(0)).count() == 0
+
+
+def test_licenses(spark):
+    a = license_scan.compile_template("one <<beginOptional>>two <<beginOptional>>three<<endOptional>><<endOptional>> <<var;words=1-2>> end")
+    for text, ok in (("one x end", 1), ("one two x y end", 1), ("one two three x end", 1), ("one three x z end", 0), ("one end", 0), ("one x y", 0)):
+        assert a.accepts_at(text.encode().split(), 0) == bool(ok), text
+    rows = [*texts(), (80, "CC-BY cc by! General\nPublic LICENSE, cc byé"), (81, "This work is licensed under the GNU General Public License, version 3."),
+            (82, "Released under the MIT Licence."), (83, "Released under the MIT License."), (84, "All rights reserved all rights reserved")]
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(table(spark, rows)).collect()}
+    assert (got[80]["n_base"], got[80]["first_word"], got[80]["last_word"], got[80]["base_labels"]) == (3, 0, 4, "cc-by,gpl")
+    assert got[81]["labels"] == "gpl,gpl-3.0" and got[82]["labels"] == "" and got[83]["labels"] == "mit"
+    assert got[84]["n_base"] == 2 and got[84]["score"] == 0.5 and got[6]["first_word"] is None
+
+
+def test_languages(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    odd = language_id.held_out(docs["doc_id"])
+    model = language_id.fit(docs.where(~odd))
+    held = docs.where(odd)
+    right = language_id.identify(held, model).join(held, "doc_id").where("lang = lang_pred").count()
+    assert right >= 0.95 * held.count()
+    strange = language_id.identify(table(spark, [(1, None), (2, ""), (3, "12 !"), (None, "the")]), model)
+    assert {r["doc_id"]: r["lang_pred"] for r in strange.collect() if r["doc_id"]} == {1: "und", 2: "und", 3: "und"}
+    none = language_id.fit(docs.where("lang = 'none'"))
+    assert language_id.identify(held, none).where("lang_pred <> 'und'").count() == 0
+    long = "the quick " * 300_000
+    assert np.array_equal(language_id.counts(long) > 0, language_id.counts(long[:1000] + " the quick") > 0)
+
+
+def test_empty_tables(spark):
+    none = table(spark, []).limit(0)
+    for fn in (suffix_dedup.remove_repeats, near_dedup.near_duplicates, mixing.mix_sources, quality.judge, license_scan.scan_licenses, token_counts.counts_by_document):
+        assert fn(none).count() == 0
