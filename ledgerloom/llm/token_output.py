@@ -36,12 +36,12 @@ ROUNDS, LEAST = 8, 6
 def repair(ids: np.ndarray, end: int, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules). Rules are numbered from ``base``; pairs with ``end`` are left alone."""
     s, rules, room = ids.astype(np.uint32), [], (1 << 16) - base if base < 1 << 16 else 1 << 20
+    symbols = base + room
+    wide, shift = (np.uint64, np.uint64(32)) if symbols > 1 << 16 else (np.uint32, np.uint32(16))
     for k in range(rounds):
         share = room // 2 if k + 1 < rounds else room
         if len(s) < 2 or not share:
             break
-        wide = np.uint64 if base + room > 1 << 16 else np.uint32
-        shift = wide(32 if wide is np.uint64 else 16)
         key = (s[:-1].astype(wide) << shift) | s[1:].astype(wide)
         free = (s[:-1] != end) & (s[1:] != end)
         order = np.sort(key[free])
@@ -54,7 +54,7 @@ def repair(ids: np.ndarray, end: int, base: int, rounds: int = ROUNDS, least: in
             break
         chosen = np.sort(order[at[often]])
         low = wide((1 << int(shift)) - 1)
-        left, right = np.zeros(base + room, dtype=bool), np.zeros(base + room, dtype=bool)
+        left, right = np.zeros(symbols, dtype=bool), np.zeros(symbols, dtype=bool)
         left[(chosen >> shift).astype(np.int64)] = True
         right[(chosen & low).astype(np.int64)] = True
         near = np.flatnonzero(left[s[:-1]] & right[s[1:]])

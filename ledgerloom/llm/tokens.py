@@ -10,7 +10,7 @@ from itertools import chain
 import numpy as np
 
 #: Words a worker remembers.
-CACHED = 400_000
+CACHED = 800_000
 _OPEN_GAP = re.compile(r"\s ")
 
 
@@ -35,20 +35,37 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(public_path(name))
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.words: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.opens = np.zeros(max(vocabulary.values()) + 1, dtype=bool)  # ids that begin with a blank
+        self.opens[[i for t, i in vocabulary.items() if t.startswith("\u0120")]] = True
 
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, words: list[str]) -> None:
+        """Encode words with a blank before each, many as one text: an id that begins with a blank begins a word."""
+        if len(words) > 1 and all(w.split() == [w] and "<" not in w for w in words):
+            ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+            at = np.flatnonzero(self.opens[ids])
+            if len(at) == len(words) and at[0] == 0:
+                cut, data = [*(at * self.dtype.itemsize).tolist(), ids.nbytes], ids.tobytes()
+                self.words.update(zip(words, [data[a:b] for a, b in zip(cut, cut[1:], strict=False)], strict=True))
+                return
+        self.words.update(zip(words, self._encode([" " + w for w in words]), strict=True))
+
     def encode(self, texts: list[str]) -> list[bytes]:
         cut = [None if _OPEN_GAP.search(t) else t.split(" ") for t in texts]
         first = [c[0] for c in cut if c is not None]
         rest = [c[1:] for c in cut if c is not None]
         if len(self.words) > CACHED:
             self.words.clear()
-        new = list(set(chain.from_iterable(rest)).difference(self.words))
-        for at in range(0, len(new), 50_000):
-            part = new[at:at + 50_000]
-            self.words.update(zip(part, self._encode([" " + w for w in part]), strict=True))
+        new = set(chain.from_iterable(rest)).difference(self.words)
+        odd = [w for w in new if "<" in w or w.split() != [w]]
+        for at in range(0, len(odd), 5_000):
+            self._learn(odd[at:at + 5_000])
+        new = list(new.difference(odd))
+        for at in range(0, len(new), 5_000):
+            self._learn(new[at:at + 5_000])
         known, heads = self.words.__getitem__, iter(zip(self._encode(first), rest, strict=True))
         whole = iter(self._encode([t for t, c in zip(texts, cut, strict=True) if c is None]))
         out = []
