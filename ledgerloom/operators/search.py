@@ -62,7 +62,8 @@ def similarity_join(queries: DataFrame, query_col: str, names: DataFrame, name_c
     n = name_trigrams(names, name_col)
     q = checked_broadcast(q, max_broadcast_rows)
     t = float(threshold)
-    size_ok = (F.least("q_n", "n_grams") / F.greatest("q_n", "n_grams")) > F.lit(t)
+    # the size bound is rounded and compared as the score is, so a pair at the threshold passes both
+    size_ok = passes((F.least("q_n", "n_grams") / F.greatest("q_n", "n_grams")).cast("float"), t)
     pairs = n.join(q, (n["gram"] == q["q_gram"]) & size_ok)
     counted = pairs.groupBy("query", "name", "q_n", "n_grams").agg(F.count(F.lit(1)).alias("common"))
     score = (F.col("common") / (F.col("q_n") + F.col("n_grams") - F.col("common"))).cast("float")

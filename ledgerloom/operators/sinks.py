@@ -12,6 +12,7 @@ being read.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,12 +31,18 @@ def _hfs(spark: SparkSession, path: str):
 
 
 def _write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A whole file or none: written under another name, then moved; an existing file is never replaced."""
+    folder, name = path.rsplit("/", 1)
     fs, p = _hfs(spark, path)
-    out = fs.create(p, False)  # fails if the manifest already exists: one committer per version
+    _, tmp = _hfs(spark, f"{folder}/_{name}-{uuid.uuid4().hex}.tmp")
+    out = fs.create(tmp, False)
     try:
         out.write(bytearray(text.encode()))
     finally:
         out.close()
+    if fs.exists(p) or not fs.rename(tmp, p):
+        fs.delete(tmp, False)
+        raise FileExistsError(f"{path}: another writer committed this version")
 
 
 def _read_text(spark: SparkSession, path: str) -> str:
@@ -66,6 +73,7 @@ class KeyedTable:
         self.spark, self.root = spark, root.rstrip("/")
         self.keys, self.schema, self.order, self.buckets = list(keys), schema, list(order), buckets
         self.range_col, self.range_width = range_col, int(range_width)
+        self.run: str | None = None  # whose batch ids ``batch_id`` counts, e.g. a stream's checkpoint folder
 
     # ---- manifest -------------------------------------------------------------------------------
     def _manifests(self) -> list[int]:
@@ -104,7 +112,8 @@ class KeyedTable:
     def _write_version(self, df: DataFrame, m: dict, batch_id) -> dict:
         version = m["version"] + 1
         out = df.withColumn(_BUCKET, self.bucket_of())
-        target = f"{self.root}/v={version}"
+        attempt = f"{version}-{uuid.uuid4().hex[:12]}"  # a failed attempt's folder never blocks a retry
+        target = f"{self.root}/v={attempt}"
         out.repartition(_BUCKET).write.mode("errorifexists").partitionBy(_BUCKET).parquet(target)
         # the buckets written are the partition folders present (a listing, not a Spark job)
         fs, p = _hfs(self.spark, target)
@@ -112,13 +121,15 @@ class KeyedTable:
                    if st.isDirectory() and st.getPath().getName().startswith(f"{_BUCKET}=")]
         buckets = dict(m["buckets"])
         for b in touched:
-            buckets[str(b)] = version
-        new = {"version": version, "batch_id": batch_id, "buckets": buckets}
+            buckets[str(b)] = attempt
+        new = {"version": version, "batch_id": batch_id, "run": self.run, "buckets": buckets}
         self._commit(new)
         return new
 
     def _applied(self, m: dict, batch_id) -> bool:
-        return batch_id is not None and m["batch_id"] is not None and batch_id <= m["batch_id"]
+        """Batch ids are only compared inside a run: a replay with a fresh checkpoint starts at 0 again."""
+        return (batch_id is not None and m["batch_id"] is not None and m.get("run") == self.run
+                and batch_id <= m["batch_id"])
 
     def _conform(self, df: DataFrame) -> DataFrame:
         return df.select([F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema.fields])
@@ -175,25 +186,26 @@ class KeyedTable:
         """Commit a new manifest equal to an older one (its version folders are still present)."""
         old = self.manifest(to_version)
         m = self.manifest()
-        new = {"version": m["version"] + 1, "batch_id": m["batch_id"], "buckets": old["buckets"]}
+        new = {"version": m["version"] + 1, "batch_id": m["batch_id"], "run": m.get("run"), "buckets": old["buckets"]}
+        fs, _ = _hfs(self.spark, self.root)
+        for v in set(old["buckets"].values()):
+            if not fs.exists(_hfs(self.spark, f"{self.root}/v={v}")[1]):
+                raise ValueError(f"version {to_version} has been vacuumed")
         self._commit(new)
         return new
 
     def vacuum(self, keep: int = 2) -> list[int]:
-        """Delete version folders no longer referenced by the newest ``keep`` manifests."""
-        versions = self._manifests()
-        live = set()
-        for v in versions[-keep:]:
-            live.update(self.manifest(v)["buckets"].values())
-        fs, _ = _hfs(self.spark, self.root)
+        """Delete version folders that the newest ``keep`` manifests don't name, those of failed attempts too;
+        their version numbers. Not to be run while a write is under way."""
+        live = {str(x) for v in self._manifests()[-keep:] for x in self.manifest(v)["buckets"].values()}
+        fs, root = _hfs(self.spark, self.root)
         removed = []
-        for v in range(1, (versions[-1] if versions else 0) + 1):
-            if v not in live:
-                _, p = _hfs(self.spark, f"{self.root}/v={v}")
-                if fs.exists(p):
-                    fs.delete(p, True)
-                    removed.append(v)
-        return removed
+        for status in fs.listStatus(root) if fs.exists(root) else []:
+            name = status.getPath().getName()
+            if name.startswith("v=") and name[2:] not in live:
+                fs.delete(status.getPath(), True)
+                removed.append(int(name[2:].split("-")[0]))
+        return sorted(removed)
 
 
 def constraint_split(df: DataFrame, keys: Sequence[str], not_null: Sequence[str]) -> DataFrame:

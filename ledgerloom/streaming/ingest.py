@@ -68,7 +68,7 @@ class RegistryIngest:
             members = self.registries.read().select(F.col("contract_id").alias("__member")).persist()
             n_members = members.count()
             side = F.broadcast(members) if n_members <= DEFAULT_BROADCAST_ROWS else members
-            candidates = raw.unionByName(self.pending.read()).persist()
+            candidates = raw.unionByName(self.pending.read()).dropDuplicates(["id"]).persist()
             passed = candidates.join(side, candidates["emitter_contract_id"] == side["__member"], "left_semi")
             for e in TYPED:
                 self.sinks[e].upsert(D.decode_event(passed, e), batch_id)
@@ -87,6 +87,8 @@ class RegistryIngest:
             max_files_per_trigger: int | None = None) -> None:
         """Process everything available now and stop (``trigger(availableNow=True)``); a later call
         with the same checkpoint continues where this one stopped."""
+        for table in (self.raw_table, self.registries, self.pending, *self.sinks.values()):
+            table.run = checkpoint
         stream = read_events(self.spark, source_path, start_at, streaming=True,
                              max_files_per_trigger=max_files_per_trigger)
         q = (stream.writeStream.foreachBatch(self.process_batch)

@@ -76,6 +76,8 @@ def incremental_ingest(spark: SparkSession, events_path: str, state_root: str, c
     pub_schema = load_stamp(D.decode_batch(empty, "publish")).schema
     targets = {"deploys": KeyedTable(spark, f"{state_root}/deploys", ["id"], dep_schema, buckets=buckets),
                "publishes": KeyedTable(spark, f"{state_root}/publishes", ["id"], pub_schema, buckets=buckets)}
+    for table in targets.values():
+        table.run = checkpoint
     inserted: dict[str, int] = {"deploys": 0, "publishes": 0}
 
     def each(batch: DataFrame, batch_id: int) -> None:

@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import types as T
 
 from ledgerloom.operators.sinks import KeyedTable
@@ -62,3 +63,32 @@ def test_upsert_over_random_splits_equals_latest_per_key(spark):
         for i, part in enumerate(parts):
             kt.upsert(spark.createDataFrame(part, SCH), i)
         assert _rows(kt) == want
+
+
+def test_failed_attempt_does_not_block_a_retry(spark):
+    t = KeyedTable(spark, state_dir(spark, "retry"), ["id"], T.StructType([T.StructField("id", T.StringType())]))
+    batch = spark.createDataFrame([("a",), ("b",)], "id string")
+    commit, t._commit = t._commit, lambda m: (_ for _ in ()).throw(OSError("lost"))
+    with pytest.raises(OSError):
+        t.upsert(batch, 0)
+    t._commit = commit
+    t.upsert(batch, 0)
+    assert t.read().count() == 2
+    assert len(t.vacuum()) == 1 and t.read().count() == 2
+
+
+def test_batch_ids_count_within_a_run(spark):
+    t = KeyedTable(spark, state_dir(spark, "runs"), ["id"], T.StructType([T.StructField("id", T.StringType())]))
+    t.run = "first"
+    t.upsert(spark.createDataFrame([("a",)], "id string"), 3)
+    t.upsert(spark.createDataFrame([("b",)], "id string"), 3)  # a retried batch is applied once
+    assert t.read().count() == 1
+    t.run = "replay"
+    t.upsert(spark.createDataFrame([("b",)], "id string"), 0)
+    assert t.read().count() == 2
+
+
+def test_similarity_join_keeps_pairs_at_the_threshold(spark):
+    from ledgerloom.operators.search import similarity_join
+    got = similarity_join(spark.createDataFrame([("a",)], "q string"), "q", spark.createDataFrame([("a bcdefgh",)], "n string"), "n")
+    assert got.count() == 1
