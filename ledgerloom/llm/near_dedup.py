@@ -6,9 +6,11 @@
   bin takes over the value of another, drawn by a hash of the bin and the attempt until a filled one comes
   (optimal densification). ``rows`` bins make a band; classes that agree in a whole band share a bucket.
 * Candidates are stars: the members of a bucket are compared with its centre, the class whose buckets hold
-  most members in all. The first round has one centre in each bucket; where members are still in several
-  components, further rounds take four times as many next centres, until each bucket is joined up or all of its
-  members have been centres. So pairs stay few where groups join up, and no pair of a bucket is lost.
+  most members in all. Where the other members are then still in several components, the differences between
+  them and the centre find the rest: two sets that differ little from each other, one of them far from the
+  centre, must differ from the centre in the same places. So many differences must agree that, with those in
+  one fixed order, one agrees within the first few of each (prefix filter); classes that agree in one of these
+  are compared. Pairs stay few where near misses lie about a group, and no pair of a bucket is lost.
 * A link is confirmed on the full sets: 100 x intersection >= ``percent`` x union.
 
 With the default 32 bands of 4 bins, a pair at a similarity of 0.85 shares no bucket with a probability of 6e-11.
@@ -114,21 +116,75 @@ def _sets(words: int):
     return run
 
 
+def _both(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each value of ``y``, whether ``x`` has it; both sorted, not empty."""
+    return x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y
+
+
+def _pairs(batch):
+    for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
+        yield np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
+
+
 def _confirm(percent: int):
     def run(batches):
         for batch in batches:
             keep = []
-            for x, y in zip(batch.column("x"), batch.column("y"), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), dtype=np.uint64), np.frombuffer(y.as_buffer(), dtype=np.uint64)
-                if len(x) > len(y):
-                    x, y = y, x
-                at = np.searchsorted(y, x)
-                both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+            for x, y in _pairs(batch):
+                both = int(_both(x, y).sum())
                 keep.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
     return run
 
 
+def _differences(percent: int):
+    """The first differences of each class (``y``) from its centre (``x``): runs that the centre lacks, then runs that
+    it alone has. Linked sets of sizes n and m differ in at most share x (n + m) runs, where share =
+    (100 - percent) / (100 + percent); with d and e differences from the centre, (d + e - share x (n + m)) / 2
+    of them at least are the same ones. ``least`` is a lower bound of that over all partners that may come."""
+    share = (100 - percent) / (100 + percent)
+
+    def run(batches):
+        for batch in batches:
+            d, far, first = [], [], []
+            for x, y in _pairs(batch):
+                added, missing = y[~_both(x, y)], x[~_both(y, x)]
+                both, differ = len(y) - len(added), len(added) + len(missing)
+                linked = 100 * both >= percent * (len(x) + len(added))
+                if linked:  # its partners are far from the centre
+                    least = (differ + share * (len(x) - len(y))) / 2
+                else:
+                    least = max((differ - share * (len(x) + len(y))) / 2, differ - share * len(y) * (1 + 100 / percent))
+                n = int(differ - max(least, 1) + 1e-6) + 1
+                d.append(differ)
+                far.append(not linked)
+                first.append(np.concatenate([added, missing])[:n].view(np.int64))
+            yield pa.RecordBatch.from_pydict({
+                "c": batch.column("c"), "node": batch.column("node"), "part": batch.column("part"), "n": batch.column("n"),
+                "d": pa.array(d, pa.int64()), "far": pa.array(far, pa.bool_()), "first": pa.array(first, pa.list_(pa.int64()))})
+    return run
+
+
+def _close(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs that may be linked, of classes of one centre that are in different parts. ``stars``: c, node, part, n."""
+    share = (100 - percent) / (100 + percent)
+    x = sets.select(F.col("node").alias("c"), F.col("shingles").alias("x"))
+    y = sets.select("node", F.col("shingles").alias("y"))
+    cells = stored(stars.join(x, "c").join(y, "node").select("c", "node", "part", "n", "x", "y")
+                   .mapInArrow(_differences(percent), "c binary, node binary, part long, n long, d long, far boolean, first array<long>"),
+                   "op7-differences").select("c", "node", "part", "n", "d", "far", F.posexplode("first").alias("pos", "run"))
+    mixed = (cells.groupBy("c", "run").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("far").alias("any_far"))
+             .where("lo <> hi and any_far").select("c", "run"))
+    cells = stored(cells.join(mixed, ["c", "run"]), "op7-cells")
+    other = cells.select("c", "run", *[F.col(k).alias(f"{k}_b") for k in ("node", "part", "n", "d", "far", "pos")])
+    same = f"greatest(1, (d + d_b - {share!r}D * (n + n_b)) / 2)"  # so many differences agree
+    return (cells.join(other, ["c", "run"])
+            .where("node < node_b and part <> part_b and (far or far_b)")
+            .where(f"100 * least(n, n_b) >= {percent} * greatest(n, n_b)")
+            .where(f"pos <= d - {same} + 1e-6 and pos_b <= d_b - {same} + 1e-6")
+            .select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct())
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: int = 32, rows: int = 4,
                     id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col``, n_shingles, component_id (least id reachable, itself included), kept (id = component_id),
@@ -139,46 +195,41 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     classes = (features.where("node is not null").groupBy("node")
                .agg(F.min(F.struct("id", "th")).alias("one"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     buckets = classes.select("node", "n", "one", F.posexplode("bands").alias("band", "key"))
-    members = F.count("*").over(Window.partitionBy("band", "key"))
-    shared = stored(buckets.withColumn("members", members).where("members > 1"), "op7-buckets")
-    rank = shared.groupBy("node").agg(F.sum("members").alias("rank"), F.first("one").alias("one"), F.first("n").alias("n"))
+    counts = buckets.groupBy("band", "key").agg(F.count("*").alias("members")).where("members > 1")
+    shared = stored(buckets.join(counts, ["band", "key"]), "op7-buckets")
+    rank = shared.groupBy("node").agg(F.sum("members").alias("rank"), F.first("one").alias("one"))
     chosen = rank.select("node", "one.id", "one.th")
     sets = stored(base.join(chosen, base["id"].eqNullSafe(chosen["id"]) & (base["th"] == chosen["th"]))
                   .select("node", "text").mapInArrow(_sets(words), "node binary, shingles binary")
                   .groupBy("node").agg(F.first("shingles").alias("shingles")), "op7-sets")
-    # members of a bucket in the order in which they become centres
-    order = Window.partitionBy("band", "key").orderBy(F.desc("rank"), "node")
-    ranked = stored(shared.select("node", "band", "key", "n").join(rank.select("node", "rank"), "node")
-                    .withColumn("turn", F.row_number().over(order)).drop("rank"), "op7-turns")
-    links = label = None
-    done, width = 0, 1
-    while True:
-        now = ranked if label is None else ranked.join(label, "node", "left")
-        now = now.withColumn("part", F.col("node") if label is None else F.coalesce("part", "node"))
-        # buckets that are in several parts and still have centres to come
-        parts = (now.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("turn").alias("last"))
-                 .where(f"lo <> hi and last > {done}").select("band", "key"))
-        now = now.join(parts, ["band", "key"])
-        centre = now.where(f"turn > {done} and turn <= {done + width}").select(
-            "band", "key", F.col("node").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("n_a"), F.col("turn").alias("turn_a"))
-        pairs = (now.join(centre, ["band", "key"]).where("part <> part_a and turn > turn_a")
-                 .where(f"100 * least(n, n_a) >= {percent} * greatest(n, n_a)")
-                 .select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct())
+    # the members of each bucket but its centre, with the centre
+    ranked = shared.select("node", "band", "key", "n").join(rank.select("node", "rank"), "node")
+    centre = ranked.groupBy("band", "key").agg(F.max(F.struct("rank", "node", "n")).alias("top"))
+    centre = centre.select("band", "key", F.col("top.node").alias("c"), F.col("top.n").alias("n_c"))
+    arms = stored(ranked.drop("rank").join(centre, ["band", "key"]).where("node <> c"), "op7-arms")
+
+    def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        new = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
-                     .mapInArrow(_confirm(percent), "a binary, b binary"), "op7-links")
-        if not new.isEmpty():
-            links = new if links is None else links.union(new)
-            label = components(links, "op7-parts").select(F.col("a").alias("node"), F.col("b").alias("part"))
-        done, width = done + width, 4 * width
-        if ranked.where(f"turn > {done}").isEmpty():
-            break
+        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+                      .mapInArrow(_confirm(percent), "a binary, b binary"), "op7-links")
+
+    def labelled(links: DataFrame) -> DataFrame:
+        return components(links, "op7-parts").select(F.col("a").alias("node"), F.col("b").alias("part"))
+
+    links = confirmed(arms.where(f"100 * least(n, n_c) >= {percent} * greatest(n, n_c)")
+                      .select(F.least("c", "node").alias("a"), F.greatest("c", "node").alias("b")).distinct())
+    label = labelled(links)
+    # buckets whose members, the centre aside, are in several parts
+    arms = arms.join(label, "node", "left").withColumn("part", F.xxhash64(F.coalesce("part", "node")))
+    several = (arms.groupBy("band", "key").agg(F.min("part").alias("lo"), F.max("part").alias("hi"))
+               .where("lo <> hi").select("band", "key"))
+    stars = arms.join(several, ["band", "key"]).select("c", "node", "part", "n").distinct()
+    more = confirmed(_close(stars, sets, percent))
+    if not more.isEmpty():
+        label = labelled(links.union(more))
     plain = features.select("id", "th", "n", "node")
-    if label is None:
-        joined = plain.withColumn("part", F.col("node"))
-    else:
-        joined = plain.join(label, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    joined = plain.join(label, "node", "left").withColumn("part", F.coalesce("part", "node"))
     least = joined.where("part is not null").groupBy("part").agg(F.min("id").alias("least"))
     out = joined.join(least, "part", "left")
     component = F.when(F.col("part").isNull(), F.col("id")).otherwise(F.col("least"))

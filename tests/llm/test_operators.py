@@ -118,6 +118,22 @@ def test_near_duplicates(spark):
     assert rows_of(near_dedup.near_duplicates(table(spark, rows)).drop("text_hash", "group")) == groups(rows)
 
 
+def test_near_misses_about_a_group(spark):
+    """Copies of one text, many of them too far from most others, some near to a near miss alone."""
+    r, rows, seen = random.Random(8), [], []
+    base = [f"b{i}" for i in range(160)]
+    for c in range(220):
+        x = list(r.choice(seen) if seen and c % 3 == 0 else base)
+        for _ in range(r.randint(0, 4) if c % 2 else r.randint(2, 9)):
+            k = r.randrange(len(x))
+            x[k:k + 1] = [] if r.random() < 0.2 else [f"e{r.randrange(4 if c % 5 == 0 else 10**6)}"] * r.randint(1, 2)
+        seen.append(x)
+        rows.append((c, " ".join(x)))
+    want = groups(rows)
+    assert len({x[2] for x in want}) > 10
+    assert rows_of(near_dedup.near_duplicates(table(spark, rows)).drop("text_hash", "group")) == want
+
+
 def test_sketch_fills_every_bin():
     for n in (1, 2, 7, 1000):
         s = near_dedup.sketch(np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)), 128)
