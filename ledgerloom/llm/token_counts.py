@@ -96,4 +96,5 @@ def counts_by_document(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", e
     if receipts.isEmpty():
         return spark.createDataFrame([], f"`{id_col}` long, n_tokens long, start long, file string, number long")
     found = count_tokens(spark, folder, end, encoder(vocabulary).dtype.itemsize)
+    receipts = receipts.hint("merge")  # a row a document: too many to broadcast, however small their files
     return found.join(receipts, ["file", "number"]).select(F.col("id").alias(id_col), "n_tokens", "start", "file", "number")
