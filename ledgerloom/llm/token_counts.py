@@ -7,8 +7,8 @@ the counts of ends. Tokens behind a file's last end are a document without an en
 
 The writer encodes texts in the order of the input's partitions, one file a task; it returns a receipt of what it
 wrote, and only files with a receipt of a finished task count. A null or empty text is the end id alone; an end id that a
-text itself encodes to would end the document, so the end id must be one that no text yields. Repeated rows are
-counted each. An empty table gives no files and no rows.
+text itself encodes to would end the document, and added tokens are found inside ordinary text, so the end id is one
+behind the vocabulary, which no text yields. Repeated rows are counted each. An empty table gives no files and no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +22,12 @@ from pyspark.sql import functions as F
 
 from ..session import state_dir
 from .common import columns_of, stored
-from .tokens import as_uri, chunks, encoder, read_range, write_file
+from .tokens import WordEncoder, as_uri, chunks, encoder, read_range, write_file
+
+
+def flat_type(encode: WordEncoder, end: int) -> np.dtype:
+    """The integers of the files: those of the ids, or wider ones where the end id needs them."""
+    return encode.dtype if end < 1 << 8 * encode.dtype.itemsize else np.dtype("<u4")
 
 
 def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col: str = "doc_id", text_col: str = "text",
@@ -32,7 +37,10 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col:
 
     def run(batches):
         encode = encoder(vocabulary)
-        tail = np.array([end], dtype=encode.dtype).tobytes()
+        if end < len(encode.opens):
+            raise ValueError(f"{end} is an id of the vocabulary, which a text can give")
+        kind = flat_type(encode, end)
+        tail = np.array([end], dtype=kind).tobytes()
         parts: list[bytes] = []
         ids: list = []
         held = 0
@@ -47,6 +55,8 @@ def write_flat(docs: DataFrame, folder: str, vocabulary: str, end: int, id_col:
             keys, at = batch.column("id").to_pylist(), 0
             for some in chunks(x.as_py() for x in batch.column("text")):
                 for t in encode.encode(some):
+                    if kind != encode.dtype:
+                        t = np.frombuffer(t, dtype=encode.dtype).astype(kind).tobytes()
                     parts += (t, tail)
                     held += len(t) + len(tail)
                     ids.append(keys[at])
@@ -87,14 +97,16 @@ def count_tokens(spark: SparkSession, folder: str, end: int, width: int = 2, blo
     return rows.select("file", (F.col("first") + F.col("k")).alias("number"), start.alias("start"), (F.col("at") - start + 1).alias("n_tokens"))
 
 
-def counts_by_document(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int = 50256, id_col: str = "doc_id",
+def counts_by_document(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end: int | None = None, id_col: str = "doc_id",
                        text_col: str = "text") -> DataFrame:
-    """``id_col``, n_tokens, file, number and start of each document, as counted in the files written of ``docs``."""
-    spark = docs.sparkSession
+    """``id_col``, n_tokens, file, number and start of each document, as counted in the files written of ``docs``.
+    ``end``: the first id behind the vocabulary by default."""
+    spark, encode = docs.sparkSession, encoder(vocabulary)
+    end = len(encode.opens) if end is None else end
     folder = as_uri(state_dir(spark, "llm-op3-tokens"))
     receipts = write_flat(docs, folder, vocabulary, end, id_col, text_col)
     if receipts.isEmpty():
         return spark.createDataFrame([], f"`{id_col}` long, n_tokens long, start long, file string, number long")
-    found = count_tokens(spark, folder, end, encoder(vocabulary).dtype.itemsize)
+    found = count_tokens(spark, folder, end, flat_type(encode, end).itemsize)
     receipts = receipts.hint("merge")  # a row a document: too many to broadcast, however small their files
     return found.join(receipts, ["file", "number"]).select(F.col("id").alias(id_col), "n_tokens", "start", "file", "number")

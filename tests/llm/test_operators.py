@@ -270,6 +270,12 @@ def test_token_counts(spark, tmp_path):
         assert [(r["start"], r["n_tokens"]) for r in found] == [(0, 3), (3, 1), (4, 6), (10, 1)]
 
 
+def test_token_counts_of_texts_with_the_end_literal(spark):
+    rows = texts() + [(300 + k, t) for k, t in enumerate(TRICKY)] + [(320, "<|endoftext|>"), (321, "a <|endoftext|> b")]
+    got = token_counts.counts_by_document(table(spark, rows)).select("doc_id", "n_tokens")
+    assert rows_of(got) == sorted(((i, len(x) + 1) for i, x in whole_ids(rows)), key=str)
+
+
 def test_chats(spark):
     convs = {1: "ab", 2: "abc", 3: "abc", 4: "b", 5: "abd", 6: "a", None: "ba"}
     rows = [(c, k, "user" if k % 2 == 0 else None, x) for c, t in convs.items() for k, x in enumerate(t)]
