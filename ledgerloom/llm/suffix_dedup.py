@@ -10,7 +10,7 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere is
   batch go as a single row, so a hot phrase costs a row a batch. A phrase found twice settles all suffixes
   in it at once, and if it is its trigger's only phrase, nothing more is asked of it.
 * Corpus order. Where a trigger has several phrases, the suffixes that belong to it are put in order: by
-  the fingerprint (96 bits) of their first ``length`` bytes. A run of equal fingerprints is a run of the corpus' suffix
+  the fingerprint (128 bits) of their first ``length`` bytes. A run of equal fingerprints is a run of the corpus' suffix
   array whose common prefixes have ``length`` bytes or more. The order between runs plays no part in the
   result and isn't made. A phrase found twice is spoken for by its first occurrence (least id, then place): a suffix
   in any other occurrence is left out, a suffix in a first one counts twice. What is left out has an equal in an
@@ -18,6 +18,9 @@ Every byte covered by a string of ``length`` bytes that also starts elsewhere is
 
 Null and empty texts, and texts shorter than ``length``, keep all bytes. Repeated rows are separate
 documents, so each of them is a repeat of the other. A null id is an id like others.
+
+Keys are hashes that nothing compares with the bytes again: a phrase has 64 bits besides the 64 of its trigger, and a
+document is named by its id and 64 bits of a hash of id and text (without an id, by 128 bits of hashes).
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import columns_of
 from .rolling import SEGMENT, Prefix, slide
 
-_OCC = np.dtype([("doc", "<i8"), ("kh", "<i4"), ("p", "<i8")])
+_OCC = np.dtype([("doc", "<i8"), ("kh", "<i8"), ("p", "<i8")])
 #: Keys go to the tasks that compare them in blocks: those of one bucket in a batch.
 _BLOCKS = "bucket int, block binary"
 
@@ -70,6 +73,7 @@ def phrases(data: np.ndarray, length: int, trigger: int) -> Iterator[tuple[np.nd
     n = len(data)
     for at, end, lo, hi in segments(n, length):
         _, _, s, prefix = triggers(data[lo:hi], length, trigger)
+        whole = Prefix(data[lo:hi], 1)
         behind = n if end == n - length + 1 else end
         s = s[(s + lo >= at) & (s + lo < behind)]
         first, last = reach(s, hi - lo, length, trigger)
@@ -77,7 +81,7 @@ def phrases(data: np.ndarray, length: int, trigger: int) -> Iterator[tuple[np.nd
         if n < 2 * length and len(s):  # phrases that both ends of a short text cut to one are one
             one = np.sort(np.unique(np.stack([t, first.astype(np.uint64), last.astype(np.uint64)]), axis=1, return_index=True)[1])
             s, t, first, last = s[one], t[one], first[one], last[one]
-        yield t, prefix.of(first, last + length), s + lo
+        yield t, whole.of(first, last + length), s + lo
 
 
 def reach(s: np.ndarray, n: int, length: int, trigger: int) -> tuple[np.ndarray, np.ndarray]:
@@ -95,9 +99,9 @@ def _from_planes(data: memoryview, dtype: str, n: int) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8, n * wide.itemsize).reshape(wide.itemsize, n).T).view(wide).ravel()
 
 
-#: Of each key: hash of the trigger (or the suffix), half a hash of the phrase (or a second one of the suffix), the first
+#: Of each key: hash of the trigger (or the suffix), hash of the phrase (or a second one of the suffix), the first
 #: occurrence, the sum of weights, how many occurrences more there are.
-_PARTS = (("k1", "<u8"), ("k2", "<u4"), ("kh", "<u2"), ("doc", "<i8"), ("p", "<i8"), ("n", "<i4"), ("more", "<i4"))
+_PARTS = (("k1", "<u8"), ("k2", "<u8"), ("kh", "<i8"), ("doc", "<i8"), ("p", "<i8"), ("n", "<i4"), ("more", "<i4"))
 
 
 def _blocks(got: list[list], buckets: int) -> pa.RecordBatch | None:
@@ -171,7 +175,7 @@ def _compare(phrases_too: bool):
         rest = others[at]
         yield pa.RecordBatch.from_arrays([
             pa.array(np.concatenate([key["doc"][x], rest["doc"]])),
-            pa.array(np.concatenate([key["kh"][x].astype(np.int32), rest["kh"]])),
+            pa.array(np.concatenate([key["kh"][x], rest["kh"]])),
             pa.array(np.concatenate([(key["p"][x] << _FLAGS) | flag, (rest["p"] << _FLAGS) | np.repeat(flag & ~_FIRST, more)]))],
             names=["doc", "kh", "p"])
     return run
@@ -200,16 +204,12 @@ def _bytes(batch: pa.RecordBatch, i: int) -> np.ndarray:
     return np.frombuffer(buf, dtype=np.uint8) if buf is not None else np.empty(0, dtype=np.uint8)
 
 
-def _half(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(32)).astype(np.uint32)
-
-
 def _parse(length: int, trigger: int, buckets: int):
     def run(batches):
         for batch in batches:
             def rows(i, batch=batch):
                 for t, e, s in phrases(_bytes(batch, i), length, trigger):
-                    yield t, _half(e), np.ones(len(s), dtype=np.int64), s
+                    yield t, e, np.ones(len(s), dtype=np.int64), s
             yield from _collect(batch, rows, buckets)
     return run
 
@@ -241,7 +241,7 @@ def _order(length: int, trigger: int, buckets: int):
                     x = np.flatnonzero(x)
                     x = x[(x + lo >= at) & (x + lo < end)]
                     weight = 1 + covered(first[settled] - lo, last[settled] - lo, n)[x].astype(np.int64)
-                    yield prefix.of(x, x + length), _half(Prefix(own, 1).of(x, x + length)), weight, x + lo
+                    yield prefix.of(x, x + length), Prefix(own, 1).of(x, x + length), weight, x + lo
             yield from _collect(batch, rows, buckets)
     return run
 
@@ -296,12 +296,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, trigger: int | None = Non
     if not 1 <= trigger <= length or length - trigger > 1500:
         raise ValueError("1 <= trigger <= length, and at most 1,500 bytes between them")
     d = columns_of(docs, id_col, text_col).toDF("id", "text")
-    base = d.select(F.coalesce("id", F.lit(0)).cast("long").alias("doc"), F.col("id").isNull().alias("isnull"),
-                    F.hash("id", "text").bitwiseAND(F.lit(65535)).alias("kh"),
+    base = d.select(F.coalesce(F.col("id").cast("long"), F.xxhash64("text", F.lit(1))).alias("doc"), F.col("id").isNull().alias("isnull"),
+                    F.xxhash64("id", "text").alias("kh"),
                     F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("text"))
     long_enough = base.where(F.octet_length("text") >= length)
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    places = "doc long, kh int, p long"
+    places = "doc long, kh long, p long"
     found = (long_enough.select("doc", "kh", "text").mapInArrow(_parse(length, trigger, buckets), _BLOCKS)
              .repartition("bucket").mapInArrow(_compare(True), places)
              .groupBy("doc", "kh").agg(F.collect_list("p").alias("found")))

@@ -81,6 +81,39 @@ def test_repeats_in_segments(spark, monkeypatch):
     assert all((a == b).all() for a, b in zip(whole, parts, strict=True))
 
 
+def test_phrases_of_one_trigger_with_like_halves_of_a_hash(spark):
+    """Different phrases of one trigger that agree in the upper 32 bits of a hash are no repeats of each other."""
+    rng = np.random.default_rng(6)
+    some = rng.integers(97, 123, (50_000, 12), dtype=np.uint8)
+    least = some[np.argmin(suffix_dedup.Prefix(some.ravel()).windows(12)[::12])]
+    data = rng.integers(97, 123, (240_000, 28), dtype=np.uint8)
+    data[:, 8:20] = least
+    rows = []
+    for salt in (0, 1):
+        at = np.arange(30_000) * 28
+        half = np.concatenate([suffix_dedup.Prefix(x.ravel(), salt).of(at, at + 28) for x in np.split(data, 8)]) >> np.uint64(32)
+        order = np.argsort(half)
+        same = np.flatnonzero(half[order][1:] == half[order][:-1])
+        assert len(same)
+        rows += [(len(rows) + k, data[i].tobytes().decode()) for k, i in enumerate(order[np.concatenate([same, same + 1])].tolist())]
+    got = suffix_dedup.remove_repeats(table(spark, rows), 20, 12)
+    want = repeats(rows, 20)
+    assert not any(w[2] for w in want) and rows_of(got.drop("kept", "spans")) == want
+
+
+def test_many_rows_of_one_id(spark):
+    """Rows that share an id, or have none, keep their own repeats."""
+    r = random.Random(7)
+    passage = "".join(r.choice("abcdefgh") for _ in range(24))
+    rows = []
+    for i in range(3_000):
+        x = "".join(r.choice("ijklmnopqrstuvwxyz") for _ in range(r.randint(30, 60)))
+        k = r.randrange(len(x))
+        rows.append((None if i % 2 else 0, x[:k] + passage + x[k:] if i % 3 else x))
+    got = suffix_dedup.remove_repeats(table(spark, rows), 20)
+    assert rows_of(got.drop("kept", "spans")) == repeats(rows, 20)
+
+
 def groups(rows):
     sets = []
     for i, t in rows:
