@@ -45,11 +45,12 @@ def shingles(data: bytes, words: int) -> np.ndarray:
         start, end = start[:len(w) - words + 1], end[words - 1:]
     else:
         start, end = start[:1], end[-1:]
-    if (end - start).max() > SEGMENT:  # words of a megabyte: hashed one run at a time
-        text = b" ".join(w)
-        return np.unique(np.array([int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8).digest(), "little")
-                                   for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=np.uint64))
     text, out = np.frombuffer(b" ".join(w), dtype=np.uint8), []
+    long = end - start > SEGMENT  # words of a megabyte: such runs, and only they, are hashed one at a time
+    if long.any():
+        out.append(np.array([int.from_bytes(hashlib.blake2b(text[a:b], digest_size=8).digest(), "little")
+                             for a, b in zip(start[long].tolist(), end[long].tolist(), strict=True)], dtype=np.uint64))
+        start, end = start[~long], end[~long]
     at = 0
     while at < len(start):
         behind = max(int(np.searchsorted(end, start[at] + SEGMENT, side="right")), at + 1)

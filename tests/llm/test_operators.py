@@ -167,6 +167,21 @@ def test_near_misses_about_a_group(spark):
     assert rows_of(near_dedup.near_duplicates(table(spark, rows)).drop("text_hash", "group")) == want
 
 
+def test_a_long_word_leaves_the_other_runs_alike(monkeypatch):
+    """A run longer than a segment is hashed in another way, the other runs of its text are not."""
+    r = random.Random(11)
+    v = [f"a{r.randrange(10**6)}" for _ in range(400)]
+    plain, with_long = (" ".join(x).encode() for x in (v, [*v[:200], "Q" * 300, *v[200:]]))
+    want = [near_dedup.shingles(x, 5) for x in (plain, with_long)]
+    assert len(np.intersect1d(*want)) == 392
+    monkeypatch.setattr(near_dedup, "SEGMENT", 120)
+    got = [near_dedup.shingles(x, 5) for x in (plain, with_long)]
+    assert [len(x) for x in got] == [396, 397] and len(np.intersect1d(*got)) == 392
+    assert np.array_equal(got[0], want[0]) and len(np.intersect1d(got[1], want[1])) == 392
+    only = near_dedup.shingles(b"Q" * 300, 5)
+    assert len(only) == 1 and np.array_equal(only, near_dedup.shingles(b"q" * 300, 5))
+
+
 def test_sketch_fills_every_bin():
     for n in (1, 2, 7, 1000):
         s = near_dedup.sketch(np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)), 128)
