@@ -20,9 +20,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group, that of the least id; documents without words all stay."""
+    """One document of each group (similarity of 0.8 or more), that of the least id; documents without words all stay."""
     ship(spark)
-    found = near_dedup.near_duplicates(docs)
+    found = near_dedup.near_duplicates(docs, percent=80)
     stays = (found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
              .select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__th"), F.lit(1).alias("__copies")))
     empty = found.where("group is null").groupBy("doc_id", "text_hash").agg(F.count("*").cast("int").alias("__copies"))

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+import corpus_pipeline
 from ledgerloom.llm import chat, decontaminate, language_id, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, token_output
 from ledgerloom.llm.tokens import encoder, public_path
 
@@ -182,6 +183,33 @@ def test_a_long_word_leaves_the_other_runs_alike(monkeypatch):
     assert len(only) == 1 and np.array_equal(only, near_dedup.shingles(b"q" * 300, 5))
 
 
+def test_pipeline_keeps_one_of_documents_at_four_fifths(spark):
+    r = random.Random(12)
+    rows, sets, part = [], [], []
+    for g in range(12):
+        base = [f"g{g}x{k}" for k in range(204)]
+        for c in range(6):
+            x = list(base)
+            for k in r.sample(range(5, 200, 6), (0, 4, 4, 5, 2, 3)[c]):
+                x[k] = f"n{r.randrange(10**6)}"
+            rows.append((10 * g + c, " ".join(x)))
+            sets.append({tuple(x[k:k + 5]) for k in range(200)})
+            part.append(len(part))
+    some = 0
+    for a in range(len(sets)):
+        for b in range(a):
+            both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+            some += 80 * either <= 100 * both < 85 * either
+            if 100 * both >= 80 * either:
+                part = [part[b] if p == part[a] else p for p in part]
+    assert some > 10
+    least = {}
+    for (i, _), p in zip(rows, part, strict=True):
+        least[p] = min(least.get(p, i), i)
+    kept = corpus_pipeline.near_duplicates(spark, table(spark, rows), "")
+    assert sorted(x["doc_id"] for x in kept.collect()) == sorted(least.values())
+
+
 def test_sketch_fills_every_bin():
     for n in (1, 2, 7, 1000):
         s = near_dedup.sketch(np.unique(np.random.default_rng(n).integers(0, 2**63, n, dtype=np.uint64)), 128)
