@@ -4,7 +4,8 @@ An item of n characters may differ from a passage of a document in ``rate`` x n
 piece more than that, so a passage within the budget holds at least one piece unchanged. All pieces are searched for in
 the whole text at once (Aho-Corasick); each hit gives the place where the item would lie, places that are close
 together make one stretch, and the stretch is verified with Myers' bit-parallel edit distance (any start, any end).
-A-Z are lower-cased on both sides.
+The best passages are taken first, and what lies between the passages taken is verified again until nothing within the
+budget is left: a stretch gives a row for each of its passages, which don't overlap. A-Z are lower-cased on both sides.
 
 Items go to the tasks in blocks of at most about ``block_chars`` characters, drawn by a hash of their text, so
 what is broadcast is bounded however many items there are. Null and empty texts and items match nothing. An item of
@@ -14,6 +15,7 @@ text give a match each. An empty table gives no matches.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -34,14 +36,14 @@ def _masks(pattern: str) -> dict[str, int]:
     return out
 
 
-def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
-    """(least edit distance of ``pattern`` to a part of ``text``, end of the first such part). ``anchored``: parts
-    that begin where the text does."""
+def distances(pattern: str, text: str, anchored: bool = False) -> list[int]:
+    """The least edit distance of ``pattern`` to the parts of ``text`` that end at each place. ``anchored``: parts that
+    begin where the text does."""
     m, masks = len(pattern), _masks(pattern)
     full, high, enter = (1 << m) - 1, 1 << (m - 1), int(anchored)
     plus, minus, score = full, 0, m
-    best, end = m, 0
-    for j, c in enumerate(text, 1):
+    out = [m]
+    for c in text:
         eq = masks.get(c, 0)
         xv = eq | minus
         xh = (((eq & plus) + plus) ^ plus) | eq
@@ -51,13 +53,19 @@ def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
             score += 1
         elif mh & high:
             score -= 1
-        if score < best:
-            best, end = score, j
+        out.append(score)
         ph = (ph << 1) | enter
         mh <<= 1
         plus = (mh | ~(xv | ph)) & full
         minus = ph & xv & full
-    return best, end
+    return out
+
+
+def myers(pattern: str, text: str, anchored: bool = False) -> tuple[int, int]:
+    """(least edit distance of ``pattern`` to a part of ``text``, end of the first such part)."""
+    out = distances(pattern, text, anchored)
+    best = min(out)
+    return best, out.index(best)
 
 
 @dataclass
@@ -93,7 +101,7 @@ class Items:
         self.search.make_automaton()
 
     def matches(self, text: str | None) -> Iterator[tuple]:
-        """(item id, start, end, distance) of each stretch of ``text`` that holds an item within its budget."""
+        """(item id, start, end, distance) of each passage of ``text`` that is an item within its budget."""
         if not text or not self.items:
             return
         if self.search is None:
@@ -113,14 +121,35 @@ class Items:
                     first = j
 
     def _verify(self, item_id, item: str, k: int, low: str, lo: int, hi: int) -> Iterator[tuple]:
-        part = low[lo:hi]
-        if (at := part.find(item)) >= 0:
-            yield item_id, lo + at, lo + at + len(item), 0
-            return
-        distance, end = myers(item, part)
-        if distance <= k:
-            back = part[max(0, end - len(item) - k):end][::-1]
-            yield item_id, lo + end - myers(item[::-1], back, anchored=True)[1], lo + end, distance
+        n, hi = len(item), min(hi, len(low))
+        taken, at = [], low.find(item, lo, hi)
+        while at >= 0:
+            taken.append((at, at + n))
+            yield item_id, at, at + n, 0
+            at = low.find(item, at + n, hi)
+        gaps = _between(taken, lo, hi)
+        while gaps:
+            a, b = gaps.pop()
+            if b - a < n - k:
+                continue
+            taken = []
+            for distance, end in sorted((d, end) for end, d in enumerate(distances(item, low[a:b]), a) if d <= k):
+                j = bisect_left(taken, (end,))  # so many passages taken start before the end
+                before = taken[j - 1][1] if j else a
+                if end - before < n - k:
+                    continue
+                back = low[max(a, end - n - k):end][::-1]
+                start = end - myers(item[::-1], back, anchored=True)[1]
+                if before <= start < end:
+                    insort(taken, (start, end))
+                    yield item_id, start, end, distance
+            if taken:
+                gaps += _between(taken, a, b)
+
+
+def _between(taken: list[tuple[int, int]], lo: int, hi: int) -> list[tuple[int, int]]:
+    """What sorted ranges leave of lo..hi."""
+    return list(zip([lo, *(b for _, b in taken)], [*(a for a, _ in taken), hi], strict=True))
 
 
 def item_blocks(benchmark: DataFrame, rate: float, block_chars: int, id_col: str = "item_id", text_col: str = "text") -> Iterator[Items]:

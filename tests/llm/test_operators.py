@@ -297,6 +297,35 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(table(spark, rows), bench.limit(0)).count() == 0
 
 
+def passages(item, text, rate=0.08):
+    return sorted((start, end, d) for _, start, end, d in decontaminate.Items([(1, item)], rate).matches(text))
+
+
+def test_each_of_adjoining_copies_is_a_passage():
+    r = random.Random(9)
+    item = "".join(r.choice("abcdefgh ") for _ in range(98)) + "yz"
+    near, short = item[:50] + "X" + item[51:], item[:40] + item[41:]
+    assert passages(item, item * 3) == [(0, 100, 0), (100, 200, 0), (200, 300, 0)]
+    assert passages(item, item + " " + short) == [(0, 100, 0), (101, 200, 1)]
+    assert passages(item, near + item + near) == [(0, 100, 1), (100, 200, 0), (200, 300, 1)]
+    assert passages(item, "-" * 30 + near + near + short + "-" * 30) == [(30, 130, 1), (130, 230, 1), (230, 329, 1)]
+    listed = "one, two, three, four, five, " * 4
+    assert passages(listed, "see " + listed * 5 + "end") == [(4 + k * len(listed), 4 + (k + 1) * len(listed), 0) for k in range(5)]
+
+
+def test_nothing_within_the_budget_is_left_beside_passages():
+    r = random.Random(10)
+    for _ in range(150):
+        item = "".join(r.choice("ab") for _ in range(r.randint(13, 30)))
+        text = "".join(item[:k] + r.choice(["", "a", "c"]) + item[k + 1:] + "c" * r.choice([0, 0, 1, 9]) for k in (r.randrange(len(item)) for _ in range(6)))
+        got, budget = passages(item, text), int(len(item) * 0.08)
+        free = list(text)
+        for a, b, d in got:
+            assert decontaminate.distances(item, text[a:b], anchored=True)[-1] == d <= budget
+            free[a:b] = "\n" * (b - a)
+        assert all(distance(item, x) > budget for x in "".join(free).split("\n") if x)
+
+
 def whole_ids(rows):
     from tokenizers import Tokenizer
     t = Tokenizer.from_file(public_path("byte_bpe_50k.json"))
