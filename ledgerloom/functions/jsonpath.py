@@ -3,7 +3,8 @@
 ``json_scalar`` follows SQL ``JSON_VALUE``: a scalar at the path comes back as text, an object,
 an array, a JSON null or a missing path give NULL, and malformed JSON gives NULL instead of
 failing the job. Plain ``get_json_object`` would return the text of an object, so the value
-goes through a VARIANT and its type is checked.
+goes through a VARIANT and its type is checked. A VARIANT takes no object that repeats a key, which JSON
+allows; of such a text only the value at the path goes through a VARIANT, the first one of a repeated key.
 
 Payloads have the shape ``{"map":[{"key":{"symbol":K},"val":{TAG:V}}, ...]}``. They are parsed
 once per row with ``from_json`` into an array of structs whose leaves are VARIANT, and every
@@ -41,10 +42,21 @@ def parse_variant(text) -> Column:
 
 
 def json_scalar(text, path: str, parsed: Column | None = None) -> Column:
-    """``JSON_VALUE(text, path)``. Pass ``parsed`` (a VARIANT column) to reuse one parse for
+    """``JSON_VALUE(text, path)``. Pass ``parsed`` (the text's VARIANT column) to reuse one parse for
     several paths over the same text."""
     v = parsed if parsed is not None else parse_variant(text)
-    return variant_scalar(F.try_variant_get(v, path, "variant"))
+    value = variant_scalar(F.try_variant_get(v, path, "variant"))
+    return F.coalesce(value, F.when(v.isNull(), _unparsed_scalar(text, path)))
+
+
+def _unparsed_scalar(text, path: str) -> Column:
+    """``json_scalar`` of a text without a VARIANT: a repeated key somewhere, or malformed (NULL). The path is asked of
+    an array around the text, as a wildcard keeps the quotes of strings. The text is one JSON value if it closes neither
+    the array nor the object put around it."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    whole = F.from_json(F.concat(F.lit('{"v":'), _col(text), F.lit("}")), "v string", strict)["v"]
+    found = F.get_json_object(F.concat(F.lit("["), _col(text), F.lit("]")), "$[*]" + path[1:])
+    return F.when(whole.isNotNull(), variant_scalar(F.try_parse_json(found)))
 
 
 def parse_pairs(text) -> Column:

@@ -93,9 +93,9 @@ def wasm_binary_rows(entries: DataFrame) -> DataFrame:
     ``id`` is kept only to order re-uploads of one hash."""
     v = parse_variant("entry_data")
     return (filter_created(entries, "contract_code")
-            .select("id", "last_modified_ledger_sequence", "ledger_closed_at", v.alias("_v"))
-            .select(json_scalar(None, "$.contract_code.hash", F.col("_v")).alias("wasm_hash"),
-                    json_scalar(None, "$.contract_code.code", F.col("_v")).alias("wasm"),
+            .select("id", "last_modified_ledger_sequence", "ledger_closed_at", "entry_data", v.alias("_v"))
+            .select(json_scalar("entry_data", "$.contract_code.hash", F.col("_v")).alias("wasm_hash"),
+                    json_scalar("entry_data", "$.contract_code.code", F.col("_v")).alias("wasm"),
                     F.col("last_modified_ledger_sequence").alias("ledger_sequence"),
                     F.col("ledger_closed_at").alias("closed_at"), "id"))
 
@@ -104,12 +104,12 @@ def contract_deploys(entries: DataFrame) -> DataFrame:
     """Contract instances created in ledger entries; wasm_hash is NULL for asset contracts."""
     v = parse_variant("entry_data")
     base = (filter_created(entries, "contract_data")
-            .select("id", "last_modified_ledger_sequence", "ledger_closed_at", "transaction_hash", v.alias("_v")))
-    return (base.where(json_scalar(None, "$.contract_data.key", F.col("_v")) == F.lit("ledger_key_contract_instance"))
+            .select("id", "last_modified_ledger_sequence", "ledger_closed_at", "transaction_hash", "entry_data", v.alias("_v")))
+    return (base.where(json_scalar("entry_data", "$.contract_data.key", F.col("_v")) == F.lit("ledger_key_contract_instance"))
             .select("id", F.col("last_modified_ledger_sequence").alias("ledger_sequence"),
                     F.col("ledger_closed_at").alias("closed_at"), "transaction_hash",
-                    json_scalar(None, "$.contract_data.contract", F.col("_v")).alias("contract_id"),
-                    json_scalar(None, "$.contract_data.val.contract_instance.executable.wasm", F.col("_v"))
+                    json_scalar("entry_data", "$.contract_data.contract", F.col("_v")).alias("contract_id"),
+                    json_scalar("entry_data", "$.contract_data.val.contract_instance.executable.wasm", F.col("_v"))
                     .alias("wasm_hash")))
 
 
@@ -117,14 +117,14 @@ def upgrade_events(events: DataFrame) -> DataFrame:
     """executable_update system events: old/new executable kind and hash."""
     v = parse_variant("topics")
     base = filter_system(events).select("id", "transaction_hash", "ledger_sequence", "ledger_closed_at",
-                                        "contract_id", v.alias("_v"))
+                                        "contract_id", "topics", v.alias("_v"))
     return base.select(
         "id", "transaction_hash", "ledger_sequence", F.col("ledger_closed_at").alias("created_at"),
         F.col("contract_id").alias("upgraded_contract_id"),
-        json_scalar(None, "$[1].vec[0].symbol", F.col("_v")).alias("old_executable_kind"),
-        json_scalar(None, "$[1].vec[1].bytes", F.col("_v")).alias("old_wasm_hash"),
-        json_scalar(None, "$[2].vec[0].symbol", F.col("_v")).alias("new_executable_kind"),
-        json_scalar(None, "$[2].vec[1].bytes", F.col("_v")).alias("new_wasm_hash"))
+        json_scalar("topics", "$[1].vec[0].symbol", F.col("_v")).alias("old_executable_kind"),
+        json_scalar("topics", "$[1].vec[1].bytes", F.col("_v")).alias("old_wasm_hash"),
+        json_scalar("topics", "$[2].vec[0].symbol", F.col("_v")).alias("new_executable_kind"),
+        json_scalar("topics", "$[2].vec[1].bytes", F.col("_v")).alias("new_wasm_hash"))
 
 
 def json_passthrough(df: DataFrame, col: str) -> DataFrame:

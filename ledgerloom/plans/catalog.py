@@ -230,10 +230,10 @@ def q_json_passthrough(spark, sf):
 def q_json_scalar(spark, sf):
     ev = _t(spark, sf).chain_events
     v = F.try_parse_json("topics")
-    return ev.select("id", v.alias("_v")).select(
-        "id", json_scalar(None, "$[0].symbol", F.col("_v")).alias("topic0"),
-        json_scalar(None, "$[1].vec", F.col("_v")).alias("topic1_vec"),
-        json_scalar(None, "$[2].vec[1].bytes", F.col("_v")).alias("new_hash"))
+    return ev.select("id", "topics", v.alias("_v")).select(
+        "id", json_scalar("topics", "$[0].symbol", F.col("_v")).alias("topic0"),
+        json_scalar("topics", "$[1].vec", F.col("_v")).alias("topic1_vec"),
+        json_scalar("topics", "$[2].vec[1].bytes", F.col("_v")).alias("new_hash"))
 
 
 @query("g_json_scalar", "SELECT event_id, CASE WHEN json_type(props, '$.k') NOT IN ('OBJECT', 'ARRAY') "

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from ledgerloom.functions import cursor as C
 from ledgerloom.functions.jsonpath import json_scalar, pair_value, parse_pairs
 from ledgerloom.functions.trigram import passes, similarity
+from ledgerloom.operators.filters import registry_candidates
 
 
 def test_json_scalar_is_json_value(spark):
@@ -14,6 +15,28 @@ def test_json_scalar_is_json_value(spark):
     assert got == ["deploy", None, None, None, None, None, None, "7", "true"]
 
 
+def test_json_scalar_of_a_text_that_repeats_a_key(spark):
+    want = {'[{"symbol":"deploy","x":1,"x":2}]': "deploy", '[{"symbol":"deploy"},{"vec":[{"a":1,"a":2}]}]': "deploy",
+            '[{"symbol":"a","symbol":"b"}]': "a", ' [{"b":1,"b":2,"symbol":"say \\"{x}\\""}] ': 'say "{x}"',
+            '[{"symbol":"[1]","b":1,"b":2}]': "[1]", '[{"symbol":"7","b":1,"b":2}]': "7", '[{"symbol":7,"b":1,"b":2}]': "7",
+            '[{"symbol":true,"b":1,"b":2}]': "true", '[{"symbol":{"x":1},"b":1,"b":2}]': None, '[{"symbol":[1],"b":1,"b":2}]': None,
+            '[{"symbol":{"x":1,"x":2}}]': None, '[{"symbol":null,"b":1,"b":2}]': None, '[{"other":1,"other":2}]': None,
+            # malformed
+            '[{"symbol":"x","b":1,"b":2}': None, '[{"symbol":"x","b":1,"b":2}] junk': None, '[{"symbol":"x","b":1,"b":2}]]': None,
+            '[{"symbol":"x","b":1,"b":2}],[1]': None, '[{"symbol":"x","b":1,"b":2}]},{"v":1': None, '[{"symbol":"x","b":1,"b":2}],"v":1': None, "[{'symbol':'x'}]": None,
+            '[{"symbol":"x","b":NaN}]': None, '[{"symbol":"x"} {"b":1}]': None, "": None}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    assert {r[0]: r[1] for r in df.select("t", json_scalar("t", "$[0].symbol")).collect()} == want
+    assert {r[0]: r[1] for r in df.select("t", F.try_parse_json("t").alias("v")).select("t", json_scalar("t", "$[0].symbol", F.col("v"))).collect()} == want
+
+
+def test_events_with_a_repeated_key_stay(spark):
+    rows = [("1", True, True, '[{"symbol":"deploy"},{"map":[{"k":1,"k":2}]}]'), ("2", True, True, '[{"symbol":"other","x":1,"x":2}]'),
+            ("3", True, True, '[{"symbol":"deploy"}')]
+    events = spark.createDataFrame(rows, "id string, in_successful_contract_call boolean, transaction_successful boolean, topics string")
+    assert [r["id"] for r in registry_candidates(events).collect()] == ["1"]
+
+
 def _decode(spark, data, key, tag, max_pos=None, pick="first", default=None):
     df = spark.createDataFrame([(data,)], "data string")
     return df.select(pair_value(parse_pairs("data"), key, tag, max_pos, pick, default)).first()[0]
