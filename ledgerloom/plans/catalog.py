@@ -728,6 +728,16 @@ def q_raw_backup(spark, sf):
     return back.select("id", "transaction_hash", "ledger_sequence", "created_at", "emitter_contract_id", "event_name")
 
 
+@query("raw_backup_all", W("SELECT id, transaction_hash, ledger_sequence, created_at, event_name, emitter_contract_id, data, "
+                           "topics, operation_body FROM raw", "raw"))
+def q_raw_backup_all(spark, sf):
+    """The whole raw backup, written and read back: all kinds, all columns."""
+    path, raw = state_dir(spark, "raw-backup-all"), _t(spark, sf).raw
+    SK.write_raw_backup(raw, path, mode="errorifexists")
+    return spark.read.schema(raw.schema).parquet(path).select("id", "transaction_hash", "ledger_sequence", "created_at", "event_name",
+                                                              "emitter_contract_id", "data", "topics", "operation_body")
+
+
 @query("unnest_arrays", W("SELECT id, transaction_hash, ledger_sequence, contract_id, deployer FROM batch_deploys",
                           "batch_deploys"))
 def q_unnest_arrays(spark, sf):

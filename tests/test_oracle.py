@@ -5,6 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF_SMALL
+from ledgerloom.operators.filters import REGISTRY_EVENTS
 from oracle_harness import compare, duck
 
 FAST = ["latest_published", "registries", "membership_gate", "decode_deploy", "decode_register", "versions",
@@ -27,6 +28,13 @@ def test_matches_oracle(spark, con, name):
     assert r["hash_match"], r
 
 
+def test_whole_raw_backup(spark, con):
+    name = "raw_backup_all"
+    test_matches_oracle(spark, con, name)
+    kinds = E.queries()[name](spark, SF_SMALL).select("event_name").distinct().collect()
+    assert {r[0] for r in kinds} == set(REGISTRY_EVENTS)
+
+
 def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.count() > 0 and "wasm_name" in df.columns
