@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, language_id, mixing, quality, token_counts, token_output
+from . import chat, decontaminate, language_id, manifest, mixing, periodic_runs, quality, sanitise, token_counts, token_output
 from .common import read_table, ship
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
@@ -85,3 +85,22 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL["op8_chat_format"] = chat.SQL
+
+
+@query
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return periodic_runs.digests(periodic_runs.find_runs(periodic_runs.with_periods(docs)))
+
+
+@query
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.documents_manifest(read_table(spark, sf_dir, "documents"))
+
+
+SQL["op12_manifest"] = manifest.SQL
+
+
+@query
+def op13_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.spans_report(read_table(spark, sf_dir, "documents"))
