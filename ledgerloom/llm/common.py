@@ -42,6 +42,15 @@ def columns_of(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{n}`") for n in names])
 
 
+def numbered(docs: DataFrame, by: list[str], text_col: str) -> DataFrame:
+    """row (a struct of all columns, so that none clashes), hash (xxhash64 of the text) and place (from 1) among the rows equal in ``by``
+    and text, in the order of their JSON: rows that share it are the same."""
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(F.col(f"`{text_col}`")).alias("hash"))
+    same = Window.partitionBy(*[F.col("row")[c] for c in by], "hash").orderBy("rest")
+    rest = F.to_json(F.struct(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(docs.columns) if c not in (*by, text_col)], F.lit(0).alias("z")))
+    return rows.withColumn("rest", rest).withColumn("place", F.row_number().over(same)).drop("rest")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once to the shared folder of ``spark.checkpoint.dir`` and read back: cuts lineage
     in a way that survives lost executors, and fixes values that depend on the partitioning."""

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import columns_of
 
@@ -164,10 +165,11 @@ def item_blocks(benchmark: DataFrame, rate: float, block_chars: int, id_col: str
 def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_chars: int = 4 << 20, id_col: str = "doc_id",
                text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """``id_col``, ``item_col``, start, end (characters) and distance of each passage that is an item within its budget."""
-    d = columns_of(docs, id_col, text_col).toDF("id", "text").withColumn("id", F.col("id").cast("long"))
-    spark, item_type = docs.sparkSession, benchmark.schema[item_col].dataType
-    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("item", item_type), T.StructField("start", T.LongType()),
+    d = columns_of(docs, id_col, text_col).toDF("id", "text")
+    spark, id_type, item_type = docs.sparkSession, docs.schema[id_col].dataType, benchmark.schema[item_col].dataType
+    schema = T.StructType([T.StructField("id", id_type), T.StructField("item", item_type), T.StructField("start", T.LongType()),
                            T.StructField("end", T.LongType()), T.StructField("distance", T.LongType())])
+    arrow = to_arrow_schema(schema)
     out = spark.createDataFrame([], schema)
     for block in item_blocks(benchmark, rate, block_chars, item_col, item_text):
         items = spark.sparkContext.broadcast(block)
@@ -175,9 +177,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, rate: float = 0.08, block_
         def run(batches, items=items):
             for batch in batches:
                 rows = [(i, *m) for i, text in zip(batch.column("id").to_pylist(), batch.column("text"), strict=True) for m in items.value.matches(text.as_py())]
-                yield pa.RecordBatch.from_pylist([dict(zip(("id", "item", "start", "end", "distance"), r, strict=True)) for r in rows],
-                                                 schema=pa.schema([("id", pa.int64()), ("item", pa.int64() if isinstance(item_type, (T.LongType, T.IntegerType)) else pa.string()),
-                                                                   ("start", pa.int64()), ("end", pa.int64()), ("distance", pa.int64())]))
+                columns = list(zip(*rows, strict=True)) or [[]] * len(arrow)
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         out = out.union(d.mapInArrow(run, schema))
     return out.toDF(id_col, item_col, "start", "end", "distance")

@@ -83,7 +83,23 @@ class Automaton:
         return states
 
     def first_words(self) -> set[bytes]:
-        return {w for s in self.close({0}) for w in self.words[s]}
+        """The words that it may begin with; b"" stands for any."""
+        first = self.close({0})
+        return {w for s in first for w in self.words[s]} | ({b""} if any(self.free[s] is not None for s in first) else set())
+
+    def mandatory(self) -> set[bytes]:
+        """The words on every way to the end: without them it is not reached."""
+        def reached(without: bytes) -> bool:
+            seen, todo = set(), [0]
+            while todo:
+                s = todo.pop()
+                if s in seen:
+                    continue
+                seen.add(s)
+                todo += [*self.empty[s], *([] if self.free[s] is None else [self.free[s]]), *[to for w, to in self.words[s].items() if w != without]]
+            return self.end in seen
+
+        return {w for w in {w for step in self.words for w in step} if not reached(w)}
 
     def accepts_at(self, text: list[bytes], at: int) -> bool:
         states = self.close({0})
@@ -143,12 +159,14 @@ def compile_template(markup: str) -> Automaton:
 def _compiled(templates: tuple[tuple[str, str], ...]) -> tuple[dict[bytes, list[tuple[str, Automaton]]], re.Pattern]:
     """Automata by their first words, and a search for those words."""
     starts: dict[bytes, list[tuple[str, Automaton]]] = {}
+    mandatory = []
     for label, markup in templates:
         a = compile_template(markup)
         for w in a.first_words():
             starts.setdefault(w, []).append((label, a))
-    mandatory = [max(_WORD.findall(re.sub(r"<<beginOptional>>.*?<<endOptional>>|<<[^>]*>>", " ", markup).encode().translate(_LOWER)), key=len)
-                 for _, markup in templates]
+        if not (words := a.mandatory()):
+            raise ValueError(f"the template of {label} needs a word that no region may leave out")
+        mandatory.append(max(sorted(words), key=len))
     return starts, re.compile(rb"(?<![0-9a-z\x80-\xff])(?:" + b"|".join(sorted(set(mandatory))) + rb")(?![0-9a-z\x80-\xff])")
 
 
@@ -176,9 +194,9 @@ def scan_text(text: bytes, templates=tuple(TEMPLATES.items()), phrases=tuple(PHR
     starts, likely = _compiled(templates)
     labels: set[str] = set()
     if likely.search(low):
-        words = _WORD.findall(low)
+        words, anywhere = _WORD.findall(low), starts.get(b"", ())
         for at, w in enumerate(words):
-            for label, automaton in starts.get(w, ()):
+            for label, automaton in (*starts.get(w, ()), *anywhere):
                 if label not in labels and automaton.accepts_at(words, at):
                     labels.add(label)
     at = [int(np.count_nonzero(begins[:p + 1])) - 1 for p in (min(places), max(places))] if places else [None, None]

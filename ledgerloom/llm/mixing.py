@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of, offsets, ranged, stored, word_count
+from .common import columns_of, numbered, offsets, ranged, stored, word_count
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], most: int) -> DataFrame:
@@ -71,14 +71,14 @@ def mix_sources(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int
 
 
 def emit(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The rows of ``docs``, each as often as ``mixed`` says."""
-    key = [F.col(f"`{id_col}`"), F.col(f"`{source_col}`"), F.xxhash64(F.col(f"`{text_col}`"))]
-    d = docs.withColumns({"__hash": key[2], "__number": F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))})
-    m = mixed.where("copies > 0").select(F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), F.col("text_hash").alias("__h"),
-                                         F.col("number").alias("__n"), "copies")
-    d = d.join(m, d[id_col].eqNullSafe(m["__id"]) & d[source_col].eqNullSafe(m["__source"])
-               & (d["__hash"] == m["__h"]) & (d["__number"] == m["__n"]))
-    return d.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs``, each as often as ``mixed`` says. Rows equal in id, source and text are told apart by their other
+    columns (as JSON), so reruns give the same rows; further columns pass unchanged, whatever their names."""
+    d = numbered(docs, [id_col, source_col], text_col)
+    m = mixed.where("copies > 0").select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col("text_hash").alias("h"),
+                                         F.col("number").alias("n"), "copies")
+    d = d.join(m, d["row"][id_col].eqNullSafe(m["id"]) & d["row"][source_col].eqNullSafe(m["source"])
+               & (d["hash"] == m["h"]) & (d["place"] == m["n"]))
+    return d.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 #: DuckDB SQL of ``mix_sources`` with its default parameters: the level of sharing in closed form.

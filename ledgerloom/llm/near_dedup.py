@@ -9,8 +9,9 @@
   most members in all. Where the other members are then still in several components, the differences between
   them and the centre find the rest: two sets that differ little from each other, one of them far from the
   centre, must differ from the centre in the same places. So many differences must agree that, with those in
-  one fixed order, one agrees within the first few of each (prefix filter); classes that agree in one of these
-  are compared. Pairs stay few where near misses lie about a group, and no pair of a bucket is lost.
+  the order of their frequency about the centre, one agrees within the first few of each (prefix filter); classes that agree in
+  one of these are compared. What many share, a footer say, comes last in that order, so near misses that have it in common
+  are not compared for it, and no pair of a bucket is lost.
 * A link is confirmed on the full sets: 100 x intersection >= ``percent`` x union.
 
 With the default 32 bands of 4 bins, a pair at a similarity of 0.85 shares no bucket with a probability of 6e-11.
@@ -139,15 +140,15 @@ def _confirm(percent: int):
 
 
 def _differences(percent: int):
-    """The first differences of each class (``y``) from its centre (``x``): runs that the centre lacks, then runs that
-    it alone has. Linked sets of sizes n and m differ in at most share x (n + m) runs, where share =
+    """The differences of each class (``y``) from its centre (``x``): runs that the centre lacks and runs that it alone has; and
+    within how many of them, in whatever common order, one agrees with a partner's. Linked sets of sizes n and m differ in at most share x (n + m) runs, where share =
     (100 - percent) / (100 + percent); with d and e differences from the centre, (d + e - share x (n + m)) / 2
     of them at least are the same ones. ``least`` is a lower bound of that over all partners that may come."""
     share = (100 - percent) / (100 + percent)
 
     def run(batches):
         for batch in batches:
-            d, far, first = [], [], []
+            d, far, within, runs = [], [], [], []
             for x, y in _pairs(batch):
                 added, missing = y[~_both(x, y)], x[~_both(y, x)]
                 both, differ = len(y) - len(added), len(added) + len(missing)
@@ -159,10 +160,12 @@ def _differences(percent: int):
                 n = int(differ - max(least, 1) + 1e-6) + 1
                 d.append(differ)
                 far.append(not linked)
-                first.append(np.concatenate([added, missing])[:n].view(np.int64))
+                within.append(n)
+                runs.append(np.concatenate([added, missing]).view(np.int64))
             yield pa.RecordBatch.from_pydict({
                 "c": batch.column("c"), "node": batch.column("node"), "part": batch.column("part"), "n": batch.column("n"),
-                "d": pa.array(d, pa.int64()), "far": pa.array(far, pa.bool_()), "first": pa.array(first, pa.list_(pa.int64()))})
+                "d": pa.array(d, pa.int64()), "far": pa.array(far, pa.bool_()), "within": pa.array(within, pa.int64()),
+                "runs": pa.array(runs, pa.list_(pa.int64()))})
     return run
 
 
@@ -172,11 +175,15 @@ def _close(stars: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     x = sets.select(F.col("node").alias("c"), F.col("shingles").alias("x"))
     y = sets.select("node", F.col("shingles").alias("y"))
     cells = stored(stars.join(x, "c").join(y, "node").select("c", "node", "part", "n", "x", "y")
-                   .mapInArrow(_differences(percent), "c binary, node binary, part long, n long, d long, far boolean, first array<long>"),
-                   "op7-differences").select("c", "node", "part", "n", "d", "far", F.posexplode("first").alias("pos", "run"))
-    mixed = (cells.groupBy("c", "run").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("far").alias("any_far"))
-             .where("lo <> hi and any_far").select("c", "run"))
-    cells = stored(cells.join(mixed, ["c", "run"]), "op7-cells")
+                   .mapInArrow(_differences(percent), "c binary, node binary, part long, n long, d long, far boolean, within long, runs array<long>"),
+                   "op7-differences").select("c", "node", "part", "n", "d", "far", "within", F.explode("runs").alias("run"))
+    mixed = (cells.groupBy("c", "run").agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.max("far").alias("any_far"),
+                                           F.count("*").alias("members"))
+             .where("lo <> hi and any_far").select("c", "run", "members"))
+    # each class's differences in the order of their frequency, those of one part first
+    own = Window.partitionBy("c", "node")
+    place = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("members", "run")) - 1
+    cells = stored(cells.join(mixed, ["c", "run"]).withColumn("pos", place).where("pos < within"), "op7-cells")
     other = cells.select("c", "run", *[F.col(k).alias(f"{k}_b") for k in ("node", "part", "n", "d", "far", "pos")])
     same = f"greatest(1, (d + d_b - {share!r}D * (n + n_b)) / 2)"  # so many differences agree
     return (cells.join(other, ["c", "run"])
@@ -212,7 +219,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, words: int = 5, bands: i
     def confirmed(pairs: DataFrame) -> DataFrame:
         x = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
         y = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-        return stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y")
+        return stored(stored(pairs, "op7-pairs").join(x, "a").join(y, "b").select("a", "b", "x", "y")
                       .mapInArrow(_confirm(percent), "a binary, b binary"), "op7-links")
 
     def labelled(links: DataFrame) -> DataFrame:

@@ -7,7 +7,8 @@
   ``max_rate`` takes all its documents with it; a small host with a few failures does not.
 
 Null and empty texts have no words and fail. Hosts are compared null-safe: a null host is a host. Repeated rows
-count each. An empty table gives no rows.
+count each. An empty table gives no rows. With ``keep_rows`` further columns pass unchanged, whatever their names. Texts are read whole,
+in n log n of their words.
 """
 
 from __future__ import annotations
@@ -77,10 +78,12 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, max_rate:
           id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """The counts, base_failed, host_rate, host_failed and kept of each document; or, with ``keep_rows``, the rows of
     ``docs`` that stay."""
-    if keep_rows:
-        judged = base_rules(docs, F.col(f"`{text_col}`"), min_words, max_repeat).select(
-            *[F.col(f"`{c}`") for c in docs.columns if c != text_col],
-            F.when(~F.col("base_failed"), F.col(f"`{text_col}`")).alias(text_col), "base_failed")
+    if keep_rows:  # the row goes in one column, so its names meet none of the judgement's
+        d = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{text_col}`").alias("text"),
+                        F.col(f"`{host_col}`").alias("host"))
+        judged = base_rules(d, F.col("text"), min_words, max_repeat).select(
+            "host", F.when(~F.col("base_failed"), F.col("row")).alias("row"), "base_failed")
+        host_col = "host"
     else:
         d = columns_of(docs, id_col, text_col, host_col)
         judged = base_rules(d, F.col(f"`{text_col}`"), min_words, max_repeat).drop(text_col)
@@ -88,7 +91,7 @@ def judge(docs: DataFrame, min_words: int = 50, max_repeat: int = 50, max_rate:
     hosts = host_verdicts(judged, host_col, max_rate)
     out = judged.join(hosts, judged[host_col].eqNullSafe(hosts["__host"]), "left").drop("__host")
     out = out.withColumn("kept", ~F.col("base_failed") & ~F.col("host_failed"))
-    return out.where("kept").select(*[F.col(f"`{c}`") for c in docs.columns]) if keep_rows else out.drop(host_col)
+    return out.where("kept").select("row.*") if keep_rows else out.drop(host_col)
 
 
 #: DuckDB SQL of ``judge`` with its default parameters.

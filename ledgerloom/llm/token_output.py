@@ -152,10 +152,10 @@ class Shard:
 
 def write_shards(docs: DataFrame, folder: str, vocabulary: str = "byte_bpe_50k.json", end: int = 2, shard_tokens: int = 1 << 21,
                  id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Write ``docs`` in ascending id order; the receipts (part, shard, file, n_docs, n_tokens), stored."""
+    """Write ``docs`` in ascending id order, rows of one id by their text (its hash first); the receipts (part, shard, file, n_docs, n_tokens), stored."""
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     d = columns_of(docs, id_col, text_col).toDF("id", "text").select(F.col("id").cast("long").alias("id"), "text")
-    d = d.repartitionByRange(n, "id").sortWithinPartitions("id").withColumn("part", F.spark_partition_id())
+    d = d.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "id", "hash").sortWithinPartitions("id", "hash", "text").drop("hash").withColumn("part", F.spark_partition_id())
 
     def run(batches):
         encode = encoder(vocabulary)
