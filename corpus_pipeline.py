@@ -1,16 +1,18 @@
 """A training corpus from ``documents``: each stage takes the rows that the one before it kept.
 
 Quality rules, near-duplicates, benchmark passages, mixing to target weights, then token ids in shard files. All
-stages but the last return the columns of their input; a document that the mix repeats is a row each time.
+stages but the last return the columns of their input, whatever further ones are named; a document that the mix repeats is a row each time.
+Null and empty texts fail the quality rules. Rows without a difference are interchangeable, so ties give the same rows in every
+run. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerloom.llm import decontaminate, mixing, near_dedup, quality, token_output
-from ledgerloom.llm.common import read_table, ship
+from ledgerloom.llm.common import numbered, read_table, ship
 from ledgerloom.session import state_dir
 
 
@@ -24,13 +26,12 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ship(spark)
     found = near_dedup.near_duplicates(docs, percent=80)
     stays = (found.where("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("one"))
-             .select(F.col("one.doc_id").alias("__id"), F.col("one.text_hash").alias("__th"), F.lit(1).alias("__copies")))
-    empty = found.where("group is null").groupBy("doc_id", "text_hash").agg(F.count("*").cast("int").alias("__copies"))
-    stays = stays.union(empty.select("doc_id", "text_hash", "__copies"))
-    hashed = docs.withColumn("__h", F.xxhash64("text"))
-    number = F.row_number().over(Window.partitionBy("doc_id", "__h").orderBy(*[c for c in docs.columns if c not in ("doc_id", "text")]))
-    rows = hashed.withColumn("__number", number).join(stays, hashed["doc_id"].eqNullSafe(stays["__id"]) & (hashed["__h"] == stays["__th"]))
-    return rows.where("__number <= __copies").select(*docs.columns)
+             .select(F.col("one.doc_id").alias("id"), F.col("one.text_hash").alias("th"), F.lit(1).alias("copies")))
+    empty = found.where("group is null").groupBy("doc_id", "text_hash").agg(F.count("*").cast("int").alias("copies"))
+    stays = stays.union(empty.select("doc_id", "text_hash", "copies"))
+    rows = numbered(docs, ["doc_id"], "text")
+    rows = rows.join(stays, rows["row"]["doc_id"].eqNullSafe(stays["id"]) & (rows["hash"] == stays["th"]))
+    return rows.where("place <= copies").select("row.*")
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
