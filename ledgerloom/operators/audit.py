@@ -1,8 +1,7 @@
 """Loss audit: events of known registries that reached no downstream sink.
 
 The seven conditional left joins with an all-NULL test are one anti join against the union of all
-sinks' (id, event_name); the anti join shuffles on the id, and the registry side is a checked
-broadcast.
+sinks' (id, event_name); the anti join shuffles on the id.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import REGISTRY_EVENTS
-from .joins import checked_broadcast
 
 # Classification labels of audit rows.
 REREGISTERED = "sub_reg_superseded"
@@ -20,7 +18,7 @@ DROPPED = "dropped"
 
 
 def audit_dropped(raw: DataFrame, registries: DataFrame, sink_ids: DataFrame) -> DataFrame:
-    reg = checked_broadcast(registries.select(F.col("contract_id").alias("__reg")))
+    reg = registries.select(F.col("contract_id").alias("__reg"))
     known = raw.join(reg, raw["emitter_contract_id"] == reg["__reg"], "left_semi") \
         .where(F.col("event_name").isin(list(REGISTRY_EVENTS)))
     known = known.select("event_name", "emitter_contract_id", "ledger_sequence", "transaction_hash", "id")

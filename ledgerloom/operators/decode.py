@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import decode_pairs, json_scalar, parse_pairs, parse_variant
+from ..functions.jsonpath import VALUE_TAGS, decode_pairs, json_scalar, parse_pairs, parse_variant, variant_scalar
 from .filters import filter_created, filter_system, registry_candidates, topic_name
 
 # Fixed values: (payload key, value tag, output column) of each event kind, and how many payload
@@ -143,7 +143,13 @@ def sub_document(text_col: str, path: str) -> Column:
 META_KEYS = ("rsver", "rssdkver", "rssdk_spec_shaking", "cliver", "source_repo", "binver")
 
 
-def meta_fold(entries: DataFrame, entries_col: str = "entries") -> DataFrame:
+def payload_entries(col: str = "data") -> Column:
+    """A payload's entries in their order as (key, val): val is the text of the first tag that holds a scalar."""
+    return F.transform(parse_pairs(col), lambda p: F.struct(
+        variant_scalar(p["key"]["symbol"]).alias("key"), F.coalesce(*[variant_scalar(p["val"][t]) for t in VALUE_TAGS]).alias("val")))
+
+
+def meta_fold(entries: DataFrame, entries_col: str = "entries", keys=META_KEYS) -> DataFrame:
     """Fold a list of (key, val) entries into the named metadata fields; a later duplicate key
     wins and unknown keys are dropped."""
     e = F.col(entries_col)
@@ -152,6 +158,6 @@ def meta_fold(entries: DataFrame, entries_col: str = "entries") -> DataFrame:
         # F.filter treats a two-argument lambda as (element, index): bind the key by closure
         return F.try_element_at(F.filter(e, lambda x: x["key"] == F.lit(key)), F.lit(-1))["val"].alias(key)
 
-    fields = [last_value(k) for k in META_KEYS]
+    fields = [last_value(k) for k in keys]
     others = [c for c in entries.columns if c != entries_col]
     return entries.select(*others, *fields)

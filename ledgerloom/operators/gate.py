@@ -2,7 +2,7 @@
 
 In batch (and after any replay with the full set) the gate is a plain semi join: whether an event
 passes does not depend on when its registry was announced. The set is the distinct announced
-contract ids; it is broadcast only after its row count has been checked.
+contract ids; Spark broadcasts it if its bytes, known from the files or measured while the query runs, are few.
 """
 
 from __future__ import annotations
@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import checked_broadcast
-
 
 def membership_set(sub_reg: DataFrame, key: str = "contract_id") -> DataFrame:
     """Distinct member ids (the dynamic table); NULL ids never match and are left out."""
@@ -20,7 +18,7 @@ def membership_set(sub_reg: DataFrame, key: str = "contract_id") -> DataFrame:
 
 def membership_gate(events: DataFrame, members: DataFrame, on: str = "emitter_contract_id",
                     key: str = "contract_id") -> DataFrame:
-    m = checked_broadcast(members.select(F.col(key).alias("__member")))
+    m = members.select(F.col(key).alias("__member"))
     return events.join(m, events[on] == m["__member"], "left_semi")
 
 

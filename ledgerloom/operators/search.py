@@ -1,20 +1,16 @@
 """Published-wasm search (ranked, keyset-paged) and the trigram similarity join.
 
-The similarity join replaces a trigram index: names are de-duplicated and exploded to (name,
-trigram); the query side (a bounded set of search terms, size-checked before it is broadcast) is
-exploded the same way; an equi join on the trigram plus a per-pair count gives |A ∩ B| for every
-pair that shares at least one trigram. Pairs whose set sizes alone rule out the threshold
-(min/max <= t) are dropped in the join condition, before counting.
+The similarity join replaces a trigram index: names are de-duplicated, and only pairs that agree in one of their rarest trigrams,
+early enough for the score to be reached, are compared (a prefix filter with places); no side is collected or counted first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.cursor import keyset_predicate, parse_cursor, validate_limit
 from ..functions.trigram import DEFAULT_THRESHOLD, passes, similarity, trigram_set
-from .joins import checked_broadcast
 
 
 def search_rank(query: str | None):
@@ -48,25 +44,47 @@ def search_published(latest: DataFrame, query: str | None = None, limit: int | N
 
 
 def name_trigrams(names: DataFrame, name_col: str) -> DataFrame:
-    """Distinct names exploded to (name, n_grams, trigram)."""
+    """Distinct names with their trigrams: name, grams."""
     d = names.select(F.col(name_col).alias("name")).where(F.col("name").isNotNull()).distinct()
-    d = d.select("name", trigram_set(F.col("name")).alias("grams"))
-    return d.select("name", F.size("grams").alias("n_grams"), F.explode("grams").alias("gram"))
+    return d.select("name", trigram_set(F.col("name")).alias("grams"))
+
+
+def similarity_candidates(q: DataFrame, n: DataFrame, threshold: float) -> DataFrame:
+    """(query, q_grams, name, grams): pairs that may pass ``threshold``, by a prefix filter.
+
+    Trigrams have one order, the rarest first (counted over both sides). A pair with more than t of its trigrams in common has
+    at least ceil(t x size) of either set in common, so one of them is among the first size - ceil(t x size) + 1 of each in that order.
+    Only those are joined: a frequent trigram is in a prefix only of names that hold few rarer ones."""
+    t = float(threshold)
+    both = q.select(F.explode("grams").alias("gram")).unionAll(n.select(F.explode("grams").alias("gram")))
+    rarity = both.groupBy("gram").agg(F.count("*").alias("n_names"))
+
+    def prefix(side: DataFrame, name: str, gram: str) -> DataFrame:
+        each = side.select("name", "grams", F.explode("grams").alias("gram")).join(rarity, "gram")
+        place = F.row_number().over(Window.partitionBy("name").orderBy("n_names", "gram"))
+        size = F.size("grams")
+        # t as the score has it, in single precision; the small term keeps a pair at the threshold
+        most = size - F.greatest(F.ceil(F.lit(t) * size - 1e-5), F.lit(1)) + 1
+        return each.withColumn("place", place).where(F.col("place") <= most).select(
+            F.col("name").alias(name), F.col("gram").alias(f"{gram}_gram"), F.col("place").alias(f"{gram}_place"), size.alias(f"{gram}_size"))
+
+    # behind the first trigram that they share, no more can agree than the shorter rest holds
+    room = 1 + F.least(F.col("q_size") - F.col("q_place"), F.col("n_size") - F.col("n_place"))
+    needed = F.ceil(F.lit(t / (1 + t)) * (F.col("q_size") + F.col("n_size")) - 1e-5)
+    pairs = (prefix(q, "query", "q").join(prefix(n, "name", "n"), (F.col("q_gram") == F.col("n_gram")) & (room >= needed))
+             .select("query", "name").distinct())
+    return (pairs.join(q.select(F.col("name").alias("query"), F.col("grams").alias("q_grams")), "query").join(n, "name"))
 
 
 def similarity_join(queries: DataFrame, query_col: str, names: DataFrame, name_col: str,
-                    threshold: float = DEFAULT_THRESHOLD, max_broadcast_rows: int = 1_000_000) -> DataFrame:
+                    threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
     """All (query, name) pairs with similarity > threshold: (query, name, similarity)."""
-    q = name_trigrams(queries, query_col).select(F.col("name").alias("query"), F.col("n_grams").alias("q_n"),
-                                                  F.col("gram").alias("q_gram"))
-    n = name_trigrams(names, name_col)
-    q = checked_broadcast(q, max_broadcast_rows)
     t = float(threshold)
+    pairs = similarity_candidates(name_trigrams(queries, query_col), name_trigrams(names, name_col), t)
     # the size bound is rounded and compared as the score is, so a pair at the threshold passes both
-    size_ok = passes((F.least("q_n", "n_grams") / F.greatest("q_n", "n_grams")).cast("float"), t)
-    pairs = n.join(q, (n["gram"] == q["q_gram"]) & size_ok)
-    counted = pairs.groupBy("query", "name", "q_n", "n_grams").agg(F.count(F.lit(1)).alias("common"))
-    score = (F.col("common") / (F.col("q_n") + F.col("n_grams") - F.col("common"))).cast("float")
-    out = counted.select("query", "name", score.alias("similarity"))
+    q_n, n_n = F.size("q_grams"), F.size("grams")
+    pairs = pairs.where(passes((F.least(q_n, n_n) / F.greatest(q_n, n_n)).cast("float"), t))
+    common = F.size(F.array_intersect("q_grams", "grams"))
+    out = pairs.select("query", "name", (common / (q_n + n_n - common)).cast("float").alias("similarity"))
     return out.where(passes(F.col("similarity"), t)).select(
         "query", "name", F.round(F.col("similarity").cast("double"), 6).alias("similarity"))

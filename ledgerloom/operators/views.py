@@ -6,15 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .joins import checked_broadcast
 from .latest import latest_per_key, sequence_index
 
 
 def with_channel(df: DataFrame, registries: DataFrame, emitter_col: str = "emitter_contract_id",
                  how: str = "inner") -> DataFrame:
     """Attach the registry channel of the emitting registry (``channel``)."""
-    reg = checked_broadcast(registries.select(F.col("contract_id").alias("__reg_id"),
-                                              F.col("registry_channel").alias("channel")))
+    reg = registries.select(F.col("contract_id").alias("__reg_id"), F.col("registry_channel").alias("channel"))
     return df.join(reg, df[emitter_col] == reg["__reg_id"], how).drop("__reg_id")
 
 
@@ -69,9 +67,7 @@ def versions(deploys: DataFrame, upgrades: DataFrame, published: DataFrame, regi
     p = latest_publish_per_hash(published).select(
         F.col("wasm_hash").alias("__p_hash"), "wasm_name", "wasm_version",
         F.col("emitter_contract_id").alias("__p_emitter"))
-    p = checked_broadcast(p)
-    reg = checked_broadcast(registries.select(F.col("contract_id").alias("__r_id"),
-                                              F.col("registry_channel").alias("wasm_channel")))
+    reg = registries.select(F.col("contract_id").alias("__r_id"), F.col("registry_channel").alias("wasm_channel"))
     out = (t.join(p, t["wasm_hash"] == p["__p_hash"], "left")
            .join(reg, F.col("__p_emitter") == reg["__r_id"], "left"))
     return out.select("contract_id", "version_index", "kind", "wasm_hash", "wasm_name", "wasm_version",

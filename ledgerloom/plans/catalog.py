@@ -7,12 +7,13 @@ the operators, as a caller of the service would pass them.
 
 from __future__ import annotations
 
+import datetime
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_scalar
+from ..functions.jsonpath import VALUE_TAGS, json_scalar
 from ..functions.trigram import similarity
 from ..operators import audit as A
 from ..operators import decode as D
@@ -23,7 +24,11 @@ from ..operators import search as S
 from ..operators.gate import route_counts
 from ..operators.latest import latest_per_key
 from ..operators.views import legacy_published
+from ..session import state_dir
 from ..sources import bridge, readers
+from ..sources.fixture import fixture_paths
+from ..streaming.archive import ArchiveIngest
+from ..streaming.ingest import RegistryIngest, write_stream_files
 from . import oracle as O
 from .tables import RegistryTables
 
@@ -49,6 +54,21 @@ def _t(spark: SparkSession, sf_dir: str) -> RegistryTables:
     return RegistryTables.from_fixture(spark, sf_dir)
 
 
+_STORES: dict = {}
+
+
+def _s(spark: SparkSession, sf_dir: str) -> RegistryTables:
+    """The stored tables: both streaming jobs run once over a folder's streams in a session, then the tables are read."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        events, entries = fixture_paths(spark, sf_dir)
+        root = state_dir(spark, "store")
+        RegistryIngest(spark, root, ROOT).run(events, f"{root}/_checkpoint")
+        ArchiveIngest(spark, f"{root}/archive").run(entries, events, f"{root}/archive/_checkpoints")
+        _STORES[key] = root
+    return RegistryTables.from_store(spark, _STORES[key], ROOT)
+
+
 def _batch_events(t: RegistryTables) -> DataFrame:
     """The minimal pipeline's sink: one emitter, successful rows (input of the batch ingest)."""
     ev = FL.filter_successful(FL.filter_emitter(t.chain_events, t.root_registry))
@@ -57,6 +77,9 @@ def _batch_events(t: RegistryTables) -> DataFrame:
 
 
 W = O.with_ctes
+#: Read over the stored tables, as are lists, search, details, the audit and what is exported of them; decoders and sinks
+#: start from the streams.
+VIEWS = ("published_with_channel", "registered_with_channel", "latest_published", "wasm_versions", "versions", "contracts", "contracts_enriched")
 EV_COLS = ("id, type, topics, data, contract_id, transaction_hash, ledger_sequence, ledger_closed_at, "
            "in_successful_contract_call, transaction_successful, operation_body")
 
@@ -75,10 +98,13 @@ def q_scan_ledger_entries(spark, sf):
     return readers.scan_from(_t(spark, sf).ledger_entries, START_AT, "last_modified_ledger_sequence")
 
 
-@query("scan_latest_only", W(f"SELECT {EV_COLS} FROM chain_events WHERE ledger_sequence > {LATEST_AS_OF}",
-                             "chain_events"))
+@query("scan_latest_only", W(f"SELECT {EV_COLS} FROM chain_events WHERE ledger_sequence > (SELECT coalesce(max(ledger_sequence), 0) "
+                             f"FROM chain_events WHERE ledger_sequence <= {LATEST_AS_OF})", "chain_events"))
 def q_scan_latest_only(spark, sf):
-    return readers.scan_latest_only(_t(spark, sf).chain_events, LATEST_AS_OF)
+    """A job that began when the stream ended at ``LATEST_AS_OF``, restarted: it goes by the end that it recorded then."""
+    ev, state = _t(spark, sf).chain_events, state_dir(spark, "latest-job")
+    readers.recorded_end(ev.where(F.col("ledger_sequence") <= LATEST_AS_OF), state)
+    return readers.scan_latest_only(ev, readers.recorded_end(ev, state))
 
 
 @query("high_water", W("SELECT CAST(coalesce(max(d.ledger_sequence), 0) AS BIGINT) AS deploys, "
@@ -121,6 +147,29 @@ def q_incremental_batch(spark, sf):
                                     5000, FL.topic_name())
 
 
+CATCH_UP_LIMIT = 500
+
+
+@query("incremental_catch_up", W(
+    "SELECT id, ledger_sequence, CASE event_name WHEN 'deploy' THEN 'deploys' ELSE 'publishes' END AS target, "
+    f"CAST((place - 1) // {CATCH_UP_LIMIT} AS INTEGER) AS run FROM (SELECT id, ledger_sequence, event_name, "
+    "row_number() OVER (ORDER BY ledger_sequence, id) AS place FROM (SELECT id, ledger_sequence, "
+    f"{O.sql_json_scalar('topics', '$[0].symbol')} AS event_name FROM batch_events) e, hw WHERE ledger_sequence > least(d.seq, p.seq) "
+    "OR (ledger_sequence = least(d.seq, p.seq) AND id > least(d, p).id)) x, hw WHERE (event_name = 'deploy' AND (ledger_sequence > d.seq "
+    "OR (ledger_sequence = d.seq AND id > d.id))) OR (event_name = 'publish' AND (ledger_sequence > p.seq OR (ledger_sequence = p.seq AND id > p.id)))",
+    "batch_deploys", "batch_publishes", "batch_events").replace("\nSELECT id, ledger_sequence, CASE",
+    ", hw AS (SELECT coalesce((SELECT max({'seq': ledger_sequence, 'id': id}) FROM batch_deploys WHERE ledger_sequence < " f"{START_AT}), "
+    "{'seq': 0, 'id': ''}) AS d, coalesce((SELECT max({'seq': ledger_sequence, 'id': id}) FROM batch_publishes WHERE ledger_sequence < "
+    f"{LAG_AT}), " "{'seq': 0, 'id': ''}) AS p)\nSELECT id, ledger_sequence, CASE", 1))
+def q_incremental_catch_up(spark, sf):
+    """Every run of the batch ingest until the stream's end, 500 events a run, from targets loaded up to different ledgers."""
+    be = _batch_events(_t(spark, sf))
+    deploys = D.decode_batch(be, "deploy").where(F.col("ledger_sequence") < START_AT)
+    publishes = D.decode_batch(be, "publish").where(F.col("ledger_sequence") < LAG_AT)
+    return readers.incremental_reads(be, {"deploys": ("deploy", deploys), "publishes": ("publish", publishes)}, CATCH_UP_LIMIT,
+                                     FL.topic_name(), state_dir(spark, "catch-up"))
+
+
 # ---- filters ----------------------------------------------------------------------------------
 
 @query("filter_successful", W("SELECT id, ledger_sequence FROM chain_events WHERE in_successful_contract_call = true "
@@ -193,7 +242,7 @@ for _name, _attr, _cte in [("decode_deploy", "deployed", "deployed"), ("decode_p
                            ("versions", "versions", "versions"), ("contracts", "contracts", "contracts"),
                            ("contracts_enriched", "contracts_enriched", "contracts_enriched")]:
     query(_name, W(f"SELECT * FROM {_cte}", _cte))(
-        (lambda attr: (lambda spark, sf: getattr(_t(spark, sf), attr)))(_attr))
+        (lambda attr, of: (lambda spark, sf: getattr(of(spark, sf), attr)))(_attr, _s if _attr in VIEWS else _t))
 
 
 @query("membership_table", W("SELECT DISTINCT contract_id FROM sub_reg WHERE contract_id IS NOT NULL", "sub_reg"))
@@ -223,6 +272,26 @@ def q_json_passthrough(spark, sf):
     return D.json_passthrough(_t(spark, sf).raw.select("id", "operation_body"), "operation_body")
 
 
+FOLD_KEYS = ("wasm_name", "version", "author", "contract_id", "contract_name")
+
+
+def _fold_sql(key: str) -> str:
+    """The text of the last entry with the key."""
+    hits = (f"list_filter(entries, lambda e: (CASE WHEN json_type(e, '$.key.symbol') NOT IN ('OBJECT','ARRAY') "
+            f"THEN json_extract_string(e, '$.key.symbol') END) = '{key}')[-1]")
+    tags = ", ".join(f"CASE WHEN json_type({hits}, '$.val.{t}') NOT IN ('OBJECT','ARRAY') THEN json_extract_string({hits}, '$.val.{t}') END"
+                     for t in VALUE_TAGS)
+    return f"coalesce({tags}) AS {key}"
+
+
+@query("meta_fold", W(f"SELECT id, event_name, {', '.join(map(_fold_sql, FOLD_KEYS))} FROM (SELECT *, CAST(json_extract(data, '$.map[*]') AS VARCHAR[]) "
+                      "AS entries FROM raw) s", "raw"))
+def q_meta_fold(spark, sf):
+    """The (key, val) entries of every payload folded into fields: the last of a key wins, others are dropped."""
+    rows = _t(spark, sf).raw.select("id", "event_name", D.payload_entries("data").alias("entries"))
+    return D.meta_fold(rows, "entries", FOLD_KEYS)
+
+
 @query("json_scalar", W(f"SELECT id, {O.sql_json_scalar('topics', '$[0].symbol')} AS topic0, "
                         f"{O.sql_json_scalar('topics', '$[1].vec')} AS topic1_vec, "
                         f"{O.sql_json_scalar('topics', '$[2].vec[1].bytes')} AS new_hash FROM chain_events",
@@ -269,7 +338,7 @@ def q_legacy_published(spark, sf):
                            "id DESC) AS rn FROM published) s WHERE rn = 1", "published"))
 def q_latest_per_key(spark, sf):
     from ..operators.views import latest_publish_per_hash
-    return latest_publish_per_hash(_t(spark, sf).published)
+    return latest_publish_per_hash(_s(spark, sf).published)
 
 
 @query("g_latest_per_key", "SELECT l_partkey, l_orderkey, l_linenumber, l_quantity, l_shipdate FROM ("
@@ -292,7 +361,7 @@ _AUDIT_SQL = ("SELECT raw.event_name, raw.emitter_contract_id, raw.ledger_sequen
 
 @query("audit_dropped", W(_AUDIT_SQL, "raw", "registries", "sink_ids"))
 def q_audit_dropped(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     return A.audit_dropped(t.raw, t.registries, t.sink_ids())
 
 
@@ -303,7 +372,7 @@ def q_audit_dropped(spark, sf):
     "LEFT JOIN (SELECT id, " + O.sql_case_bank("data", "contract_id", "address", 2) + " AS member FROM raw "
     "WHERE event_name = 'sub_reg') m ON m.id = a.id GROUP BY 1, 2", "raw", "registries", "sink_ids"))
 def q_audit_summary(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     return A.audit_summary(A.audit_dropped(t.raw, t.registries, t.sink_ids()), t.raw, t.root_registry)
 
 
@@ -331,7 +400,7 @@ _RANK = (f"greatest(CAST({_SIM_NAME} AS DOUBLE), CAST({_SIM_CHANNEL} AS DOUBLE),
     f"OR CAST({_SIM_CHANNEL} AS DOUBLE) > 0.2)) s ORDER BY rank DESC, ledger_sequence, id LIMIT 200",
     "latest_published"))
 def q_search_published(spark, sf):
-    return S.search_published(_t(spark, sf).latest_published, SEARCH_TERM, 200, None)
+    return S.search_published(_s(spark, sf).latest_published, SEARCH_TERM, 200, None)
 
 
 @query("search_published_page", W(
@@ -339,14 +408,14 @@ def q_search_published(spark, sf):
     "FROM latest_published WHERE ledger_sequence >= 1500 AND (ledger_sequence > 1500 OR id >= '" + PAGE_CURSOR +
     "-z') ORDER BY ledger_sequence, id LIMIT 10", "latest_published"))
 def q_search_published_page(spark, sf):
-    return S.search_published(_t(spark, sf).latest_published, None, 10, PAGE_CURSOR)
+    return S.search_published(_s(spark, sf).latest_published, None, 10, PAGE_CURSOR)
 
 
 @query("trigram_similarity", W(
     f"SELECT id, wasm_name, channel, round(CAST({O.similarity_sql('wasm_name', 'channel')} AS DOUBLE), 6) AS name_channel, "
     f"round(CAST({_SIM_NAME} AS DOUBLE), 6) AS name_term FROM published_with_channel", "published_with_channel"))
 def q_trigram_similarity(spark, sf):
-    p = _t(spark, sf).published_with_channel
+    p = _s(spark, sf).published_with_channel
     return p.select("id", "wasm_name", "channel",
                     F.round(similarity("wasm_name", "channel").cast("double"), 6).alias("name_channel"),
                     F.round(similarity("wasm_name", F.lit(SEARCH_TERM)).cast("double"), 6).alias("name_term"))
@@ -373,7 +442,7 @@ def q_g_similarity_join(spark, sf):
     f"WHERE CAST({_PART_SIM} AS DOUBLE) > 0.2) s", "registered", "published"))
 def q_similarity_join(spark, sf):
     """Which published wasm names resemble each registered contract name."""
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     return S.similarity_join(t.registered, "contract_name", t.published, "wasm_name")
 
 
@@ -381,14 +450,14 @@ def q_similarity_join(spark, sf):
                            "wasm_channel FROM contracts_enriched ORDER BY ledger_sequence, id LIMIT 200",
                            "contracts_enriched"))
 def q_list_contracts(spark, sf):
-    return P.list_contracts(_t(spark, sf).contracts_enriched, 200, None)
+    return P.list_contracts(_s(spark, sf).contracts_enriched, 200, None)
 
 
 @query("keyset_page", W("SELECT id, ledger_sequence, event_name FROM raw WHERE ledger_sequence >= 1500 AND "
                         f"(ledger_sequence > 1500 OR id >= '{PAGE_CURSOR}-z') ORDER BY ledger_sequence, id LIMIT 200",
                         "raw"))
 def q_keyset_page(spark, sf):
-    return P.keyset_page(_t(spark, sf).raw.select("id", "ledger_sequence", "event_name"), 200, PAGE_CURSOR)
+    return P.keyset_page(_s(spark, sf).raw.select("id", "ledger_sequence", "event_name"), 200, PAGE_CURSOR)
 
 
 @query("g_keyset_page", "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderkey >= 3000 "
@@ -412,14 +481,14 @@ def q_legacy_page(spark, sf):
                         f"id) - 1 AS BIGINT) AS row_index, CAST((row_number() OVER (ORDER BY ledger_sequence, id) - 1) "
                         f"// {EXPORT_PAGE} AS BIGINT) AS page FROM contracts_enriched", "contracts_enriched"))
 def q_page_export(spark, sf):
-    e = _t(spark, sf).contracts_enriched.select("id", "ledger_sequence", "contract_name")
+    e = _s(spark, sf).contracts_enriched.select("id", "ledger_sequence", "contract_name")
     return P.page_export(e, EXPORT_PAGE)
 
 
 @query("list_registries", W("SELECT contract_id, registry_channel AS channel, ledger_sequence, created_at "
                             "FROM registries ORDER BY channel", "registries"))
 def q_list_registries(spark, sf):
-    return DT.list_registries(_t(spark, sf).registries)
+    return DT.list_registries(_s(spark, sf).registries)
 
 
 # ---- details -------------------------------------------------------------------------------------------
@@ -439,7 +508,7 @@ _WD_DETAIL_COLS = "id, transaction_hash, ledger_sequence, created_at, channel, a
     f"SELECT 'detail' AS record, CAST(0 AS BIGINT) AS pos, {_WD_DETAIL_COLS} FROM found UNION ALL {_WD_VERSION}) s",
     "latest_published", "published_with_channel"))
 def q_wasm_detail(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     keys = t.published_with_channel.select("wasm_name", "channel")
     return DT.wasm_detail(t.latest_published, t.published_with_channel, keys)
 
@@ -451,7 +520,7 @@ def q_wasm_detail(spark, sf):
     f"SELECT 'detail' AS record, CAST(0 AS BIGINT) AS pos, {_WD_DETAIL_COLS} FROM found UNION ALL {_WD_VERSION}) s",
     "published_with_channel"))
 def q_wasm_detail_version(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     keys = t.published_with_channel.select("wasm_name", "channel", "wasm_version")
     return DT.wasm_detail(t.published_with_channel, t.published_with_channel, keys, version=True)
 
@@ -467,7 +536,7 @@ def q_wasm_detail_version(spark, sf):
     "wasm_version, wasm_name, wasm_channel, version_index, kind, wasm_hash FROM versions v "
     "WHERE v.contract_id IN (SELECT contract_id FROM top)) s", "contracts_enriched", "versions"))
 def q_contract_detail(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     keys = t.registered_with_channel.select("contract_name", "channel")
     return DT.contract_detail(t.contracts_enriched, t.versions, keys)
 
@@ -491,7 +560,7 @@ _DEPLOY_DETAIL = (
 
 @query("deploy_detail", W(f"SELECT * FROM ({_DEPLOY_DETAIL}) s", "registered_with_channel", "deployed", "raw"))
 def q_deploy_detail(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     keys = t.registered_with_channel.select("contract_name", "channel")
     return DT.deploy_detail(t.registered_with_channel, t.deployed, t.raw, keys)
 
@@ -503,7 +572,7 @@ def q_deploy_detail(spark, sf):
     f"WHERE l.channel = 'root' AND dd.status = 'found'",
     "contracts_enriched", "registered_with_channel", "deployed", "raw"))
 def q_replay_plan(spark, sf):
-    t = _t(spark, sf)
+    t = _s(spark, sf)
     return DT.replay_plan(t.contracts_enriched, t.registered_with_channel, t.deployed, t.raw, "root")
 
 
@@ -518,7 +587,6 @@ def oracle_sql() -> dict[str, str]:
 # ---- sinks ----------------------------------------------------------------------------------------------
 
 from ..operators import sinks as SK  # noqa: E402
-from ..session import state_dir  # noqa: E402
 
 SPLIT_AT = 2000      # micro-batch boundary used by the multi-run sink jobs
 REREAD_FROM = 1990   # inclusive re-read of the batch ingest (at-least-once boundary)
@@ -569,7 +637,7 @@ def q_insert_ignore(spark, sf):
 def q_versioned_write(spark, sf):
     """Target table written as version N while N-1 stays readable; a rollback restores N-1, old
     versions are pruned."""
-    e = _t(spark, sf).contracts_enriched
+    e = _s(spark, sf).contracts_enriched
     kt = SK.KeyedTable(spark, state_dir(spark, "contracts_enriched"), ["id"], e.schema, buckets=8)
     kt.overwrite(e)                                   # version 1
     kt.overwrite(e.where(F.col("sac")))               # version 2 (a bad load)
@@ -595,10 +663,12 @@ def q_constraint_split(spark, sf):
     return SK.constraint_split(cand, ["id"], ["id", "transaction_hash", "ledger_sequence"])
 
 
-@query("load_stamp", None)
+@query("load_stamp", W("SELECT *, true AS stamped FROM batch_deploys", "batch_deploys"))
 def q_load_stamp(spark, sf):
-    deploys = D.decode_batch(_batch_events(_t(spark, sf)), "deploy")
-    return SK.load_stamp(deploys)
+    """Rows stamped with the load time: one moment for all rows, not before the query was asked for and not in the future."""
+    asked = F.lit(datetime.datetime.now(datetime.timezone.utc).replace(tzinfo=None) - datetime.timedelta(minutes=1))
+    stamped = SK.load_stamp(D.decode_batch(_batch_events(_t(spark, sf)), "deploy"))
+    return stamped.withColumn("stamped", (F.col("created_at") >= asked) & (F.col("created_at") <= F.localtimestamp())).drop("created_at")
 
 
 _MANIFEST_SQL = ("SELECT wasm_name, wasm_version, wasm_hash, channel, concat(coalesce(wasm_name, 'None'), '@', "
@@ -608,7 +678,7 @@ _MANIFEST_SQL = ("SELECT wasm_name, wasm_version, wasm_hash, channel, concat(coa
 
 @query("artifact_manifest", W(_MANIFEST_SQL, "latest_published"))
 def q_artifact_manifest(spark, sf):
-    return SK.artifact_manifest(_t(spark, sf).latest_published)
+    return SK.artifact_manifest(_s(spark, sf).latest_published)
 
 
 @query("artifact_catalog", W(
@@ -619,7 +689,7 @@ def q_artifact_manifest(spark, sf):
     "WHERE wasm_name <> '' AND wasm_version <> ''", "latest_published"))
 def q_artifact_catalog(spark, sf):
     """Reload side of the export: parse the exported file names back into (name, version)."""
-    m = SK.artifact_manifest(_t(spark, sf).latest_published)
+    m = SK.artifact_manifest(_s(spark, sf).latest_published)
     return readers.artifact_catalog(m.select(F.concat(F.lit("artifacts/"), F.col("file_name")).alias("path")))
 
 
@@ -633,13 +703,12 @@ _JSON_FIELDS = [("channel", "channel"), ("contract_id", "contract_id"), ("contra
     "SELECT to_json(struct_pack(" + ", ".join(f"{k} := {c}" for c, k in _JSON_FIELDS) + "))::VARCHAR AS json "
     "FROM (SELECT * FROM contracts_enriched ORDER BY ledger_sequence, id LIMIT 200) p", "contracts_enriched"))
 def q_json_rows(spark, sf):
-    return SK.json_rows(P.list_contracts(_t(spark, sf).contracts_enriched, 200, None), _JSON_FIELDS)
+    return SK.json_rows(P.list_contracts(_s(spark, sf).contracts_enriched, 200, None), _JSON_FIELDS)
 
 
 # ---- streaming ------------------------------------------------------------------------------------------
 
 from ..streaming import jobs as SJ  # noqa: E402
-from ..streaming.ingest import RegistryIngest, write_stream_files  # noqa: E402
 
 STREAM_FILES = 4
 _RUNS: dict = {}
@@ -684,12 +753,79 @@ def q_stream_registries(spark, sf):
     return _stream_run(spark, sf).table("registries")
 
 
+@query("stream_deployed", W("SELECT * FROM deployed", "deployed"))
+def q_stream_deployed(spark, sf):
+    return _stream_run(spark, sf).table("deployed_contracts")
+
+
+@query("stream_renamed", W("SELECT * FROM renamed", "renamed"))
+def q_stream_renamed(spark, sf):
+    return _stream_run(spark, sf).table("rename")
+
+
+@query("stream_address_updates", W("SELECT * FROM address_updates", "address_updates"))
+def q_stream_address_updates(spark, sf):
+    return _stream_run(spark, sf).table("update_address")
+
+
+@query("stream_owner_updates", W("SELECT * FROM owner_updates", "owner_updates"))
+def q_stream_owner_updates(spark, sf):
+    return _stream_run(spark, sf).table("update_owner")
+
+
+@query("stream_raw_backup", W("SELECT * FROM raw", "raw"))
+def q_stream_raw_backup(spark, sf):
+    """The raw backup as the stream wrote it, ahead of the gate."""
+    return _stream_run(spark, sf).table("raw_events_backup")
+
+
+def _archive_run(spark, sf) -> ArchiveIngest:
+    """Both archive streams, stopped when half the files have come and started again for the rest."""
+    key = ("archive", spark.sparkContext.applicationId, sf)
+    if key not in _RUNS:
+        t = _t(spark, sf)
+        root = state_dir(spark, "archive")
+        for rows, name, seq in ((t.ledger_entries, "entries", "last_modified_ledger_sequence"), (t.chain_events, "events", "ledger_sequence")):
+            rows.where(F.col(seq) < SPLIT_AT).repartition(2).write.parquet(f"{root}/{name}")
+        ArchiveIngest(spark, f"{root}/tables", ledger_range=500).run(f"{root}/entries", f"{root}/events", f"{root}/_ckpt", max_files_per_trigger=1)
+        for rows, name, seq in ((t.ledger_entries, "entries", "last_modified_ledger_sequence"), (t.chain_events, "events", "ledger_sequence")):
+            rows.where(F.col(seq) >= SPLIT_AT).repartition(2).write.mode("append").parquet(f"{root}/{name}")
+        again = ArchiveIngest(spark, f"{root}/tables", ledger_range=500)
+        again.run(f"{root}/entries", f"{root}/events", f"{root}/_ckpt")
+        _RUNS[key] = again
+    return _RUNS[key]
+
+
+@query("stream_uploads", W("SELECT * FROM uploads", "uploads"))
+def q_stream_uploads(spark, sf):
+    return _archive_run(spark, sf).table("wasm_uploads")
+
+
+@query("stream_wasm_binaries", W("SELECT * FROM wasm_binaries", "wasm_binaries"))
+def q_stream_wasm_binaries(spark, sf):
+    return _archive_run(spark, sf).table("wasm_binaries")
+
+
+@query("stream_deploys", W("SELECT * FROM deploys", "deploys"))
+def q_stream_deploys(spark, sf):
+    return _archive_run(spark, sf).table("contract_deploys")
+
+
+@query("stream_upgrades", W("SELECT * FROM upgrades", "upgrades"))
+def q_stream_upgrades(spark, sf):
+    return _archive_run(spark, sf).table("contract_upgrades")
+
+
 @query("replay", W("SELECT * FROM deployed", "deployed"))
 def q_replay(spark, sf):
-    """Replay with a fresh checkpoint and the retained membership set: tables unchanged."""
-    ing = _stream_run(spark, sf)
-    _, folder = _stream_source(spark, sf)
-    SJ.replay(ing, folder, state_dir(spark, "replay-ckpt"), max_files_per_trigger=2)
+    """Replay with a fresh checkpoint and the retained membership set, over tables that have lost their odd ledgers: repaired."""
+    t, folder = _stream_source(spark, sf)
+    root = state_dir(spark, "replay")
+    ing = RegistryIngest(spark, root, t.root_registry, ledger_range=500)
+    ing.run(folder, f"{root}/_checkpoint")
+    sink = ing.sinks["deploy"]
+    sink.overwrite(sink.read().where(F.col("ledger_sequence") % 2 == 0))
+    SJ.replay(ing, folder, f"{root}/_replays", max_files_per_trigger=2)
     return ing.table("deployed_contracts")
 
 
@@ -756,7 +892,7 @@ def q_sql_similarity(spark, sf):
     """The similarity function called from Spark SQL (temporary SQL function, no Python UDF)."""
     from ..functions.sql import register_sql_functions
     register_sql_functions(spark)
-    p = _t(spark, sf).published_with_channel
+    p = _s(spark, sf).published_with_channel
     return spark.sql(
         "SELECT id, wasm_name, round(CAST(similarity(wasm_name, :term) AS DOUBLE), 6) AS name_term FROM {p} "
         "WHERE CAST(similarity(wasm_name, :term) AS DOUBLE) > 0.2", args={"term": SEARCH_TERM}, p=p)

@@ -1,8 +1,8 @@
 """The registry catalogue in batch form: from the two change streams to every keyed table and view.
 
-This is what the streaming job maintains incrementally; in batch it is one lazy plan per table.
-Tables are memoised per instance so a query that uses several of them builds each once (Spark
-still scans the source once per use; in production the tables are stored and read back).
+In batch it is one lazy plan per table, derived from the streams on each use (``RegistryTables``). ``StoredTables`` has the
+same tables and views over what the streaming jobs wrote: no event is filtered, parsed or gated again, and predicates on
+names, channels and ids go down to the scans of the stored tables.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ..operators import decode as D
 from ..operators import views as V
 from ..operators.gate import membership_gate, membership_set
-from ..operators.joins import keep_cached
 from ..operators.latest import latest_per_key
 
 TYPED_EVENTS = ("deploy", "publish", "register", "rename", "update_address", "update_owner")
@@ -41,6 +40,14 @@ class RegistryTables:
         ev_path, le_path = fixture_paths(spark, sf_dir)
         return cls(read_events(spark, ev_path), read_ledger_entries(spark, le_path), bridge.root_registry())
 
+    @classmethod
+    def from_store(cls, spark: SparkSession, root: str, root_registry: str) -> "StoredTables":
+        """The tables that ``RegistryIngest`` wrote under ``root`` and ``ArchiveIngest`` under ``root``/archive."""
+        from ..streaming.archive import ArchiveIngest
+        from ..streaming.ingest import RegistryIngest
+
+        return StoredTables(RegistryIngest(spark, root, root_registry), ArchiveIngest(spark, f"{root}/archive"))
+
     # ---- event pipeline -----------------------------------------------------------------
     @cached_property
     def raw(self) -> DataFrame:
@@ -57,10 +64,9 @@ class RegistryTables:
     @cached_property
     def registries(self) -> DataFrame:
         """Keyed by contract_id; the newest announcement of a member wins. One row per registry
-        (a small table read by the gate and every channel join), so it is persisted once per plan
-        set instead of being re-derived from the stream by each size check."""
+        (a small table read by the gate and every channel join)."""
         s = self.sub_reg.where(F.col("contract_id").isNotNull())
-        return keep_cached(latest_per_key(s, ["contract_id"], ("-ledger_sequence", "-id")))
+        return latest_per_key(s, ["contract_id"], ("-ledger_sequence", "-id"))
 
     @cached_property
     def members(self) -> DataFrame:
@@ -152,3 +158,42 @@ class RegistryTables:
         are read as one scan of the gated rows; sub_reg rows are the stored registries."""
         typed = self.gated.where(F.col("event_name").isin(*TYPED_EVENTS)).select("id", "event_name")
         return typed.unionByName(self.registries.select("id", F.lit("sub_reg").alias("event_name")))
+
+
+class StoredTables(RegistryTables):
+    """The catalogue over stored tables. A view reads each table that it needs once or twice; the newest version of a table when the
+    plan is made is the one that it reads."""
+
+    def __init__(self, ingest, archive):
+        super().__init__(None, None, ingest.root_registry)
+        self.ingest, self.archive = ingest, archive
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return self.ingest.table("raw_events_backup")
+
+    @cached_property
+    def registries(self) -> DataFrame:
+        return self.ingest.table("registries")
+
+    def typed(self, event_name: str) -> DataFrame:
+        return self.ingest.sinks[event_name].read()
+
+    @cached_property
+    def uploads(self) -> DataFrame:
+        return self.archive.table("wasm_uploads")
+
+    @cached_property
+    def wasm_binaries(self) -> DataFrame:
+        return self.archive.table("wasm_binaries")
+
+    @cached_property
+    def deploys(self) -> DataFrame:
+        return self.archive.table("contract_deploys")
+
+    @cached_property
+    def upgrades(self) -> DataFrame:
+        return self.archive.table("contract_upgrades")
+
+    def sink_ids(self) -> DataFrame:
+        return self.ingest.sink_ids()

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.event_log import exists
 from ..schemas import CHAIN_EVENTS, LEDGER_ENTRIES
 
 
@@ -43,6 +44,14 @@ def stream_end(df: DataFrame, seq_col: str = "ledger_sequence") -> int:
     return int(df.agg(F.coalesce(F.max(seq_col), F.lit(0))).first()[0])
 
 
+def recorded_end(df: DataFrame, state: str, seq_col: str = "ledger_sequence") -> int:
+    """The stream's end when a job first started: found once, kept in the job's folder ``state`` and read from there on every restart."""
+    spark, path = df.sparkSession, f"{state}/stream_end"
+    if not exists(spark, f"{path}/_SUCCESS"):
+        df.agg(F.coalesce(F.max(seq_col), F.lit(0)).cast("bigint").alias("end")).write.mode("overwrite").parquet(path)
+    return int(spark.read.schema("end bigint").parquet(path).first()[0])
+
+
 def scan_latest_only(df: DataFrame, as_of_end: int, seq_col: str = "ledger_sequence") -> DataFrame:
     """``start_at: latest``: only rows after the stream's end at the time the job started
     (``as_of_end``, e.g. from ``stream_end`` before the stream is started)."""
@@ -121,3 +130,42 @@ def incremental_step(events: DataFrame, targets: dict, limit: int, name_col_expr
             F.lit(max(bound, int(stats["mx"])) + at_end).cast("bigint").alias("next_high_water"))
         routed = part if routed is None else routed.unionByName(part)
     return routed
+
+
+def progress_of(targets: dict[str, DataFrame], seq_col: str = "ledger_sequence", id_col: str = "id") -> dict[str, tuple[int, str]]:
+    """(sequence, id) of the last row in each target, (0, '') when empty: one aggregate a target, read as scalars."""
+    out = {}
+    for name, df in targets.items():
+        last = df.agg(F.max(F.struct(F.col(seq_col).cast("bigint").alias("seq"), F.col(id_col).alias("id"))).alias("last")).first()["last"]
+        out[name] = (int(last["seq"]), last["id"]) if last else (0, "")
+    return out
+
+
+def after(place: tuple[int, str], seq_col: str = "ledger_sequence", id_col: str = "id") -> Column:
+    """Rows behind ``place`` in (sequence, id) order; the bound on the sequence alone reaches the scan."""
+    seq, row_id = F.lit(int(place[0])), F.lit(place[1])
+    return (F.col(seq_col) >= seq) & ((F.col(seq_col) > seq) | (F.col(id_col) > row_id))
+
+
+def incremental_reads(events: DataFrame, targets: dict, limit: int, name_col_expr: Column, state: str,
+                      seq_col: str = "ledger_sequence", id_col: str = "id") -> DataFrame:
+    """All runs of the batch ingest up to the stream's end: each reads the next ``limit`` events in (sequence, id) order behind the least
+    advanced target and gives every target its own, those behind its own progress. ``targets``: name -> (event name, table).
+
+    Progress is a (sequence, id) pair, so a sequence with more than ``limit`` events is read on where the last run stopped, and nothing is
+    read twice. Each run's rows are written under ``state``; the result has id, sequence, target and run of all of them."""
+    spark = events.sparkSession
+    done = progress_of({name: table for name, (_, table) in targets.items()}, seq_col, id_col)
+    place, run, path = min(done.values()), 0, f"{state}/runs"
+    schema = f"`{id_col}` string, `{seq_col}` bigint, target string, run int"
+    target = F.coalesce(*[F.when((name_col_expr == F.lit(event)) & after(done[name], seq_col, id_col), F.lit(name)) for name, (event, _) in targets.items()])
+    while True:
+        batch = events.where(after(place, seq_col, id_col)).orderBy(seq_col, id_col).limit(int(limit))
+        rows = batch.select(id_col, F.col(seq_col).cast("bigint").alias(seq_col), target.alias("target"))
+        rows.write.mode("overwrite").parquet(f"{path}/run={run}")
+        seen = spark.read.schema(rows.schema).parquet(f"{path}/run={run}")
+        n, last = seen.agg(F.count("*"), F.max(F.struct(F.col(seq_col), F.col(id_col)))).first()
+        if n < int(limit):  # the end of the stream
+            break
+        place, run = (int(last[0]), last[1]), run + 1
+    return spark.read.schema(schema).option("basePath", path).parquet(path).where("target is not null")

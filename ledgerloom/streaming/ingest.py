@@ -1,17 +1,17 @@
 """Structured Streaming ingest of the event stream into the keyed registry tables.
 
 Each micro-batch (``foreachBatch``):
-1. normalises the batch (coarse filter) and upserts it into the raw backup (keyed by id);
-2. upserts the root registry's announcements into ``registries`` (keyed by contract id) *before*
-   the gate reads the membership set, so a registry announced in this batch already counts;
-3. gates the batch together with the parked (pending) rows by a semi join against the set;
-4. upserts the passing rows into the six typed sinks (keyed by id);
-5. parks the rows whose emitter is not (yet) a member as the new pending version.
-
-Because the set only grows and pending rows are re-checked on every batch, the final tables equal
-the batch semi join whatever the arrival order or batch split; no event is lost to a race between
-writing and reading the set. Every sink write is an idempotent keyed merge recorded with the batch
-id, so a retried batch (after a failure) changes nothing. The pending size is reported per batch.
+1. normalises the batch (coarse filter) and appends it to the raw backup, a log partitioned by emitter;
+2. notes which of the root registry's announcements are of members that are not stored yet (written once a batch, so a
+   retry sees the same), then upserts them all into ``registries`` (keyed by contract id);
+3. gates the batch by a semi join against the set, and back-fills: rows of the new members alone are read from
+   the raw backup, wherever in the stream they came;
+4. upserts the passing rows into the six typed sinks (keyed by id).
+
+An event is passed on when it comes after its emitter's announcement, or else by the announcement itself, so the final
+tables equal the batch semi join whatever the arrival order or batch split. Nothing is parked: a batch costs
+its own rows and those of the members it adds, however many events of strangers the backup holds. Sink writes are idempotent keyed
+merges recorded with the batch id, so a retried batch (after a failure) changes nothing.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import decode as D
-from ..operators.joins import DEFAULT_BROADCAST_ROWS
+from ..operators.event_log import EventLog, exists, run_name
 from ..operators.sinks import KeyedTable
 from ..schemas import CHAIN_EVENTS
 from ..sources.readers import read_events
@@ -46,39 +46,44 @@ class RegistryIngest:
         s = self.spark
         empty = s.createDataFrame([], CHAIN_EVENTS)
         raw = D.normalize_events(empty)
-        # event tables are keyed by id, and an id belongs to one ledger: bucket them by ledger range
+        self.raw_log = EventLog(s, f"{self.state_root}/raw_events_backup", raw.schema)
+        # the typed tables are keyed by id, and an id belongs to one ledger: bucket them by ledger range
         # so a batch of new events rewrites only the newest buckets
         by_ledger = {"range_col": "ledger_sequence", "range_width": self.ledger_range}
-        self.raw_table = KeyedTable(s, f"{self.state_root}/raw_events_backup", ["id"], raw.schema,
-                                    ["ledger_sequence", "id"], **by_ledger)
         sub = D.decode_sub_reg(raw, self.root_registry)
         self.registries = KeyedTable(s, self.registries_root or f"{self.state_root}/registries", ["contract_id"],
                                      sub.schema, ["ledger_sequence", "id"], self.buckets)
-        self.pending = KeyedTable(s, f"{self.state_root}/pending", ["id"], raw.schema, (), **by_ledger)
         self.sinks = {e: KeyedTable(s, f"{self.state_root}/{SINK_NAMES[e]}", ["id"], D.decode_event(raw, e).schema,
                                     ["ledger_sequence", "id"], **by_ledger) for e in TYPED}
+        self.run_id: str | None = None
 
     # ---- one micro-batch ----------------------------------------------------------------------------
+    def _new_members(self, announced: DataFrame, batch_id: int) -> DataFrame:
+        """Announced members that were not stored before the batch; the answer of its first attempt is kept for further ones."""
+        path = f"{self.state_root}/_new_members/run={run_name(self.run_id)}/batch={batch_id}"
+        if not exists(self.spark, f"{path}/_SUCCESS"):
+            ids = announced.select("contract_id").distinct()
+            new = ids.join(self.registries.read().select("contract_id"), "contract_id", "left_anti")
+            new.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema("contract_id string").parquet(path)
+
     def process_batch(self, batch: DataFrame, batch_id: int) -> None:
         raw = D.normalize_events(batch).persist()
         try:
-            self.raw_table.upsert(raw, batch_id)
-            sub = D.decode_sub_reg(raw, self.root_registry).where(F.col("contract_id").isNotNull())
-            self.registries.upsert(sub, batch_id)
-            members = self.registries.read().select(F.col("contract_id").alias("__member")).persist()
-            n_members = members.count()
-            side = F.broadcast(members) if n_members <= DEFAULT_BROADCAST_ROWS else members
-            candidates = raw.unionByName(self.pending.read()).dropDuplicates(["id"]).persist()
-            passed = candidates.join(side, candidates["emitter_contract_id"] == side["__member"], "left_semi")
+            self.raw_log.append(raw, self.run_id, batch_id)
+            announced = D.decode_sub_reg(raw, self.root_registry).where(F.col("contract_id").isNotNull())
+            new = self._new_members(announced, batch_id)
+            self.registries.upsert(announced, batch_id)
+            members = self.registries.read().select(F.col("contract_id").alias("__member"))
+            passed = raw.join(members, raw["emitter_contract_id"] == members["__member"], "left_semi")
+            n_new = new.count()
+            if n_new:
+                passed = passed.unionByName(self.raw_log.of_emitters(new, "contract_id")).dropDuplicates(["id", "ledger_sequence"])
+            passed = passed.persist()
             for e in TYPED:
                 self.sinks[e].upsert(D.decode_event(passed, e), batch_id)
-            still = candidates.join(side, candidates["emitter_contract_id"] == side["__member"], "left_anti")
-            m = self.pending.overwrite(still)
-            n_pending = self.pending.read().count()
-            self.metrics.append({"batch_id": batch_id, "members": n_members, "pending_rows": n_pending,
-                                 "pending_version": m["version"]})
-            candidates.unpersist()
-            members.unpersist()
+            passed.unpersist()
+            self.metrics.append({"batch_id": batch_id, "new_members": n_new})
         finally:
             raw.unpersist()
 
@@ -87,7 +92,8 @@ class RegistryIngest:
             max_files_per_trigger: int | None = None) -> None:
         """Process everything available now and stop (``trigger(availableNow=True)``); a later call
         with the same checkpoint continues where this one stopped."""
-        for table in (self.raw_table, self.registries, self.pending, *self.sinks.values()):
+        self.run_id = checkpoint
+        for table in (self.registries, *self.sinks.values()):
             table.run = checkpoint
         stream = read_events(self.spark, source_path, start_at, streaming=True,
                              max_files_per_trigger=max_files_per_trigger)
@@ -101,9 +107,7 @@ class RegistryIngest:
         if name == "registries":
             return self.registries.read()
         if name == "raw_events_backup":
-            return self.raw_table.read()
-        if name == "pending":
-            return self.pending.read()
+            return self.raw_log.read()
         for e, sink in SINK_NAMES.items():
             if sink == name:
                 return self.sinks[e].read()

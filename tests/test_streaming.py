@@ -1,9 +1,17 @@
+import re
+import time
+from collections import Counter
+
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
+from ledgerloom.operators import filters as FL
 from ledgerloom.plans.tables import RegistryTables
 from ledgerloom.session import state_dir
-from ledgerloom.sources.readers import read_events, scan_latest_only, stream_end
+from ledgerloom.sources.fixture import fixture_paths
+from ledgerloom.sources.readers import incremental_reads, read_events, recorded_end, scan_latest_only, stream_end
+from ledgerloom.streaming.archive import ArchiveIngest
 from ledgerloom.streaming.ingest import RegistryIngest, write_stream_files
 
 
@@ -59,3 +67,99 @@ def test_audit_of_complete_pipeline_has_only_classified_rows(spark):
     summary = audit_summary(audit_dropped(t.raw, t.registries, t.sink_ids()), t.raw, t.root_registry).collect()
     assert summary and {r["event_name"] for r in summary} == {"sub_reg"}
     assert {r["reason"] for r in summary} <= {"sub_reg_superseded", "sub_reg_non_root"}
+
+
+def test_strangers_are_neither_parked_nor_read(spark):
+    """New members are back-filled from the log; a batch without new members reads none of it, whatever it holds."""
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    root = state_dir(spark, "t-gate")
+    ing = RegistryIngest(spark, root, t.root_registry, buckets=4)
+    reads = []
+    plain = ing.raw_log.of_emitters
+    ing.raw_log.of_emitters = lambda *a: (reads.append(a), plain(*a))[1]
+    ev = t.chain_events.persist()
+    first, rest = ev.where(FL.topic_name() != "sub_reg"), ev.where(FL.topic_name() == "sub_reg")
+    ing.process_batch(first, 0)     # all of strangers so far
+    assert not reads and ing.table("published_wasms").count() == 0
+    ing.process_batch(rest, 1)
+    assert len(reads) == 1 and _ids(ing.table("published_wasms")) == _ids(t.published)
+    before = _ids(ing.table("registered_contracts"))
+    ing.process_batch(rest, 2)      # known members again
+    ing.process_batch(first, 3)
+    assert len(reads) == 1 and _ids(ing.table("registered_contracts")) == before == _ids(t.registered)
+    assert _ids(ing.table("raw_events_backup")) == _ids(t.raw)
+    assert [m["new_members"] for m in ing.metrics] == [0, t.members.count(), 0, 0]
+
+
+def test_a_batch_that_failed_behind_its_members_back_fills_again(spark):
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    ing = RegistryIngest(spark, state_dir(spark, "t-retry"), t.root_registry, buckets=4)
+    ing.process_batch(t.chain_events.where(FL.topic_name() != "sub_reg"), 0)
+    write, ing.sinks["publish"].upsert = ing.sinks["publish"].upsert, None
+    announced = t.chain_events.where(FL.topic_name() == "sub_reg")
+    with pytest.raises(TypeError):
+        ing.process_batch(announced, 1)     # members are stored, publishes not
+    ing.sinks["publish"].upsert = write
+    ing.process_batch(announced, 1)
+    assert _ids(ing.table("published_wasms")) == _ids(t.published) and _ids(ing.table("deployed_contracts")) == _ids(t.deployed)
+
+
+def test_stored_views_equal_the_batch_views_and_read_each_table_twice_at_most(spark):
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    events, entries = fixture_paths(spark, SF_SMALL)
+    root = state_dir(spark, "t-store")
+    RegistryIngest(spark, root, t.root_registry).run(events, f"{root}/_ckpt")
+    ArchiveIngest(spark, f"{root}/archive").run(entries, events, f"{root}/_archive-ckpt")
+    s = RegistryTables.from_store(spark, root, t.root_registry)
+    for view in ("latest_published", "versions", "contracts_enriched", "wasm_versions"):
+        stored, batch = getattr(s, view), getattr(t, view)
+        assert stored.columns == batch.columns
+        assert sorted(map(str, stored.collect())) == sorted(map(str, batch.collect()))
+        scans = Counter(re.findall(r"Location: \S+ \[([^\],]*?)/v=", stored._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))))
+        assert scans and max(scans.values()) <= 2, scans
+    plan = s.published_with_channel.where("wasm_name = 'click-1'")._jdf.queryExecution().explainString(
+        spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "EqualTo(wasm_name,click-1)" in plan and "parse_json" not in plan
+
+
+def test_archive_streams_go_on_after_a_stop_between_batches(spark):
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    root = state_dir(spark, "t-archive")
+    write_stream_files(t.ledger_entries, f"{root}/entries", 3, "last_modified_ledger_sequence")
+    write_stream_files(t.chain_events, f"{root}/events", 2)
+    ing = ArchiveIngest(spark, f"{root}/tables", buckets=4, ledger_range=500)
+    q = ing.start_entries(f"{root}/entries", f"{root}/c/entries", max_files_per_trigger=1, every="1 second")
+    try:
+        for _ in range(240):
+            if any(p["numInputRows"] for p in q.recentProgress):
+                break
+            time.sleep(0.25)
+    finally:
+        q.stop()
+    assert 0 < ing.table("wasm_uploads").count()
+    again = ArchiveIngest(spark, f"{root}/tables", buckets=4, ledger_range=500)
+    again.run(f"{root}/entries", f"{root}/events", f"{root}/c")
+    assert _ids(again.table("wasm_uploads")) == _ids(t.uploads) and _ids(again.table("contract_deploys")) == _ids(t.deploys)
+    assert _ids(again.table("contract_upgrades")) == _ids(t.upgrades)
+    assert sorted(map(str, again.table("wasm_binaries").collect())) == sorted(map(str, t.wasm_binaries.collect()))
+
+
+def test_a_ledger_fuller_than_the_limit_is_read_on(spark):
+    rows = [(f"1000-tx-op-0-event-{k:05d}", 1000, "deploy" if k % 3 else "publish") for k in range(12_000)]
+    rows += [(f"1001-tx-op-0-event-{k}", 1001, "deploy") for k in range(5)]
+    ev = spark.createDataFrame(rows, "id string, ledger_sequence bigint, event string")
+    none = ev.limit(0)
+    got = incremental_reads(ev, {"deploys": ("deploy", none), "publishes": ("publish", none)}, 5_000, F.col("event"), state_dir(spark, "t-limit"))
+    assert got.count() == got.select("id").distinct().count() == 12_005 and got.agg(F.max("run")).first()[0] == 2
+    ahead = ev.where("event = 'publish' and id < '1000-tx-op-0-event-06000'")
+    got = incremental_reads(ev, {"deploys": ("deploy", none), "publishes": ("publish", ahead)}, 5_000, F.col("event"), state_dir(spark, "t-limit"))
+    assert got.where("target = 'publishes'").count() == 2_000 and got.where("target = 'deploys'").count() == 8_005
+
+
+def test_the_stream_end_is_recorded_once(spark):
+    state = state_dir(spark, "t-end")
+    ev = spark.range(5).selectExpr("id as ledger_sequence")
+    assert recorded_end(ev, state) == 4
+    assert recorded_end(spark.range(50).selectExpr("id as ledger_sequence"), state) == 4
+    assert recorded_end(ev.limit(0), state_dir(spark, "t-end")) == 0
