@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import VALUE_TAGS, decode_pairs, json_scalar, parse_pairs, parse_variant, variant_scalar
+from ..functions.jsonpath import VALUE_TAGS, decode_pairs, json_scalar, parse_pairs, parse_variant
 from .filters import filter_created, filter_system, registry_candidates, topic_name
 
 # Fixed values: (payload key, value tag, output column) of each event kind, and how many payload
@@ -145,8 +145,7 @@ META_KEYS = ("rsver", "rssdkver", "rssdk_spec_shaking", "cliver", "source_repo",
 
 def payload_entries(col: str = "data") -> Column:
     """A payload's entries in their order as (key, val): val is the text of the first tag that holds a scalar."""
-    return F.transform(parse_pairs(col), lambda p: F.struct(
-        variant_scalar(p["key"]["symbol"]).alias("key"), F.coalesce(*[variant_scalar(p["val"][t]) for t in VALUE_TAGS]).alias("val")))
+    return F.transform(parse_pairs(col), lambda p: F.struct(p["k"].alias("key"), F.coalesce(*[p[t] for t in VALUE_TAGS]).alias("val")))
 
 
 def meta_fold(entries: DataFrame, entries_col: str = "entries", keys=META_KEYS) -> DataFrame:
