@@ -534,13 +534,12 @@ def test_templates_against_all_readings():
 def test_pairs_stay_a_multiple_of_members(spark, monkeypatch):
     counted = []
 
-    def stored(df, name, keep=near_dedup.stored):
-        out = keep(df, name)
-        if name == "op7-pairs":
-            counted.append(out.count())
+    def close(*args, plain=near_dedup._close):
+        out = plain(*args)
+        counted.append(out.count())  # beside them there is a pair a member and bucket
         return out
 
-    monkeypatch.setattr(near_dedup, "stored", stored)
+    monkeypatch.setattr(near_dedup, "_close", close)
     per_member = {}
     for n in (40, 80):
         r = random.Random(n)
@@ -565,7 +564,7 @@ def test_pairs_stay_a_multiple_of_members(spark, monkeypatch):
                     top = {k: new if v == old else v for k, v in top.items()}
         assert got == top
         per_member[n] = sum(counted) / len(rows)
-    assert per_member[80] < 1.5 * per_member[40] and per_member[80] < 6, per_member
+    assert per_member[80] <= 1.5 * per_member[40] + 0.1 and per_member[80] < 4, per_member
 
 
 def test_recall_of_the_buckets(spark):
