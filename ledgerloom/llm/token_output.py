@@ -77,11 +77,17 @@ def repair(ids: np.ndarray, end: int, base: int, rounds: int = ROUNDS, least: in
     return s, np.concatenate(rules) if rules else np.empty((0, 2), dtype=np.uint32)
 
 
+def expanded_lengths(rules: np.ndarray, base: int) -> np.ndarray:
+    """Tokens of every symbol below ``base`` + rules; a rule's symbols come before its own."""
+    length = [1] * base
+    for a, b in rules.tolist():
+        length.append(length[a] + length[b])
+    return np.array(length, dtype=np.int64)
+
+
 def expansions(rules: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(flat ids, start, length) of every symbol below ``base`` + rules."""
-    length = np.ones(base + len(rules), dtype=np.int64)
-    for k, (a, b) in enumerate(rules.tolist()):
-        length[base + k] = length[a] + length[b]
+    length = expanded_lengths(rules, base)
     start = np.concatenate([[0], np.cumsum(length)])
     flat = np.empty(start[-1], dtype=np.uint32)
     flat[:base] = np.arange(base)
@@ -103,7 +109,7 @@ def pack(ids: list[int | None], texts: list[bytes], dtype: np.dtype, end: int, b
     at_end = np.flatnonzero(symbols == end)  # never part of a pair: as many as before
     nth = np.cumsum(flat == end)[ends] - 1
     firsts = np.concatenate([[0], at_end[nth] + 1]).astype(np.int64)
-    _, _, length = expansions(rules, base)
+    length = expanded_lengths(rules, base)
     width = 2 if base + len(rules) <= 1 << 16 else 4
     kind = f"<u{width}"
     null = np.array([i is None for i in ids], dtype=np.uint8)

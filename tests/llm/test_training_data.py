@@ -612,3 +612,14 @@ def test_pipeline_from_end_to_end(spark, tmp_path):
     docs.limit(0).write.parquet(f"{tmp_path}/b/documents.parquet")
     spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
     assert corpus_pipeline.run(spark, f"{tmp_path}/b").count() == 0
+
+
+def test_word_cache_encodes_as_the_library_does():
+    """White space of all kinds, marks, contractions, letters of several scripts and the vocabulary's added token."""
+    encode, r = encoder("byte_bpe_50k.json"), random.Random(3)
+    parts = ["a", "b", "The", "rend", "'s", "'", "n't", ".", ",", "<", "<|endoftext|>", " ", "  ", "\n", "\n\n", "\r\n", "\t", "é", "ß", " ", "　",
+             "\x1c", "\x85", "中", "1", "42", "²", "ª", "_", "-", "́", "😀", "İ", "ʰ", "\x00", "ſ", "…"]
+    made = ["".join(r.choices(parts, k=r.randint(0, 25))) for _ in range(5000)]
+    got = [t for at in range(0, len(made), 500) for t in encode.encode(made[at:at + 500])]
+    whole = encode.tokenizer.encode_batch_fast(made, add_special_tokens=False)
+    assert got == [np.array(e.ids, dtype=encode.dtype).tobytes() for e in whole]
