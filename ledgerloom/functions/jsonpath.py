@@ -13,7 +13,7 @@ field is then picked with higher-order functions over that one array, never by r
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The value tags a payload entry can carry.
@@ -41,6 +41,12 @@ def parse_variant(text) -> Column:
     return F.try_parse_json(_col(text))
 
 
+def computed_once(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with further columns, worked out once a row. Catalyst copies a plain column's expression into each filter and
+    projection above it, and a filter works out each copy; what a generator makes it leaves where it is."""
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))
+
+
 def json_scalar(text, path: str, parsed: Column | None = None) -> Column:
     """``JSON_VALUE(text, path)``. Pass ``parsed`` (the text's VARIANT column) to reuse one parse for
     several paths over the same text."""

@@ -6,8 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import VALUE_TAGS, decode_pairs, json_scalar, parse_pairs, parse_variant
-from .filters import filter_created, filter_system, registry_candidates, topic_name
+from ..functions.jsonpath import VALUE_TAGS, computed_once, decode_pairs, json_scalar, parse_pairs, parse_variant
+from .filters import filter_created, filter_system, registry_candidates, with_topic_name
 
 # Fixed values: (payload key, value tag, output column) of each event kind, and how many payload
 # positions the streaming pipeline probes for it.
@@ -48,7 +48,7 @@ def normalize_events(events: DataFrame, keep_operation_body: bool = True) -> Dat
     """Raw backup rows: coarse filter, then rename and extract ``event_name``.
     ``operation_body`` is kept so deploy details can be served from the backup."""
     cols = [F.col("id"), F.col("transaction_hash"), F.col("ledger_sequence"),
-            F.col("ledger_closed_at").alias("created_at"), topic_name().alias("event_name"),
+            F.col("ledger_closed_at").alias("created_at"), F.col("event_name"),
             F.col("contract_id").alias("emitter_contract_id"), F.col("data"), F.col("topics")]
     if keep_operation_body:
         cols.append(F.col("operation_body"))
@@ -75,7 +75,8 @@ def decode_batch(events: DataFrame, event_name: str) -> DataFrame:
     """Batch-ingest decoders over the stored event rows (id, type, topics, data, ...): every payload
     position is scanned, the last entry with a key wins, and a key that never occurs gives ''."""
     spec = {"deploy": DEPLOY_BATCH_SPEC, "publish": PUBLISH_BATCH_SPEC}[event_name]
-    base = events.where(topic_name() == F.lit(event_name))
+    base = with_topic_name(events.select("id", "transaction_hash", "ledger_sequence", "topics", "data"), "__event").where(
+        F.col("__event") == F.lit(event_name))
     parsed = base.select("id", "transaction_hash", "ledger_sequence", parse_pairs("data").alias("_pairs"))
     return parsed.select("id", "transaction_hash", "ledger_sequence",
                          *decode_pairs(F.col("_pairs"), spec, None, pick="last", missing_default=""))
@@ -102,9 +103,8 @@ def wasm_binary_rows(entries: DataFrame) -> DataFrame:
 
 def contract_deploys(entries: DataFrame) -> DataFrame:
     """Contract instances created in ledger entries; wasm_hash is NULL for asset contracts."""
-    v = parse_variant("entry_data")
-    base = (filter_created(entries, "contract_data")
-            .select("id", "last_modified_ledger_sequence", "ledger_closed_at", "transaction_hash", "entry_data", v.alias("_v")))
+    base = computed_once(filter_created(entries, "contract_data").select(
+        "id", "last_modified_ledger_sequence", "ledger_closed_at", "transaction_hash", "entry_data"), _v=parse_variant("entry_data"))
     return (base.where(json_scalar("entry_data", "$.contract_data.key", F.col("_v")) == F.lit("ledger_key_contract_instance"))
             .select("id", F.col("last_modified_ledger_sequence").alias("ledger_sequence"),
                     F.col("ledger_closed_at").alias("closed_at"), "transaction_hash",
@@ -115,9 +115,7 @@ def contract_deploys(entries: DataFrame) -> DataFrame:
 
 def upgrade_events(events: DataFrame) -> DataFrame:
     """executable_update system events: old/new executable kind and hash."""
-    v = parse_variant("topics")
-    base = filter_system(events).select("id", "transaction_hash", "ledger_sequence", "ledger_closed_at",
-                                        "contract_id", "topics", v.alias("_v"))
+    base = filter_system(events).withColumnRenamed("__topics", "_v")
     return base.select(
         "id", "transaction_hash", "ledger_sequence", F.col("ledger_closed_at").alias("created_at"),
         F.col("contract_id").alias("upgraded_contract_id"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonpath import json_scalar
+from ..functions.jsonpath import computed_once, json_scalar, parse_variant
 
 # The seven registry event names kept by the pipeline.
 REGISTRY_EVENTS = ("deploy", "publish", "register", "rename", "update_address", "update_owner", "sub_reg")
@@ -28,6 +28,12 @@ def topic_name(topics="topics") -> Column:
     return json_scalar(topics, "$[0].symbol")
 
 
+def with_topic_name(df: DataFrame, out: str = "event_name") -> DataFrame:
+    """``df`` with the first topic's symbol; topics are parsed once a row."""
+    parsed = computed_once(df, __topics=parse_variant("topics"))
+    return computed_once(parsed, **{out: json_scalar("topics", "$[0].symbol", F.col("__topics"))}).drop("__topics")
+
+
 def filter_successful(df: DataFrame) -> DataFrame:
     return df.where(successful())
 
@@ -39,8 +45,9 @@ def filter_not_like(df: DataFrame) -> DataFrame:
 def filter_topic_in(df: DataFrame, names=REGISTRY_EVENTS, name_col: str | None = None) -> DataFrame:
     """Keep rows whose first topic symbol is one of ``names``. With ``name_col`` (a stored,
     already extracted name) the IN list is pushed to the Parquet scan."""
-    c = F.col(name_col) if name_col else topic_name()
-    return df.where(c.isin(list(names)))
+    if name_col:
+        return df.where(F.col(name_col).isin(list(names)))
+    return with_topic_name(df).where(F.col("event_name").isin(list(names))).drop("event_name")
 
 
 def filter_emitter(df: DataFrame, contract_id: str, col: str = "contract_id") -> DataFrame:
@@ -48,9 +55,10 @@ def filter_emitter(df: DataFrame, contract_id: str, col: str = "contract_id") ->
 
 
 def filter_system(df: DataFrame, event: str = UPGRADE_EVENT) -> DataFrame:
-    """Host-emitted system events of one kind (successful, with an operation)."""
-    return df.where((F.col("type") == F.lit("system")) & successful() & not_no_op()
-                    & (topic_name() == F.lit(event)))
+    """Host-emitted system events of one kind (successful, with an operation), with ``__topics``, their parsed topics."""
+    system = df.where((F.col("type") == F.lit("system")) & successful() & not_no_op())
+    parsed = computed_once(system, __topics=parse_variant("topics"))
+    return parsed.where(json_scalar("topics", "$[0].symbol", F.col("__topics")) == F.lit(event))
 
 
 def filter_created(df: DataFrame, entry_type: str) -> DataFrame:
@@ -58,5 +66,5 @@ def filter_created(df: DataFrame, entry_type: str) -> DataFrame:
 
 
 def registry_candidates(events: DataFrame) -> DataFrame:
-    """Coarse filter: successful, has an operation, first topic is a registry event."""
-    return events.where(successful() & not_no_op() & topic_name().isin(list(REGISTRY_EVENTS)))
+    """Coarse filter: successful, has an operation, first topic is a registry event, which is added as ``event_name``."""
+    return with_topic_name(events.where(successful() & not_no_op())).where(F.col("event_name").isin(list(REGISTRY_EVENTS)))

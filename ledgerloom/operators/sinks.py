@@ -211,19 +211,15 @@ class KeyedTable:
 def constraint_split(df: DataFrame, keys: Sequence[str], not_null: Sequence[str]) -> DataFrame:
     """Tag each row with ``constraint_status``: 'ok', 'null_<col>' (first violated NOT NULL column)
     or 'duplicate_key' (key occurs more than once in the batch). Good and bad rows can then be
-    routed with a filter instead of failing the load."""
-    from pyspark.sql import Window
-    dup = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
-    status = F.lit("ok")
+    routed with a filter instead of failing the load. Keys are counted with a partial aggregate, and only those that
+    occur more than once are joined back, so no key's rows are gathered in one task."""
+    often = (df.groupBy(*[F.col(c).alias(f"__key_{i}") for i, c in enumerate(keys)]).agg(F.count(F.lit(1)).alias("__n"))
+             .where(F.col("__n") > 1).withColumn("__often", F.lit(True)).drop("__n"))
+    same = [F.col(c).eqNullSafe(F.col(f"__key_{i}")) for i, c in enumerate(keys)]
+    status = F.when(F.col("__often"), F.lit("duplicate_key")).otherwise(F.lit("ok"))
     for c in reversed(list(not_null)):
         status = F.when(F.col(c).isNull(), F.lit(f"null_{c}")).otherwise(status)
-    status = F.when(~F.col("__null_hit") & dup, F.lit("duplicate_key")).otherwise(status)
-    any_null = None
-    for c in not_null:
-        e = F.col(c).isNull()
-        any_null = e if any_null is None else any_null | e
-    return (df.withColumn("__null_hit", any_null if any_null is not None else F.lit(False))
-            .withColumn("constraint_status", status).drop("__null_hit"))
+    return df.join(often, same, "left").select(*[F.col(c) for c in df.columns], status.alias("constraint_status"))
 
 
 def unnest_arrays(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -367,13 +367,15 @@ def q_audit_dropped(spark, sf):
 
 @query("audit_summary", W(
     "SELECT a.event_name, CASE WHEN a.event_name = 'sub_reg' AND a.emitter_contract_id <> '" + ROOT + "' "
-    "THEN 'sub_reg_non_root' WHEN a.event_name = 'sub_reg' THEN 'sub_reg_superseded' ELSE 'dropped' END AS reason, "
+    "THEN 'sub_reg_non_root' WHEN a.event_name = 'sub_reg' AND m.member IS NULL THEN 'sub_reg_without_member' "
+    "WHEN a.event_name = 'sub_reg' AND EXISTS (SELECT 1 FROM registries s WHERE s.contract_id = m.member "
+    "AND row(s.ledger_sequence, s.id) > row(a.ledger_sequence, a.id)) THEN 'sub_reg_superseded' ELSE 'dropped' END AS reason, "
     "count(*) AS n_rows, count(DISTINCT m.member) AS n_distinct_members FROM (" + _AUDIT_SQL + ") a "
     "LEFT JOIN (SELECT id, " + O.sql_case_bank("data", "contract_id", "address", 2) + " AS member FROM raw "
     "WHERE event_name = 'sub_reg') m ON m.id = a.id GROUP BY 1, 2", "raw", "registries", "sink_ids"))
 def q_audit_summary(spark, sf):
     t = _s(spark, sf)
-    return A.audit_summary(A.audit_dropped(t.raw, t.registries, t.sink_ids()), t.raw, t.root_registry)
+    return A.audit_summary(A.audit_dropped(t.raw, t.registries, t.sink_ids()), t.raw, t.registries, t.root_registry)
 
 
 @query("g_anti_audit", "SELECT o_orderkey, o_orderstatus FROM orders o WHERE NOT EXISTS "

@@ -45,7 +45,7 @@ def rebuild_and_audit(spark: SparkSession, source_path: str, state_root: str, ro
                       expected_members: int | None = None, max_files_per_trigger: int | None = None) -> DataFrame:
     """Rebuild, check the membership set size, audit, replay once if real drops remain, re-audit,
     and fail if any remain. Audit rows explained as sub_reg bookkeeping (superseded or non-root
-    announcements) are reported but are not drops. Returns the final audit rows."""
+    announcements) are reported but are not drops; an announcement of a member that is not stored is one. Returns the final audit rows."""
     ing = rebuild(spark, source_path, state_root, root_registry, max_files_per_trigger=max_files_per_trigger)
     if expected_members is not None:
         n = ing.registries.read().count()
@@ -56,7 +56,8 @@ def rebuild_and_audit(spark: SparkSession, source_path: str, state_root: str, ro
         return A.audit_dropped(ing.table("raw_events_backup"), ing.registries.read(), ing.sink_ids())
 
     def real_drops(a: DataFrame) -> int:
-        return a.where(F.col("event_name") != "sub_reg").count()
+        rows = A.audit_reasons(a, ing.table("raw_events_backup"), ing.registries.read(), root_registry)
+        return rows.where(F.col("reason") == A.DROPPED).count()
 
     if real_drops(audit()) > 0:
         replay(ing, source_path, f"{state_root}/_replays", max_files_per_trigger=max_files_per_trigger)

@@ -64,11 +64,26 @@ def test_duplicated_delivery_is_idempotent(spark):
 def test_audit_of_complete_pipeline_has_only_classified_rows(spark):
     from ledgerloom.operators.audit import audit_dropped, audit_summary
     t = RegistryTables.from_fixture(spark, SF_SMALL)
-    summary = audit_summary(audit_dropped(t.raw, t.registries, t.sink_ids()), t.raw, t.root_registry).collect()
+    summary = audit_summary(audit_dropped(t.raw, t.registries, t.sink_ids()), t.raw, t.registries, t.root_registry).collect()
     assert summary and {r["event_name"] for r in summary} == {"sub_reg"}
     assert {r["reason"] for r in summary} <= {"sub_reg_superseded", "sub_reg_non_root"}
 
 
+def test_audit_reports_a_lost_registration(spark):
+    """Gone, or stored only as of an earlier announcement: a drop each; a superseded announcement is none."""
+    from ledgerloom.operators.audit import audit_dropped, audit_reasons
+    member = '{{"map":[{{"key":{{"symbol":"contract_id"}},"val":{{"address":"{}"}}}}]}}'
+    rows = [("1", 1, "root", member.format("root")), ("2", 2, "root", member.format("a")), ("3", 3, "root", member.format("a")),
+            ("4", 4, "root", member.format("gone")), ("5", 5, "root", member.format("old")), ("6", 6, "a", member.format("x")),
+            ("7", 7, "root", "{}")]
+    raw = spark.createDataFrame([(i, q, e, d, "sub_reg", "t") for i, q, e, d in rows],
+                                "id string, ledger_sequence long, emitter_contract_id string, data string, event_name string, transaction_hash string")
+    stored = spark.createDataFrame([("root", 1, "1"), ("a", 3, "3"), ("old", 0, "0")], "contract_id string, ledger_sequence long, id string")
+    sinks = stored.select("id", F.lit("sub_reg").alias("event_name"))
+    got = {r["id"]: r["reason"] for r in audit_reasons(audit_dropped(raw, stored, sinks), raw, stored, "root").collect()}
+    assert got == {"2": "sub_reg_superseded", "4": "dropped", "5": "dropped", "6": "sub_reg_non_root", "7": "sub_reg_without_member"}
+
+
 def test_strangers_are_neither_parked_nor_read(spark):
     """New members are back-filled from the log; a batch without new members reads none of it, whatever it holds."""
     t = RegistryTables.from_fixture(spark, SF_SMALL)
