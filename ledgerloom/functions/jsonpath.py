@@ -4,10 +4,10 @@
 an array, a JSON null or a missing path give NULL, and malformed JSON gives NULL instead of
 failing the job. Plain ``get_json_object`` would return the text of an object, so the value
 goes through a VARIANT and its type is checked. A VARIANT takes no object that repeats a key, which JSON
-allows; of such a text only the value at the path goes through a VARIANT, the first one of a repeated key.
+allows; of such a text only the value at the path goes through a VARIANT, the first one of a repeated key that is not null.
 
 Payloads have the shape ``{"map":[{"key":{"symbol":K},"val":{TAG:V}}, ...]}``. They are parsed
-once per row with ``from_json`` into an array of structs whose leaves are VARIANT, and every
+once per row into an array of structs whose leaves are VARIANT, and every
 field is then picked with higher-order functions over that one array, never by re-parsing.
 """
 
@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 # The value tags a payload entry can carry.
 VALUE_TAGS = ("string", "address", "bytes", "bool")
 
-PAIR_SCHEMA = (
-    "map array<struct<key: struct<symbol: variant>, "
+PAIRS_TYPE = (
+    "array<struct<key: struct<symbol: variant>, "
     "val: struct<string: variant, address: variant, bytes: variant, bool: variant>>>"
 )
 
@@ -55,24 +55,33 @@ def json_scalar(text, path: str, parsed: Column | None = None) -> Column:
     return F.coalesce(value, F.when(v.isNull(), _unparsed_scalar(text, path)))
 
 
+def _is_json(text) -> Column:
+    """The text is one JSON value, keys repeated or not: it closes no object put around it."""
+    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+    return F.from_json(F.concat(F.lit('{"v":'), _col(text), F.lit("}")), "v string", strict)["v"].isNotNull()
+
+
 def _unparsed_scalar(text, path: str) -> Column:
     """``json_scalar`` of a text without a VARIANT: a repeated key somewhere, or malformed (NULL). The path is asked of
-    an array around the text, as a wildcard keeps the quotes of strings. The text is one JSON value if it closes neither
-    the array nor the object put around it."""
-    strict = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
-    whole = F.from_json(F.concat(F.lit('{"v":'), _col(text), F.lit("}")), "v string", strict)["v"]
+    an array around the text, as a wildcard keeps the quotes of strings."""
     found = F.get_json_object(F.concat(F.lit("["), _col(text), F.lit("]")), "$[*]" + path[1:])
-    return F.when(whole.isNotNull(), variant_scalar(F.try_parse_json(found)))
+    return F.when(_is_json(text), variant_scalar(F.try_parse_json(found)))
 
 
 def parse_pairs(text) -> Column:
     """Parse a payload once to ``array<struct<k, string, address, bytes, bool>>`` holding the
     scalar text of the key symbol and of each tag (NULL when absent or not a scalar); the whole
-    array is NULL when the payload is malformed."""
-    entries = F.from_json(_col(text), PAIR_SCHEMA)["map"]
-    return F.transform(entries, lambda e: F.struct(
+    array is NULL when the payload is malformed. Of a key that an object repeats, the
+    first value that is not a JSON null counts, as in ``json_scalar``."""
+    entries = F.try_variant_get(parse_variant(text), "$.map", PAIRS_TYPE)
+    pairs = F.transform(entries, lambda e: F.struct(
         variant_scalar(e["key"]["symbol"]).alias("k"),
         *[variant_scalar(e["val"][t]).alias(t) for t in VALUE_TAGS]))
+    # without a VARIANT: a repeated key, or malformed; each entry's text is asked for each of its values
+    texts = F.from_json(F.get_json_object(_col(text), "$.map"), "array<string>")
+    again = F.transform(texts, lambda e: F.struct(
+        json_scalar(e, "$.key.symbol").alias("k"), *[json_scalar(e, f"$.val.{t}").alias(t) for t in VALUE_TAGS]))
+    return F.coalesce(pairs, F.when(parse_variant(text).isNull() & _is_json(text), again))
 
 
 def pair_value(pairs: Column, key: str, tag: str, max_pos: int | None = None,

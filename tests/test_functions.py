@@ -104,3 +104,17 @@ def test_cursor_column_form(spark):
     got = [tuple(r[0]) if r[0] is not None else None for r in df.select(C.cursor_bound_col(F.col("c"))).collect()]
     assert got[0] == (12, "12-abc-op-1-event-2-z")
     assert got[1] == (None, None) and got[2] == (None, None)
+
+
+def test_pairs_take_the_first_value_of_a_repeated_key(spark):
+    from ledgerloom.functions.jsonpath import pair_value, parse_pairs
+    entry = '{"map":[{"key":{"symbol":"k"},"val":%s}]}'
+    want = {entry % '{"string":"a","string":"b"}': "a", entry % '{"string":"a"},"val":{"string":"b"}': "a",
+            entry % '{"string":"a"}}],"map":[{"key":{"symbol":"k"},"val":{"string":"b"}': "a",
+            entry % '{"string":{"x":1},"string":"b"}': None, entry % '{"string":"a","address":"b"}': "a", entry % '"a"': None,
+            entry % '{"string":null,"string":"b"}': "b",  # a JSON null is no value
+            entry % '{"string":"a","string":"b"}' + "x": None,
+            '{"map":{"key":1}}': None, '{"map":[1,{"key":{"symbol":"k"},"val":{"string":"a"}}]}': "a", "[1]": None, "": None}
+    df = spark.createDataFrame([(t,) for t in want], "t string")
+    got = {r[0]: r[1] for r in df.select("t", pair_value(parse_pairs("t"), "k", "string", 4)).collect()}
+    assert got == want
