@@ -31,7 +31,7 @@ def topic_name(topics="topics") -> Column:
 def with_topic_name(df: DataFrame, out: str = "event_name") -> DataFrame:
     """``df`` with the first topic's symbol; topics are parsed once a row."""
     parsed = computed_once(df, __topics=parse_variant("topics"))
-    return computed_once(parsed, **{out: json_scalar("topics", "$[0].symbol", F.col("__topics"))}).drop("__topics")
+    return parsed.withColumn(out, json_scalar("topics", "$[0].symbol", F.col("__topics"))).drop("__topics")
 
 
 def filter_successful(df: DataFrame) -> DataFrame:
