@@ -7,6 +7,8 @@ row of the previous page; the next page starts at the bound derived from it, com
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -16,6 +18,9 @@ MIN_LIMIT_NEW = 1
 MIN_LIMIT_LEGACY = 2
 DEFAULT_LIMIT = 200
 
+#: The ledger of a cursor: digits alone (no blanks, no underscores), that fit 64 bits.
+_LEDGER = r"\+?[0-9]+"
+
 
 def validate_limit(limit: int | None, legacy: bool = False) -> int:
     if limit is None:
@@ -32,15 +37,9 @@ def parse_cursor(cursor: str | None) -> tuple[int, str]:
     if cursor is None:
         return 0, ""
     parts = cursor.split("-", 2)
-    if len(parts) < 2:
-        raise ValueError("Invalid cursor")
-    try:
-        ledger = int(parts[0])
-    except ValueError:
-        raise ValueError("Invalid cursor") from None
-    if ledger < 0:
+    if len(parts) < 2 or not re.fullmatch(_LEDGER, parts[0]) or int(parts[0]) >= 1 << 63:
         raise ValueError("Invalid cursor")
-    return ledger, f"{cursor}-z"
+    return int(parts[0]), f"{cursor}-z"
 
 
 def parse_legacy_cursor(cursor: str | None) -> tuple[int, str]:
@@ -70,6 +69,6 @@ def cursor_bound_col(cursor: Column) -> Column:
     NULL fields for an invalid cursor."""
     parts = F.split(cursor, "-", 3)
     ledger = parts.getItem(0).try_cast("bigint")
-    ok = (F.size(parts) >= 2) & ledger.isNotNull() & (ledger >= 0)
+    ok = (F.size(parts) >= 2) & parts.getItem(0).rlike(f"^{_LEDGER}$") & ledger.isNotNull()
     return F.struct(F.when(ok, ledger).alias("ledger"),
                     F.when(ok, F.concat(cursor, F.lit("-z"))).alias("bound"))

@@ -7,6 +7,8 @@ product; no key's history is gathered into a single row or task.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,16 +17,62 @@ from .latest import latest_per_key, sequence_index
 
 # Outcome labels of a deploy-detail lookup.
 FOUND, NOT_FOUND, NO_DEPLOY_BODY = "found", "not_found", "no_deploy_body"
+# What a lookup says of a key that it doesn't find ({column} stands for the requested value).
+WASM_ERROR = "Wasm '{wasm_name}' not found"
+WASM_VERSION_ERROR = "Wasm '{wasm_name}' version '{wasm_version}' not found"
+CONTRACT_ERROR = "Contract '{contract_name}' not found"
 
 
 def _keys(keys: DataFrame, cols: list[str]) -> DataFrame:
     return keys.select(*[F.col(c).alias(f"__req_{c}") for c in cols]).distinct()
 
 
+def _lookup(details: DataFrame, keys: DataFrame, cols: list[str], error: str) -> DataFrame:
+    """A row for every requested key: its values, ``status``, the ``error`` of a key not found, and the columns of its
+    detail. ``details`` has at most one row a key. A key with a null in it is never found."""
+    req = _keys(keys, cols)
+    found = details.select(F.struct(*[F.col(c) for c in details.columns]).alias("__detail"))
+    cond = None
+    for c in cols:
+        e = F.col("__detail")[c] == F.col(f"__req_{c}")
+        cond = e if cond is None else cond & e
+    out = req.join(found, cond, "left")
+    parts = [F.coalesce(F.col(f"__req_{p[1:-1]}"), F.lit("")) if p.startswith("{") else F.lit(p)
+             for p in re.split(r"(\{\w+\})", error) if p]
+    missing = F.col("__detail").isNull()
+    return out.select(*[F.col(f"__req_{c}").alias(f"requested_{c}") for c in cols],
+                      F.when(missing, F.lit(NOT_FOUND)).otherwise(F.lit(FOUND)).alias("status"),
+                      F.when(missing, F.concat(*parts)).alias("error"), "__detail.*")
+
+
 DETAIL_COLS = ("id", "transaction_hash", "ledger_sequence", "created_at", "channel", "author", "wasm_version",
                "wasm_name", "wasm_hash")
 
 
+def _wasm_details(source: DataFrame, keys: DataFrame, kcols: list[str]) -> DataFrame:
+    """The newest matching row of each requested key."""
+    req = _keys(keys, kcols)
+    cond = None
+    for c in kcols:
+        e = source[c] == req[f"__req_{c}"]
+        cond = e if cond is None else cond & e
+    hit = source.join(req, cond, "left_semi").select(*DETAIL_COLS)
+    return latest_per_key(hit, kcols, ("-ledger_sequence", "-id"))
+
+
+def wasm_lookup(source: DataFrame, keys: DataFrame, version: bool = False) -> DataFrame:
+    """Status, error and published detail of every requested (wasm_name, channel[, wasm_version]) key, found or not;
+    ``source`` as in ``wasm_detail``. A found key's history is ``wasm_detail``'s."""
+    kcols = ["wasm_name", "channel"] + (["wasm_version"] if version else [])
+    return _lookup(_wasm_details(source, keys, kcols), keys, kcols, WASM_VERSION_ERROR if version else WASM_ERROR)
+
+
+def contract_lookup(enriched: DataFrame, keys: DataFrame) -> DataFrame:
+    """Status, error and newest enriched row of every requested (contract_name, channel) key, found or not. A found
+    key's history is ``contract_detail``'s."""
+    return _lookup(_contract_details(enriched, keys), keys, ["contract_name", "channel"], CONTRACT_ERROR)
+
+
 def wasm_detail(source: DataFrame, published_with_channel: DataFrame, keys: DataFrame,
                 version: bool = False) -> DataFrame:
     """Published detail for requested (wasm_name, channel[, wasm_version]) keys.
@@ -34,13 +82,7 @@ def wasm_detail(source: DataFrame, published_with_channel: DataFrame, keys: Data
     ``record='version'`` (each publish of a found (name, channel), ``pos`` from 0 in ledger DESC,
     version DESC order; emitted once per (name, channel), not once per requested key)."""
     kcols = ["wasm_name", "channel"] + (["wasm_version"] if version else [])
-    req = _keys(keys, kcols)
-    cond = None
-    for c in kcols:
-        e = source[c] == req[f"__req_{c}"]
-        cond = e if cond is None else cond & e
-    hit = source.join(req, cond, "left_semi").select(*DETAIL_COLS)
-    detail = latest_per_key(hit, kcols, ("-ledger_sequence", "-id"))
+    detail = _wasm_details(source, keys, kcols)
     found = detail.select(F.col("wasm_name").alias("__f_name"), F.col("channel").alias("__f_channel")).distinct()
     v = published_with_channel.join(found, (published_with_channel["wasm_name"] == found["__f_name"])
                                     & (published_with_channel["channel"] == found["__f_channel"]), "left_semi")
@@ -56,13 +98,17 @@ def wasm_detail(source: DataFrame, published_with_channel: DataFrame, keys: Data
     return drec.unionByName(vrec)
 
 
-def contract_detail(enriched: DataFrame, versions_df: DataFrame, keys: DataFrame) -> DataFrame:
-    """Newest enriched row per requested (contract_name, channel) (``record='detail'``) and the
-    version history of each found contract id, once per id (``record='version'``)."""
+def _contract_details(enriched: DataFrame, keys: DataFrame) -> DataFrame:
     req = _keys(keys, ["contract_name", "channel"])
     hit = enriched.join(req, (enriched["contract_name"] == req["__req_contract_name"])
                         & (enriched["channel"] == req["__req_channel"]), "left_semi")
-    top = latest_per_key(hit, ["contract_name", "channel"], ("-ledger_sequence", "-id"))
+    return latest_per_key(hit, ["contract_name", "channel"], ("-ledger_sequence", "-id"))
+
+
+def contract_detail(enriched: DataFrame, versions_df: DataFrame, keys: DataFrame) -> DataFrame:
+    """Newest enriched row per requested (contract_name, channel) (``record='detail'``) and the
+    version history of each found contract id, once per id (``record='version'``)."""
+    top = _contract_details(enriched, keys)
     ids = top.where(F.col("contract_id").isNotNull()).select(F.col("contract_id").alias("__cid")).distinct()
     h = versions_df.join(ids, versions_df["contract_id"] == ids["__cid"], "left_semi")
     null_s = F.lit(None).cast("string")

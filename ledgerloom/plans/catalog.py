@@ -41,6 +41,7 @@ LATEST_AS_OF = 2500        # stream end recorded when a "latest" job started
 SEARCH_TERM = "click"
 PAGE_CURSOR = "1500-0a-op-1-event-0"
 EXPORT_PAGE = 50
+NEXT_PAGE = 10
 
 
 def query(name: str, oracle: str | None):
@@ -479,6 +480,50 @@ def q_legacy_page(spark, sf):
     return P.legacy_page(pubs, 200, None)
 
 
+# Fixed values: (column, JSON key) of a row of the legacy list.
+_LEGACY_FIELDS = [("author", "author"), ("version", "version"), ("wasm_name", "wasm_name"), ("wasm_hash", "wasm_hash")]
+
+
+def _envelope_sql(fields: list[tuple[str, str]], page: str, limit: int) -> str:
+    packed = ", ".join(f"{k} := {c}" for c, k in fields)
+    return (f"SELECT concat('{{\"result\":[', coalesce(string_agg(to_json(struct_pack({packed}))::VARCHAR, ',' ORDER BY ledger_sequence, id), ''), "
+            f"'],\"next\":', CASE WHEN count(*) = {limit} THEN to_json(max_by(id, row(ledger_sequence, id)))::VARCHAR ELSE 'null' END, '}}') "
+            f"AS json FROM {page}")
+
+
+@query("legacy_next_page", W(
+    "SELECT * FROM (WITH earliest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY wasm_name ORDER BY ledger_sequence ASC, "
+    "version DESC NULLS FIRST, id DESC) AS rn FROM batch_publishes) s WHERE rn = 1), "
+    f"first_page AS (SELECT * FROM earliest ORDER BY ledger_sequence, id LIMIT {NEXT_PAGE}), "
+    "bound AS (SELECT max_by(CAST(split_part(id, '-', 1) AS BIGINT), row(ledger_sequence, id)) AS ledger, "
+    "max_by(concat(split_part(id, '-', 1), '-', split_part(id, '-', 2), '-z'), row(ledger_sequence, id)) AS least_id "
+    f"FROM first_page HAVING count(*) = {NEXT_PAGE}), "
+    "next_page AS (SELECT earliest.* FROM earliest, bound WHERE (ledger_sequence, id) >= (ledger, least_id) "
+    f"ORDER BY ledger_sequence, id LIMIT {NEXT_PAGE}) {_envelope_sql(_LEGACY_FIELDS, 'next_page', NEXT_PAGE)}) s", "batch_publishes"))
+def q_legacy_next_page(spark, sf):
+    """The response behind the first page, fetched with that page's ``next``."""
+    pubs = D.decode_batch(_batch_events(_t(spark, sf)), "publish")
+    cursor = P.next_of(P.legacy_rows(pubs, NEXT_PAGE, None), NEXT_PAGE)
+    page = P.legacy_rows(pubs, NEXT_PAGE, cursor)
+    return P.json_envelope(page if cursor else page.where("false"), _LEGACY_FIELDS, NEXT_PAGE)
+
+
+@query("list_contracts_next", W(
+    f"SELECT * FROM (WITH first_page AS (SELECT * FROM contracts_enriched ORDER BY ledger_sequence, id LIMIT {NEXT_PAGE}), "
+    "bound AS (SELECT max_by(CAST(split_part(id, '-', 1) AS BIGINT), row(ledger_sequence, id)) AS ledger, "
+    f"max_by(concat(id, '-z'), row(ledger_sequence, id)) AS least_id FROM first_page HAVING count(*) = {NEXT_PAGE}), "
+    "next_page AS (SELECT e.id, ledger_sequence, contract_id, contract_name FROM contracts_enriched e, bound "
+    f"WHERE (ledger_sequence, e.id) >= (ledger, least_id) ORDER BY ledger_sequence, e.id LIMIT {NEXT_PAGE}) "
+    f"SELECT *, CASE WHEN count(*) OVER () = {NEXT_PAGE} THEN last_value(id) OVER (ORDER BY ledger_sequence, id ROWS BETWEEN "
+    "UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) END AS next_cursor FROM next_page) s", "contracts_enriched"))
+def q_list_contracts_next(spark, sf):
+    """The page behind the first one and where the one behind it starts."""
+    enriched = _s(spark, sf).contracts_enriched.select("id", "ledger_sequence", "contract_id", "contract_name")
+    cursor = P.next_of(P.keyset_page(enriched, NEXT_PAGE, None), NEXT_PAGE)
+    page = P.keyset_page(enriched, NEXT_PAGE, cursor)
+    return P.with_next_cursor(page if cursor else page.where("false"), NEXT_PAGE)
+
+
 @query("page_export", W(f"SELECT id, ledger_sequence, contract_name, CAST(row_number() OVER (ORDER BY ledger_sequence, "
                         f"id) - 1 AS BIGINT) AS row_index, CAST((row_number() OVER (ORDER BY ledger_sequence, id) - 1) "
                         f"// {EXPORT_PAGE} AS BIGINT) AS page FROM contracts_enriched", "contracts_enriched"))
@@ -567,6 +612,69 @@ def q_deploy_detail(spark, sf):
     return DT.deploy_detail(t.registered_with_channel, t.deployed, t.raw, keys)
 
 
+# Requested keys of the lookups: those that exist, and names of the other kind in the same channels, of which most don't.
+_CONTRACT_KEYS = ("SELECT contract_name, channel FROM registered_with_channel UNION "
+                  "SELECT wasm_name, channel FROM published_with_channel")
+
+
+def _contract_keys(t: RegistryTables) -> DataFrame:
+    others = t.published_with_channel.select(F.col("wasm_name").alias("contract_name"), "channel")
+    return t.registered_with_channel.select("contract_name", "channel").union(others)
+
+
+def _lookup_sql(key_cols: list[str], keys: str, details: str, cols: str, error: str) -> str:
+    same = " AND ".join(f"d.{c} = r.{c}" for c in key_cols)
+    asked = ", ".join(f"r.{c} AS requested_{c}" for c in key_cols)
+    return (f"SELECT {asked}, CASE WHEN d.id IS NULL THEN 'not_found' ELSE 'found' END AS status, "
+            f"CASE WHEN d.id IS NULL THEN {error} END AS error, {', '.join(f'd.{c.strip()}' for c in cols.split(','))} "
+            f"FROM ({keys}) r LEFT JOIN ({details}) d ON {same}")
+
+
+@query("wasm_lookup", W(_lookup_sql(
+    ["wasm_name", "channel"], "SELECT wasm_name, channel FROM published_with_channel UNION SELECT contract_name, channel FROM registered_with_channel",
+    "SELECT * FROM latest_published", _WD_DETAIL_COLS, "concat('Wasm ''', r.wasm_name, ''' not found')"),
+    "latest_published", "published_with_channel", "registered_with_channel"))
+def q_wasm_lookup(spark, sf):
+    t = _s(spark, sf)
+    others = t.registered_with_channel.select(F.col("contract_name").alias("wasm_name"), "channel")
+    return DT.wasm_lookup(t.latest_published, t.published_with_channel.select("wasm_name", "channel").union(others))
+
+
+@query("wasm_lookup_version", W(_lookup_sql(
+    ["wasm_name", "channel", "wasm_version"],
+    "SELECT DISTINCT p.wasm_name, p.channel, l.wasm_version FROM published_with_channel p JOIN latest_published l USING (wasm_name)",
+    "SELECT * FROM published_with_channel QUALIFY row_number() OVER (PARTITION BY wasm_name, channel, wasm_version "
+    "ORDER BY ledger_sequence DESC, id DESC) = 1", _WD_DETAIL_COLS,
+    "concat('Wasm ''', r.wasm_name, ''' version ''', r.wasm_version, ''' not found')"), "latest_published", "published_with_channel"))
+def q_wasm_lookup_version(spark, sf):
+    """Whether each channel that has a name has the name's newest version too."""
+    t = _s(spark, sf)
+    newest = t.latest_published.select("wasm_name", "wasm_version")
+    keys = t.published_with_channel.select("wasm_name", "channel").distinct().join(newest, "wasm_name")
+    return DT.wasm_lookup(t.published_with_channel, keys, version=True)
+
+
+@query("contract_lookup", W(_lookup_sql(
+    ["contract_name", "channel"], _CONTRACT_KEYS,
+    "SELECT * FROM contracts_enriched QUALIFY row_number() OVER (PARTITION BY contract_name, channel ORDER BY ledger_sequence DESC, id DESC) = 1",
+    "id, transaction_hash, ledger_sequence, created_at, contract_id, contract_name, channel, sac, deployer, wasm_version, wasm_name, wasm_channel",
+    "concat('Contract ''', r.contract_name, ''' not found')"),
+    "contracts_enriched", "registered_with_channel", "published_with_channel"))
+def q_contract_lookup(spark, sf):
+    t = _s(spark, sf)
+    return DT.contract_lookup(t.contracts_enriched, _contract_keys(t))
+
+
+_DEPLOY_LOOKUP = _DEPLOY_DETAIL.replace("SELECT DISTINCT contract_name, channel FROM registered_with_channel", _CONTRACT_KEYS)
+
+
+@query("deploy_lookup", W(f"SELECT * FROM ({_DEPLOY_LOOKUP}) s", "registered_with_channel", "published_with_channel", "deployed", "raw"))
+def q_deploy_lookup(spark, sf):
+    """``deploy_detail`` of keys of which some don't exist."""
+    t = _s(spark, sf)
+    return DT.deploy_detail(t.registered_with_channel, t.deployed, t.raw, _contract_keys(t))
+
+
 @query("replay_plan", W(
     f"SELECT l.id AS list_id, l.contract_name, json_extract(dd.operation_body, '$.invoke_host_function')::VARCHAR "
     f"AS invoke_host_function FROM contracts_enriched l JOIN ({_DEPLOY_DETAIL}) dd "
@@ -708,6 +816,12 @@ def q_json_rows(spark, sf):
     return SK.json_rows(P.list_contracts(_s(spark, sf).contracts_enriched, 200, None), _JSON_FIELDS)
 
 
+@query("json_envelope", W(_envelope_sql(_JSON_FIELDS, "(SELECT * FROM contracts_enriched ORDER BY ledger_sequence, id LIMIT 200) p", 200),
+                          "contracts_enriched"))
+def q_json_envelope(spark, sf):
+    return P.json_envelope(P.keyset_page(_s(spark, sf).contracts_enriched, 200, None), _JSON_FIELDS, 200)
+
+
 # ---- streaming ------------------------------------------------------------------------------------------
 
 from ..streaming import jobs as SJ  # noqa: E402

@@ -83,6 +83,10 @@ def read_increment(events: DataFrame, from_inclusive, limit: int,
     return events.where(F.col(seq_col) >= bound).orderBy(seq_col, id_col).limit(int(limit))
 
 
+#: Scheme and host of a path, which a listing may add.
+_STORE = r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?"
+
+
 def read_artifact_paths(spark: SparkSession, directory: str) -> DataFrame:
     """Paths of ``*.wasm`` files directly inside ``directory`` (no sub-folders)."""
     df = (spark.read.format("binaryFile").option("pathGlobFilter", "*.wasm")
@@ -103,10 +107,15 @@ def artifact_catalog(paths: DataFrame, path_col: str = "path", top_dir: str | No
     cond = (F.col("wasm_name") != "") & (F.col("wasm_version") != "")
     if top_dir is not None:
         parent = F.regexp_extract(F.col("path"), r"^(.*)/[^/]+$", 1)
-        cond = cond & (parent.endswith(top_dir.rstrip("/")))
+        cond = cond & (F.regexp_replace(parent, _STORE, "") == F.regexp_replace(F.lit(top_dir.rstrip("/")), _STORE, ""))
     return out.where(cond)
 
 
+def reload_artifacts(spark: SparkSession, directory: str) -> DataFrame:
+    """path, file_name, wasm_name and wasm_version of the artifact files directly inside ``directory``."""
+    return artifact_catalog(read_artifact_paths(spark, directory), top_dir=directory)
+
+
 def incremental_step(events: DataFrame, targets: dict, limit: int, name_col_expr: Column,
                      seq_col: str = "ledger_sequence", id_col: str = "id") -> DataFrame:
     """One run of the batch ingest: high water per target (0 when empty), one shared read from the

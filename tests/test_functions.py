@@ -118,3 +118,13 @@ def test_pairs_take_the_first_value_of_a_repeated_key(spark):
     df = spark.createDataFrame([(t,) for t in want], "t string")
     got = {r[0]: r[1] for r in df.select("t", pair_value(parse_pairs("t"), "k", "string", 4)).collect()}
     assert got == want
+
+
+def test_cursors_hold_digits_alone(spark):
+    odd = ["1_0-a", " 10-a", "10 -a", "1e3-a", "99999999999999999999-a", "-5-a"]
+    for c in odd:
+        with pytest.raises(ValueError):
+            C.parse_cursor(c)
+    df = spark.createDataFrame([(c,) for c in [*odd, "+10-a"]], "c string")
+    got = [r[0]["ledger"] for r in df.select(C.cursor_bound_col(F.col("c"))).collect()]
+    assert got == [None] * len(odd) + [10] and C.parse_cursor("+10-a") == (10, "+10-a-z")

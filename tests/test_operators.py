@@ -1,14 +1,16 @@
+import json
 import random
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ledgerloom.operators import decode as D
+from ledgerloom.operators import detail as DT
 from ledgerloom.operators import paging as P
 from ledgerloom.operators import search as S
 from ledgerloom.operators import sinks as SK
 from ledgerloom.operators.latest import latest_per_key, sequence_index
-from ledgerloom.sources.readers import artifact_catalog
+from ledgerloom.sources.readers import artifact_catalog, reload_artifacts
 
 
 def test_latest_desc_puts_nulls_first(spark):
@@ -106,3 +108,67 @@ def test_artifact_manifest_keeps_null_channel(spark):
                                "wasm_name string, wasm_version string, wasm_hash string, channel string")
     got = sorted(r["file_name"] for r in SK.artifact_manifest(df).collect())
     assert got == ["None@None.wasm", "n@1.wasm"]
+
+
+def test_artifacts_reloaded_from_a_folder(spark, tmp_path):
+    for name in ("a@b@1.0.wasm", "ok@2.wasm", "plain.wasm", "n@.wasm", "@3.wasm", "ok@3.txt", "sub/x@1.wasm"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"\0asm")
+    got = {(r["file_name"], r["wasm_name"], r["wasm_version"]) for r in reload_artifacts(spark, str(tmp_path)).collect()}
+    assert got == {("a@b@1.0.wasm", "a@b", "1.0"), ("ok@2.wasm", "ok", "2")}
+
+
+def test_artifact_folder_is_compared_whole(spark):
+    df = spark.createDataFrame([("file:/d/a@1.wasm",), ("/x/d/b@1.wasm",), ("hdfs://host:8020/d/c@1.wasm",)], "path string")
+    assert {r["wasm_name"] for r in artifact_catalog(df, top_dir="/d/").collect()} == {"a", "c"}
+
+
+def test_envelope_and_next(spark):
+    rows = [(l, f"{l}-{t}-op-1-event-0", None if t == "a" else t) for l in range(5) for t in ("a", "b")]
+    df = spark.createDataFrame(rows, "ledger_sequence long, id string, name string")
+    seen, cursor = [], None
+    while True:
+        page = P.keyset_page(df, 4, cursor)
+        got = json.loads(P.json_envelope(page, [("name", "n")], 4).first()["json"])
+        seen += [x["n"] for x in got["result"]]
+        cursor = P.next_of(page, 4)
+        assert got["next"] == cursor
+        if cursor is None:
+            break
+    assert seen == [None, "b"] * 5
+    assert P.json_envelope(df.limit(0), [("name", "n")], 4).first()["json"] == '{"result":[],"next":null}'
+
+
+def test_legacy_cursor_skips_the_transaction(spark):
+    rows = [(l, f"{l}-{t}-op-1-event-{e}", f"{l}{t}{e}", "1", "me", "h") for l in (3, 4) for t in ("a", "b") for e in (0, 1)]
+    df = spark.createDataFrame(rows, "ledger_sequence long, id string, wasm_name string, version string, author string, wasm_hash string")
+    cursor = P.next_of(P.legacy_rows(df, 3, None), 3)
+    assert cursor == "3-b-op-1-event-0"
+    assert [r["wasm_name"] for r in P.legacy_rows(df, 3, cursor).collect()] == ["4a0", "4a1", "4b0"]
+
+
+def test_lookups_have_a_row_for_every_key(spark):
+    cols = "id string, transaction_hash string, ledger_sequence long, created_at timestamp_ntz, channel string, author string, " \
+           "wasm_version string, wasm_name string, wasm_hash string"
+    rows = [(f"{i}", "t", i, None, "root", "a", v, "n", "h") for i, v in ((1, "1"), (2, "2"), (3, None))]
+    source = spark.createDataFrame(rows, cols)
+    keys = spark.createDataFrame([("n", "root", "1"), ("n", "root", "9"), ("n", "other", "1"), (None, "root", "1"), ("n", "root", "1")],
+                                 "wasm_name string, channel string, wasm_version string")
+    got = {tuple(r)[:3]: (r["status"], r["error"], r["id"]) for r in DT.wasm_lookup(source, keys, version=True).collect()}
+    missing = "Wasm 'n' version '{}' not found"
+    assert got == {("n", "root", "1"): ("found", None, "1"), ("n", "root", "9"): ("not_found", missing.format(9), None),
+                   ("n", "other", "1"): ("not_found", missing.format(1), None), (None, "root", "1"): ("not_found", "Wasm '' version '1' not found", None)}
+    got = {tuple(r)[:2]: (r["status"], r["id"]) for r in DT.wasm_lookup(source, keys).collect()}
+    assert got == {("n", "root"): ("found", "3"), ("n", "other"): ("not_found", None), (None, "root"): ("not_found", None)}
+
+
+def test_deploy_outcomes(spark):
+    registered = spark.createDataFrame([("c1", "n1", "root", 1, "1"), ("c2", "n2", "root", 1, "2"), ("c3", "n3", "root", 1, "3")],
+                                       "contract_id string, contract_name string, channel string, ledger_sequence long, id string")
+    deployed = spark.createDataFrame([("c1", "d", "t1", 1, "1"), ("c2", "d", "t2", 1, "2")],
+                                     "contract_id string, deployer string, transaction_hash string, ledger_sequence long, id string")
+    raw = spark.createDataFrame([("t1", "body", "1", "deploy"), ("t2", None, "2", "deploy")],
+                                "transaction_hash string, operation_body string, id string, event_name string")
+    keys = spark.createDataFrame([(f"n{i}", "root") for i in range(1, 5)], "contract_name string, channel string")
+    got = {r["requested_name"]: r["status"] for r in DT.deploy_detail(registered, deployed, raw, keys).collect()}
+    assert got == {"n1": "found", "n2": "no_deploy_body", "n3": "no_deploy_body", "n4": "not_found"}
