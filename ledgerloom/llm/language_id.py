@@ -2,8 +2,9 @@
 
 * Features: runs of 1 to 3 letters (characters other than letters become one blank), counted in 2^13 hashed places,
   1 + log of the count, times the inverse document frequency of the sample, normalised to length 1.
-* Fit: at most ``sample`` labelled documents a language (those of the least hash of their id), drawn by Spark; each
-  language's vectors are clustered into up to ``clusters`` centroids by cosine (spherical k-means on the bounded sample).
+* Fit: at most ``sample`` labelled documents a language (those of the least hash of id and text), chosen by Spark without their
+  texts; each language's vectors are clustered into up to ``clusters`` centroids by cosine (spherical k-means on the bounded
+  sample, one task a language).
 * Prediction: the language of the centroid with the highest cosine, over whole texts. A text whose best cosine is below
   its language's ``reject`` quantile of the sample is marked as rejected.
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import columns_of
+from .common import columns_of, stored
 from .rolling import mix
 
 PLACES = 1 << 13
@@ -111,12 +112,24 @@ def _clusters(v: np.ndarray, k: int) -> np.ndarray:
     return c
 
 
+def _sample(labelled: DataFrame, sample: int) -> DataFrame:
+    """lang, text of the ``sample`` rows of each language with the least hash of id and text, ties by id and the text's other
+    hash. Only ids and hashes go through the window; whole texts are read again for the rows chosen alone."""
+    key = [F.xxhash64("id", "text").alias("h"), F.col("id"), F.xxhash64("text", F.lit(1)).alias("th")]
+    pick = Window.partitionBy("lang").orderBy("h", "id", "th")
+    chosen = labelled.select("lang", *key).withColumn("turn", F.row_number().over(pick)).where(F.col("turn") <= sample)
+    chosen = chosen.groupBy("lang", "h", "id", "th").agg(F.count("*").cast("int").alias("copies"))
+    chosen = stored(chosen, "op10-chosen")  # its size is known then, so Spark broadcasts it if it's small
+    rows = labelled.select("lang", "text", *key).join(chosen, ["lang", "h", "id", "th"])
+    rows = rows.groupBy("lang", "h", "id", "th").agg(F.first("text").alias("text"), F.first("copies").alias("copies"))  # a key's rows are alike
+    return rows.select("lang", "text", F.explode(F.array_repeat(F.lit(0), F.col("copies")))).drop("col")
+
+
 def fit(labelled: DataFrame, sample: int = 300, clusters: int = 4, reject: float = 0.01, id_col: str = "doc_id",
         text_col: str = "text", lang_col: str = "lang") -> Model:
-    """``labelled``: rows to learn from. ``sample`` bounds the rows of a language that are used."""
+    """``labelled``: rows to learn from. ``sample`` bounds the rows of a language that are used, and so what one task
+    holds: sample x 32 KB. The driver gets ``clusters`` vectors a language and one number a place."""
     d = columns_of(labelled, id_col, text_col, lang_col).toDF("id", "text", "lang").where("id is not null and lang is not null and text is not null")
-    pick = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    d = d.withColumn("turn", F.row_number().over(pick)).where(F.col("turn") <= sample).select("lang", "text")
 
     def run(batches):
         for batch in batches:
@@ -125,30 +138,34 @@ def fit(labelled: DataFrame, sample: int = 300, clusters: int = 4, reject: float
                 if (c := counts(text)) is not None:
                     at = np.flatnonzero(c)
                     lang.append(name)
-                    places.append(at.astype(np.int16).tobytes())
-                    values.append(c[at].tobytes())
-            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "places": pa.array(places, pa.binary()),
-                                              "n": pa.array(values, pa.binary())})
-
-    rows = d.mapInArrow(run, "lang string, places binary, n binary").orderBy("lang", F.xxhash64("places", "n"), "places", "n").collect()
-    v = np.zeros((len(rows), PLACES), dtype=np.float32)
-    for i, r in enumerate(rows):
-        v[i, np.frombuffer(r["places"], dtype=np.int16)] = np.frombuffer(r["n"], dtype=np.float32)
-    idf = (np.log((1 + len(rows)) / (1 + (v > 0).sum(axis=0))) + 1).astype(np.float32)
-    hit = v > 0
-    v[hit] = 1 + np.log(v[hit])
-    v *= idf
-    v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-    lang = np.array([r["lang"] for r in rows], dtype=object)
-    names, centroids, least = [], [], []
-    for name in sorted(set(lang)):
-        own = v[lang == name]
-        c = _clusters(own, clusters)
-        low = float(np.quantile((own @ c.T).max(axis=1), reject))
-        names += [name] * len(c)
-        centroids.append(c)
-        least += [low] * len(c)
-    return Model(names, np.concatenate(centroids).astype(np.float32) if names else np.empty((0, PLACES), dtype=np.float32), idf, np.array(least))
+                    places.append(at.tolist())
+                    values.append(c[at].tolist())
+            yield pa.RecordBatch.from_pydict({"lang": pa.array(lang, pa.string()), "places": pa.array(places, pa.list_(pa.int32())),
+                                              "n": pa.array(values, pa.list_(pa.float32()))})
+
+    rows = stored(_sample(d, sample).mapInArrow(run, "lang string, places array<int>, n array<float>"), "op10-sample")
+    having = rows.select(F.explode("places").alias("place")).groupBy("place").agg(F.count("*").alias("n")).collect()  # at most PLACES rows
+    df = np.zeros(PLACES)
+    for r in having:
+        df[r["place"]] = r["n"]
+    idf = (np.log((1 + rows.count()) / (1 + df)) + 1).astype(np.float32)
+
+    def centres(key, table):
+        pairs = sorted(zip(table.column("places").to_pylist(), table.column("n").to_pylist(), strict=True))
+        v = np.zeros((len(pairs), PLACES), dtype=np.float32)
+        for i, (at, n) in enumerate(pairs):
+            v[i, at] = 1 + np.log(np.array(n, dtype=np.float32))
+        v *= idf
+        v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+        c = _clusters(v, clusters)
+        low = float(np.quantile((v @ c.T).max(axis=1), reject))
+        return pa.table({"lang": pa.array([key[0].as_py()] * len(c), pa.string()), "k": pa.array(range(len(c)), pa.int32()),
+                         "centre": pa.array([x.astype(np.float32).tobytes() for x in c], pa.binary()), "low": pa.array([low] * len(c), pa.float64())})
+
+    found = rows.groupBy("lang").applyInArrow(centres, "lang string, k int, centre binary, low double").collect()
+    found.sort(key=lambda r: (r["lang"], r["k"]))
+    at = [np.frombuffer(r["centre"], dtype=np.float32) for r in found]
+    return Model([r["lang"] for r in found], np.array(at) if at else np.empty((0, PLACES), dtype=np.float32), idf, np.array([r["low"] for r in found]))
 
 
 def held_out(doc_id: Column) -> Column:
