@@ -3,8 +3,10 @@
 * Rules on a document: fewer than ``min_words`` words, or more than ``max_repeat`` percent of its words in runs of three
   words found twice or more in it.
 * Rules on a host (here the source): its rate of failing documents, drawn towards the rate of all hosts by a beta
-  prior whose mean and strength come from the hosts themselves (method of moments). A host whose shrunk rate is above
-  ``max_rate`` takes all its documents with it; a small host with a few failures does not.
+  prior whose mean and strength come from the hosts themselves (method of moments): the variance of the observed rates, less
+  what chance alone gives them at their sizes, is that of the hosts. Hosts that differ no more than by chance get the prior's
+  greatest strength, the number of all documents, so they are judged as one. A host whose shrunk rate is above ``max_rate`` takes
+  all its documents with it; a small host with a few failures does not.
 
 Null and empty texts have no words and fail. Hosts are compared null-safe: a null host is a host. Repeated rows
 count each. An empty table gives no rows. With ``keep_rows`` further columns pass unchanged, whatever their names. Texts are read whole,
@@ -66,10 +68,13 @@ def base_rules(docs: DataFrame, text: Column, min_words: int, max_repeat: int) -
 def host_verdicts(judged: DataFrame, host: str, max_rate: float) -> DataFrame:
     """host, host_rate (shrunk) and host_failed; ``judged`` has ``host`` and base_failed."""
     hosts = judged.groupBy(host).agg(F.count("*").alias("n"), F.count_if("base_failed").alias("bad"))
-    prior = hosts.agg((F.sum("bad") / F.sum("n")).alias("mean"), F.var_pop(F.col("bad") / F.col("n")).alias("var"))
-    # Beta(mean x strength, (1 - mean) x strength); hosts that don't differ give no strength: 1 stands in
+    prior = hosts.agg((F.sum("bad") / F.sum("n")).alias("mean"), F.var_pop(F.col("bad") / F.col("n")).alias("var"),
+                      F.avg(1 / F.col("n")).alias("per_host"), F.sum("n").cast("double").alias("total"))
+    # Beta(mean x strength, (1 - mean) x strength); a host of n documents varies by spread / n by chance
     spread = F.col("mean") * (1 - F.col("mean"))
-    prior = prior.select("mean", F.when(F.col("var") > 0, F.greatest(spread / F.col("var") - 1, F.lit(1.0))).otherwise(1.0).alias("strength"))
+    own = F.col("var") - spread * F.col("per_host")
+    strength = F.when(own > 0, F.least(F.greatest(spread / own - 1, F.lit(1.0)), F.col("total"))).otherwise(F.col("total"))
+    prior = prior.select("mean", strength.alias("strength"))
     rate = (F.col("bad") + F.col("mean") * F.col("strength")) / (F.col("n") + F.col("strength"))
     return hosts.join(F.broadcast(prior)).select(F.col(host).alias("__host"), rate.alias("host_rate"), (rate > max_rate).alias("host_failed"))
 
@@ -111,8 +116,9 @@ b AS (SELECT w.doc_id, source, len(words)::BIGINT AS n_words, coalesce(list_sum(
   FROM w LEFT JOIN dups ON w.doc_id = dups.doc_id LEFT JOIN repeats ON w.doc_id = repeats.doc_id),
 j AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b),
 h AS (SELECT source, count(*)::DOUBLE AS n, (count(*) FILTER (base_failed))::DOUBLE AS bad FROM j GROUP BY source),
-p AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var FROM h),
-q AS (SELECT mean, CASE WHEN var > 0 THEN greatest(mean * (1 - mean) / var - 1, 1.0) ELSE 1.0 END AS strength FROM p),
+p AS (SELECT sum(bad) / sum(n) AS mean, var_pop(bad / n) AS var, avg(1 / n) AS per_host, sum(n) AS total FROM h),
+q AS (SELECT mean, CASE WHEN var > mean * (1 - mean) * per_host
+  THEN least(greatest(mean * (1 - mean) / (var - mean * (1 - mean) * per_host) - 1, 1.0), total) ELSE total END AS strength FROM p),
 v AS (SELECT source, (bad + mean * strength) / (n + strength) AS host_rate FROM h, q)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, host_rate, host_rate > 0.5 AS host_failed,
   NOT base_failed AND host_rate <= 0.5 AS kept FROM j JOIN v ON j.source IS NOT DISTINCT FROM v.source

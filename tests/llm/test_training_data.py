@@ -623,3 +623,42 @@ def test_word_cache_encodes_as_the_library_does():
     got = [t for at in range(0, len(made), 500) for t in encode.encode(made[at:at + 500])]
     whole = encode.tokenizer.encode_batch_fast(made, add_special_tokens=False)
     assert got == [np.array(e.ids, dtype=encode.dtype).tobytes() for e in whole]
+
+
+def test_hosts_that_differ_by_chance_are_judged_as_one(spark):
+    """Small hosts of one rate of failures, 30 %: some have more than half by chance, none is to go for that."""
+    good, r = " ".join(f"g{i}" for i in range(60)), random.Random(3)
+    rows = [(i, "bad" if r.random() < 0.3 else good, None, f"h{i // 4}") for i in range(800)]
+    judged = quality.judge(table(spark, rows)).collect()
+    worst = {rows[x["doc_id"]][3]: x["host_rate"] for x in judged}
+    observed = Counter(rows[x["doc_id"]][3] for x in judged if x["base_failed"])
+    assert max(observed.values()) >= 3 and max(worst.values()) < 0.5 and not any(x["host_failed"] for x in judged)
+
+
+def test_sample_of_languages(spark):
+    """The same rows whatever the partitions; repeated rows count each; never more than asked for; classes against brute force."""
+    rows = [(i % 40, f"text {i % 25} of words", None, None) for i in range(300)]
+    df = spark.createDataFrame([(i, t, "a" if i % 3 else "b") for i, t, *_ in rows], "id long, text string, lang string")
+    got = [sorted(map(tuple, language_id._sample(df.repartition(n), 30).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and Counter(x[0] for x in got[0]) == {"a": 30, "b": 30}
+    few = [sorted(map(tuple, language_id._sample(df.where(f"id < {n}"), 1000).collect())) for n in (3, 40)]
+    assert [len(x) for x in few] == [df.where("id < 3").count(), 300]
+
+
+def test_nearest_centroids_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").where("lang is not null")
+    model = language_id.fit(docs, sample=20, clusters=3)
+    texts_of = {r["doc_id"]: r["text"] for r in docs.collect()}
+    got = {r["doc_id"]: r for r in language_id.identify(docs, model).collect()}
+    assert Counter(model.languages).most_common(1)[0][1] <= 3
+    for i, text in texts_of.items():
+        c = language_id.counts(text or "")
+        if c is None:
+            assert got[i]["lang_pred"] == "und"
+            continue
+        v = [(1 + np.log(n)) * w if n else 0.0 for n, w in zip(c.tolist(), model.idf.tolist(), strict=True)]
+        length = sum(x * x for x in v) ** 0.5
+        cosines = [sum(x * y for x, y in zip(v, centre, strict=True) if x) / length for centre in model.centroids.tolist()]
+        best = max(cosines)
+        assert abs(got[i]["score"] - best) < 1e-4
+        assert got[i]["lang_pred"] in {lang for lang, x in zip(model.languages, cosines, strict=True) if x > best - 1e-4}
