@@ -662,3 +662,44 @@ def test_nearest_centroids_against_brute_force(spark):
         best = max(cosines)
         assert abs(got[i]["score"] - best) < 1e-4
         assert got[i]["lang_pred"] in {lang for lang, x in zip(model.languages, cosines, strict=True) if x > best - 1e-4}
+
+
+def test_whole_licenses_and_their_score(spark):
+    def plain(markup, name):
+        markup = re.sub(r"<<(begin|end)Optional>>", " ", markup)
+        return re.sub(r"<<var;words=\d+-(\d+)>>", lambda m: " ".join([name] * int(m[1])), markup)
+
+    for label in ("mit-whole", "isc-whole", "bsd-2-clause-whole", "bsd-3-clause-whole", "zlib-whole", "apache-2.0-header"):
+        whole = plain(license_scan.TEMPLATES[label], "holders")
+        got = license_scan.scan_text(f"Some words. {whole}, and others.".encode())
+        assert label in got[5].split(",") and got[6] == 1.0, label
+        words_of = whole.split()
+        for cut in (words_of[:-1], words_of[1:], [*words_of[:50], "other", *words_of[51:]]):
+            assert label not in license_scan.scan_text(" ".join(cut).encode())[5].split(",")
+    assert license_scan.scan_text(b"released under the MIT License")[6] == 0.5 + 5 / 6 / 2
+    assert license_scan.scan_text(b"released under the MIT License. It is released under the MIT License")[6] == 1.0
+
+    rows = [("x", "alpha <<var;words=0-2>> beta"), ("y", "gamma"), (None, "delta"), ("x", "alpha <<var;words=0-2>> beta")]
+    templates = license_scan.templates_of(spark.createDataFrame(rows, "label string, markup string"))
+    got = license_scan.scan_licenses(table(spark, [(1, "alpha of beta"), (2, "gamma"), (3, "alpha gamma b"), (4, "delta")]), templates, {})
+    assert {r["doc_id"]: (r["labels"], r["score"]) for r in got.collect()} == {1: ("x", 0.5 + 3 / 8), 2: ("y", 1.0), 3: ("y", 1.0), 4: ("", 0.0)}
+    assert license_scan.templates_of(spark.createDataFrame([], "label string, markup string")) == {}
+    assert license_scan.scan_text(b"delta", (), ())[5] == ""
+    with pytest.raises(ValueError, match="several"):
+        license_scan.templates_of(spark.createDataFrame([*rows, ("x", "other")], "label string, markup string"))
+    with pytest.raises(ValueError, match="characters"):
+        license_scan.templates_of(spark.createDataFrame(rows, "label string, markup string"), most_chars=5)
+
+
+def test_license_phrases_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    got = {r["doc_id"]: r for r in license_scan.scan_licenses(docs).collect()}
+    for r in docs.collect():
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in r["text"] or "")
+        w = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", low)
+        places = [(i, label) for phrase, label in license_scan.PHRASES.items() for i in range(len(w))
+                  if w[i:i + len(phrase.split())] == phrase.split()]
+        x = got[r["doc_id"]]
+        assert (x["n_words"], x["n_base"], x["base_labels"]) == (len(w), len(places), ",".join(sorted({label for _, label in places})))
+        assert (x["first_word"], x["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
+        assert 0 <= x["score"] <= 1 and set(x["base_labels"].split(",")) - {""} <= set(x["labels"].split(","))
