@@ -27,6 +27,7 @@ from .rolling import mix
 
 PLACES = 1 << 13
 _CHUNK = 1 << 20
+_PARTS = 1024
 _letters: list[np.ndarray] = []
 
 
@@ -116,8 +117,10 @@ def _sample(labelled: DataFrame, sample: int) -> DataFrame:
     """lang, text of the ``sample`` rows of each language with the least hash of id and text, ties by id and the text's other
     hash. Only ids and hashes go through the window; whole texts are read again for the rows chosen alone."""
     key = [F.xxhash64("id", "text").alias("h"), F.col("id"), F.xxhash64("text", F.lit(1)).alias("th")]
-    pick = Window.partitionBy("lang").orderBy("h", "id", "th")
-    chosen = labelled.select("lang", *key).withColumn("turn", F.row_number().over(pick)).where(F.col("turn") <= sample)
+    order = ["h", "id", "th"]
+    chosen = labelled.select("lang", *key, (F.spark_partition_id() % _PARTS).alias("part"))
+    for by in (["lang", "part"], ["lang"]):  # first within parts of the table, so that no task gets the rows of all
+        chosen = chosen.withColumn("turn", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where(F.col("turn") <= sample)
     chosen = chosen.groupBy("lang", "h", "id", "th").agg(F.count("*").cast("int").alias("copies"))
     chosen = stored(chosen, "op10-chosen")  # its size is known then, so Spark broadcasts it if it's small
     rows = labelled.select("lang", "text", *key).join(chosen, ["lang", "h", "id", "th"])
