@@ -1,4 +1,7 @@
+import glob
+import os
 import re
+import shutil
 import time
 from collections import Counter
 
@@ -178,3 +181,63 @@ def test_the_stream_end_is_recorded_once(spark):
     assert recorded_end(ev, state) == 4
     assert recorded_end(spark.range(50).selectExpr("id as ledger_sequence"), state) == 4
     assert recorded_end(ev.limit(0), state_dir(spark, "t-end")) == 0
+
+
+def test_catch_up_takes_the_same_jobs_however_many_runs_there_are(spark):
+    ev = spark.range(3_000).selectExpr("lpad(id, 6, '0') id", "1000 + id div 7 ledger_sequence", "if(id % 3 = 0, 'publish', 'deploy') event")
+    none, jobs = ev.limit(0), []
+    for limit in (1_000, 20):
+        group = f"t-catch-up-{limit}"
+        spark.sparkContext.setJobGroup(group, group)
+        got = incremental_reads(ev, {"deploys": ("deploy", none), "publishes": ("publish", none)}, limit, F.col("event"), state_dir(spark, "t-runs"))
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)))
+        want = {(f"{i:06d}", 1000 + i // 7, "deploys" if i % 3 else "publishes", i // limit) for i in range(3_000)}
+        assert {tuple(r) for r in got.select("id", "ledger_sequence", "target", "run").collect()} == want
+    assert jobs[1] <= jobs[0] + 2    # a listing of many folders is a job
+    spark.sparkContext.setJobGroup("tests", "tests")
+
+
+def test_a_derived_stream_is_shuffled_narrow_and_written_when_it_is_read(spark, tmp_path):
+    """Only what the ledger and the rows are made of goes through the shuffle; the payloads are made behind it."""
+    from ledgerloom.sources import bridge
+    from ledgerloom.session import checkpoint_dir, local_path
+    placed = bridge.chain_events(spark.read.parquet(f"{SF_SMALL}/events.parquet"), lambda d: d.repartitionByRange(4, F.expr(bridge.EVENT_LEDGER)))
+    mode = spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")
+    below = placed._jdf.queryExecution().explainString(mode).split("Exchange rangepartitioning")[1]
+    assert "invoke_host_function" not in below and "md5" not in below
+    (tmp_path / "in").mkdir()
+    for name in ("events", "orders"):
+        shutil.copytree(f"{SF_SMALL}/{name}.parquet", tmp_path / "in" / f"{name}.parquet") if os.path.isdir(f"{SF_SMALL}/{name}.parquet") \
+            else shutil.copy(f"{SF_SMALL}/{name}.parquet", tmp_path / "in" / f"{name}.parquet")
+    folders = lambda table: set(glob.glob(f"{local_path(checkpoint_dir(spark))}/ledgerloom/fixture-*/{table}"))
+    before = folders("chain_events"), folders("ledger_entries")
+    t = RegistryTables.from_fixture(spark, str(tmp_path / "in"))
+    assert t.ledger_entries.count() > 0
+    assert folders("chain_events") == before[0] and len(folders("ledger_entries")) == len(before[1]) + 1
+    assert t.chain_events.count() > 0 and len(folders("chain_events")) == len(before[0]) + 1
+
+
+def test_a_batch_is_not_read_back_from_the_log(spark):
+    """The rows of new members come from the batch at hand and from earlier batches only."""
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    ing = RegistryIngest(spark, state_dir(spark, "t-once"), t.root_registry, buckets=4)
+    back = []
+    plain = ing.raw_log.of_emitters
+    ing.raw_log.of_emitters = lambda *a: (back.append(plain(*a)), back[-1])[1]
+    ing.process_batch(t.chain_events, 0)
+    assert len(back) == 1 and back[0].count() == 0 and _ids(ing.table("published_wasms")) == _ids(t.published)
+
+
+def test_pairs_of_a_hot_hash_are_dealt_to_many_tasks(spark):
+    from ledgerloom.operators.views import wasm_versions
+    u = spark.range(64).selectExpr("if(id < 60, 'hot', concat('u', id)) wasm_hash", "cast(id as string) id", "id ledger_sequence", "current_timestamp() closed_at", "'t' transaction_hash")
+    p = spark.range(40).selectExpr("if(id < 39, 'hot', 'other') wasm_hash", "cast(id as string) id", "'t' transaction_hash", "id ledger_sequence", "current_timestamp() created_at",
+                                   "'a' author", "'n' wasm_name", "'1' wasm_version", "'r' emitter_contract_id")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = wasm_versions(u, p).withColumn("task", F.spark_partition_id())
+        pairs = got.groupBy("upload_id", "publish_id").count()
+        assert pairs.count() == got.count() == 60 * 39 + 4 and got.where("publish_id is null").count() == 4
+        assert got.where("wasm_hash = 'hot'").select("task").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
