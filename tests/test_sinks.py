@@ -1,3 +1,5 @@
+import glob
+
 import pytest
 from pyspark.sql import types as T
 
@@ -92,3 +94,56 @@ def test_similarity_join_keeps_pairs_at_the_threshold(spark):
     from ledgerloom.operators.search import similarity_join
     got = similarity_join(spark.createDataFrame([("a",)], "q string"), "q", spark.createDataFrame([("a bcdefgh",)], "n string"), "n")
     assert got.count() == 1
+
+
+def _files(kt):
+    from ledgerloom.session import local_path
+    m = kt.manifest()
+    return {int(b): len(glob.glob(f"{local_path(kt.root)}/v={v}/__bucket={b}/*.parquet")) for b, v in m["buckets"].items()}
+
+
+def test_a_full_bucket_is_written_by_many_tasks(spark, monkeypatch):
+    """All ledgers in one range, as when the rows grow and the ledgers don't: no task, and no file, holds the whole bucket."""
+    from ledgerloom.operators import sinks
+    monkeypatch.setattr(sinks, "_FILE_ROWS", 100)
+    rows = spark.range(2_000).selectExpr("cast(id as string) k", "1 + id % 3 ledger_sequence", "cast(id as string) id", "'v' v")
+    for where in ({"range_col": "ledger_sequence", "range_width": 500}, {"buckets": 2}):
+        kt = KeyedTable(spark, state_dir(spark, "t-full"), ["k"], SCH, ["ledger_sequence", "id"], **where)
+        kt.upsert(rows, 0)
+        assert min(_files(kt).values()) > 3
+        assert _rows(kt) == sorted(tuple(r) for r in rows.collect())
+    kt.overwrite(rows.where("id < 1000"))
+    assert min(_files(kt).values()) > 1
+
+
+def test_ranges_get_wider_instead_of_more(spark):
+    kt = KeyedTable(spark, state_dir(spark, "t-wide"), ["k"], SCH, ["ledger_sequence", "id"], range_col="ledger_sequence", range_width=10)
+    rows = spark.range(3_000).selectExpr("cast(id as string) k", "id ledger_sequence", "cast(id as string) id", "'v' v")
+    kt.upsert(rows.where("id < 500"), 0)
+    assert len(_files(kt)) == 50
+    kt.upsert(rows.where("id >= 500"), 1)
+    kt.upsert(rows.where("id >= 500"), 1)     # a retried batch
+    kt.upsert(rows.where("id % 7 = 0").selectExpr("k", "ledger_sequence", "id", "'again' v"), 2)
+    assert len(_files(kt)) <= 64
+    kt.insert_ignore(rows.where("id < 100"), 3)
+    assert _rows(kt) == sorted((str(i), i, str(i), "v" if i % 7 else "again") for i in range(3_000))
+    old = kt.manifest()["version"]
+    kt.overwrite(rows.where("id < 100"))
+    kt.rollback(old)
+    kt.upsert(rows.where("id = 2999").selectExpr("k", "ledger_sequence", "id", "'last' v"), 4)
+    assert kt.read().where("v = 'last'").count() == 1 and kt.read().count() == 3_000
+
+
+def test_the_raw_backup_of_a_frequent_kind_is_split(spark):
+    from ledgerloom.operators.sinks import write_raw_backup
+    from ledgerloom.session import local_path
+    key = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    spark.conf.set(key, "20k")
+    try:
+        raw = spark.range(0, 40_000, 1, 8).selectExpr("md5(cast(id as string)) id", "if(id % 100 = 0, 'deploy', 'publish') event_name")
+        path = state_dir(spark, "t-backup")
+        write_raw_backup(raw, path)
+    finally:
+        spark.conf.unset(key)
+    assert len(glob.glob(f"{local_path(path)}/event_name=publish/*.parquet")) > 3
+    assert spark.read.parquet(path).groupBy("event_name").count().sort("event_name").collect() == [("deploy", 400), ("publish", 39_600)]
