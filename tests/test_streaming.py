@@ -241,3 +241,52 @@ def test_pairs_of_a_hot_hash_are_dealt_to_many_tasks(spark):
         assert got.where("wasm_hash = 'hot'").select("task").distinct().count() > 1
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def _formatted(spark, df):
+    return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+
+
+def test_a_batch_is_read_from_the_log_by_kind_and_not_held_in_memory(spark):
+    """A sink's rows come from the stored batch: the narrow columns and its kind alone, nothing persisted on the way."""
+    from ledgerloom.session import local_path
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    ing = RegistryIngest(spark, state_dir(spark, "t-narrow"), t.root_registry, buckets=4)
+    plain, plans, held = ing.sinks["publish"].upsert, [], []
+
+    def upsert(batch, *how, **more):
+        plans.append(_formatted(spark, batch))
+        held.append(spark.sparkContext._jsc.getPersistentRDDs().size())
+        return plain(batch, *how, **more)
+
+    ing.sinks["publish"].upsert = upsert
+    before = spark.sparkContext._jsc.getPersistentRDDs().size()
+    ing.process_batch(t.chain_events, 0)
+    assert held == [before] and "InMemoryTableScan" not in plans[0]
+    assert "EqualTo(event_name,publish)" in plans[0] and "operation_body:" not in plans[0]
+    assert sorted(map(str, ing.table("published_wasms").collect())) == sorted(map(str, t.published.collect()))
+    files = glob.glob(f"{local_path(ing.raw_log.root)}/run=*/batch=0/emitter_bucket=*/*.parquet")
+    for f in files:
+        kinds = [r[0] for r in spark.read.parquet(f).coalesce(1).select("event_name").collect()]
+        assert kinds == sorted(kinds)
+    assert sorted(map(str, ing.raw_log.of_batch(None, 0).collect())) == sorted(map(str, t.raw.collect()))
+
+
+def test_an_archive_batch_is_not_held_in_memory(spark):
+    """Tables read their kinds of entries from the files; of a hash's uploads one reaches the keyed table."""
+    t = RegistryTables.from_fixture(spark, SF_SMALL)
+    ing = ArchiveIngest(spark, state_dir(spark, "t-archive-narrow"), buckets=4)
+    given = {}
+    for name in ("uploads", "binaries", "deploys"):
+        table = getattr(ing, name)
+
+        def upsert(batch, *how, plain=table.upsert, name=name, **more):
+            given[name] = (_formatted(spark, batch), batch.count())
+            return plain(batch, *how, **more)
+
+        table.upsert = upsert
+    ing.process_entries(t.ledger_entries, 0)
+    assert given["binaries"][1] == t.wasm_binaries.count() < t.uploads.count() == given["uploads"][1]
+    assert all("InMemoryTableScan" not in plan for plan, _ in given.values())
+    assert _ids(ing.table("wasm_uploads")) == _ids(t.uploads) and _ids(ing.table("contract_deploys")) == _ids(t.deploys)
+    assert sorted(map(str, ing.table("wasm_binaries").collect())) == sorted(map(str, t.wasm_binaries.collect()))
