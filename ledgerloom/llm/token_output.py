@@ -31,13 +31,31 @@ from .tokens import as_uri, chunks, encoder, write_file
 MAGIC = b"LLRP0001"
 #: Rounds of replacement, and least occurrences of a pair that is worth a rule.
 ROUNDS, LEAST = 8, 6
+#: Places of the hashed table of a round's pairs, as a power of two.
+_TABLE_BITS = 18
+
+
+def _places(key: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``key`` holds one of the ascending ``chosen``, and which one. A hashed table answers for nearly all; what shares a place
+    in it with another of the chosen is searched for."""
+    wide = chosen.dtype.type
+    odd, shift = wide(0x9E3779B1), wide(8 * chosen.dtype.itemsize - _TABLE_BITS)
+    table = np.full(1 << _TABLE_BITS, -1, dtype=np.int32)
+    table[(chosen * odd) >> shift] = np.arange(len(chosen), dtype=np.int32)
+    place = table[(key * odd) >> shift]
+    near = np.flatnonzero(place >= 0)
+    place, some = place[near], key[near]
+    hit = chosen[place] == some
+    other = np.flatnonzero(~hit)
+    place[other] = np.minimum(np.searchsorted(chosen, some[other]), len(chosen) - 1)
+    hit[other] = chosen[place[other]] == some[other]
+    return near[hit], place[hit]
 
 
 def repair(ids: np.ndarray, end: int, base: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """(symbols, rules). Rules are numbered from ``base``; pairs with ``end`` are left alone."""
     s, rules, room = ids.astype(np.uint32), [], (1 << 16) - base if base < 1 << 16 else 1 << 20
-    symbols = base + room
-    wide, shift = (np.uint64, np.uint64(32)) if symbols > 1 << 16 else (np.uint32, np.uint32(16))
+    wide, shift = (np.uint64, np.uint64(32)) if base + room > 1 << 16 else (np.uint32, np.uint32(16))
     for k in range(rounds):
         share = room // 2 if k + 1 < rounds else room
         if len(s) < 2 or not share:
@@ -54,13 +72,7 @@ def repair(ids: np.ndarray, end: int, base: int, rounds: int = ROUNDS, least: in
             break
         chosen = np.sort(order[at[often]])
         low = wide((1 << int(shift)) - 1)
-        left, right = np.zeros(symbols, dtype=bool), np.zeros(symbols, dtype=bool)
-        left[(chosen >> shift).astype(np.int64)] = True
-        right[(chosen & low).astype(np.int64)] = True
-        near = np.flatnonzero(left[s[:-1]] & right[s[1:]])
-        place = np.searchsorted(chosen, key[near])
-        hit = chosen[np.minimum(place, len(chosen) - 1)] == key[near]
-        near, place = near[hit], place[hit]
+        near, place = _places(key, chosen)
         # of overlapping pairs every other one, from the left
         run = np.concatenate([[0], np.flatnonzero(np.diff(near) != 1) + 1])
         first = np.zeros(len(near), dtype=np.int64)

@@ -172,10 +172,14 @@ class WordEncoder:
         longer = np.array(list(map(len, hard)), dtype=np.int64)
         start = np.where(longer > 0, n.sum() + np.cumsum(longer) - longer, start)
         n = n + longer
-        out = []
-        for first, a, b in zip(self._encode(firsts), start.tolist(), (start + n).tolist(), strict=True):
-            out.append(first + b"".join(self._gather(numbers[at:min(at + (1 << 18), b)])[0].tobytes() for at in range(a, b, 1 << 18)))
-        return out
+        parts, ends, held = [], [np.zeros(1, dtype=np.int64)], 0
+        for at in range(0, len(numbers), 1 << 18):
+            ids, end = self._gather(numbers[at:at + (1 << 18)])
+            parts.append(ids.tobytes())
+            ends.append(end + held)
+            held += len(ids)
+        whole, ends = b"".join(parts), np.concatenate(ends) * self.dtype.itemsize
+        return [first + whole[a:b] for first, a, b in zip(self._encode(firsts), ends[start].tolist(), ends[start + n].tolist(), strict=True)]
 
 
 @lru_cache(maxsize=2)

@@ -12,7 +12,7 @@ import pytest
 
 import corpus_pipeline
 from ledgerloom.llm import chat, decontaminate, language_id, license_scan, mixing, near_dedup, quality, suffix_dedup, token_counts, token_output
-from ledgerloom.llm.tokens import encoder, public_path
+from ledgerloom.llm.tokens import WordEncoder, encoder, public_path
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -703,3 +703,25 @@ def test_license_phrases_against_brute_force(spark):
         assert (x["n_words"], x["n_base"], x["base_labels"]) == (len(w), len(places), ",".join(sorted({label for _, label in places})))
         assert (x["first_word"], x["last_word"]) == ((min(places)[0], max(places)[0]) if places else (None, None))
         assert 0 <= x["score"] <= 1 and set(x["base_labels"].split(",")) - {""} <= set(x["labels"].split(","))
+
+
+@pytest.mark.parametrize("kind", ["<u4", "<u8"])
+def test_places_of_pairs_are_those_of_a_search(kind):
+    """More pairs than the hashed table keeps apart, and keys that share a place with one of them."""
+    rnd = np.random.default_rng(7)
+    chosen = np.unique(rnd.integers(0, 1 << 32, 60_000).astype(kind))
+    key = np.concatenate([rnd.choice(chosen, 50_000), rnd.integers(0, 1 << 32, 200_000).astype(kind), chosen[-1:]])
+    near, place = token_output._places(key, chosen)
+    assert np.array_equal(near, np.flatnonzero(np.isin(key, chosen))) and np.array_equal(chosen[place], key[near])
+    one = token_output._places(key, chosen[:1])
+    assert np.array_equal(one[0], np.flatnonzero(key == chosen[0])) and not one[1].any()
+
+
+def test_the_ids_of_a_chunk_are_gathered_together(monkeypatch):
+    texts = [f"text {k}, of\nsome words  and {'more ' * (k % 5)}" for k in range(300)] + ["", "one", " \n ", "a  b"]
+    e = WordEncoder("byte_bpe_50k.json")
+    e.encode(texts)  # learns the words
+    calls, plain = [], e._gather
+    monkeypatch.setattr(e, "_gather", lambda numbers: (calls.append(len(numbers)), plain(numbers))[1])
+    assert e.encode(texts) == e._encode(texts) and len(calls) < 5
+    assert e.encode(["", "word"]) == e._encode(["", "word"]) and e.encode([]) == []
