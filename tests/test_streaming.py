@@ -1,10 +1,12 @@
 import glob
+import hashlib
 import os
 import re
 import shutil
 import time
 from collections import Counter
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +245,41 @@ def test_pairs_of_a_hot_hash_are_dealt_to_many_tasks(spark):
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
+def _uploads(spark, rows):
+    return spark.createDataFrame(rows, "wasm_hash string, id string").selectExpr("wasm_hash", "id", "1L ledger_sequence", "current_timestamp() closed_at", "'t' transaction_hash")
+
+
+def _publishes(spark, rows):
+    return spark.createDataFrame(rows, "wasm_hash string, id string").selectExpr(
+        "wasm_hash", "id", "'t' transaction_hash", "1L ledger_sequence", "current_timestamp() created_at", "'a' author", "'n' wasm_name", "'1' wasm_version", "'r' emitter_contract_id")
+
+
+@pytest.mark.parametrize("part_pairs, part_rows, block_rows", [(1 << 27, 1 << 16, 256), (50, 9, 4), (200, 1000, 7)])
+def test_pairs_are_whole_however_a_hash_is_dealt(spark, monkeypatch, part_pairs, part_rows, block_rows):
+    """Many of both sides, of one alone, of none; hashes and ids that are null, ids that repeat."""
+    from ledgerloom.operators import views as V
+    for name, n in (("_PART_PAIRS", part_pairs), ("_PART_ROWS", part_rows), ("_BLOCK_ROWS", block_rows)):
+        monkeypatch.setattr(V, name, n, raising=False)
+    numbers = {"both": (40, 30), "uploads": (60, 1), "publishes": (1, 70), "bare": (50, 0), "strange": (0, 45), "one": (1, 1), None: (33, 21)}
+    u = [(h, f"u{h}{k % 35}") for h, (n, _) in numbers.items() for k in range(n)] + [("both", None), ("both", None)]
+    p = [(h, f"p{h}{k % 25}") for h, (_, n) in numbers.items() for k in range(n)] + [("both", None)]
+    want = Counter((h, a, b) for h, a in u for b in ([y for x, y in p if x is not None and x == h] or ["none"]))
+    got = V.wasm_versions(_uploads(spark, u), _publishes(spark, p)).select("wasm_hash", "upload_id", "publish_id", "author").collect()
+    assert Counter((r[0], r[1], r[2] if r.author else "none") for r in got) == want
+
+
+def test_pairs_are_stored_in_runs(spark, tmp_path):
+    """A publish's pairs with a block of uploads are together, and uploads come again in short cycles, so files grow much slower than pairs."""
+    from ledgerloom.operators.views import wasm_versions
+    u, p = ([("h", f"{side}{k:05d}-{hashlib.md5(str(k).encode()).hexdigest()}") for k in range(n)] for side, n in (("u", 600), ("p", 900)))
+    wasm_versions(_uploads(spark, u), _publishes(spark, p)).write.parquet(str(tmp_path / "pairs"))
+    rows = changes = size = 0
+    for f in glob.glob(f"{tmp_path}/pairs/*.parquet"):
+        ids = pq.read_table(f, columns=["publish_id"])["publish_id"].to_pylist()
+        rows, changes, size = rows + len(ids), changes + sum(a != b for a, b in zip(ids, ids[1:])), size + os.path.getsize(f)
+    assert rows == 600 * 900 and changes < rows / 50 and size < rows
+
+
 def _formatted(spark, df):
     return df._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
 
